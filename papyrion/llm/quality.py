@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.common import pin
+
 # Common words of the four languages of the corpus.
 STOP_WORDS = {
     "en": "the and of to in that is was for it with as on be at by this are or from an not but have they",
@@ -63,12 +65,6 @@ RULES = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_shouted")
 
 
-def _pin(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a Generate node, each computed once per row."""
-    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
-    return df.select("*", F.inline(made))
-
-
 def _compiled(rules: tuple[Rule, ...]) -> Column:
     """The array of names of the rules that fail; a ratio without words fails nothing."""
     failed = []
@@ -89,7 +85,7 @@ def with_quality(docs: DataFrame, text: str = "text", out: str = "quality", rule
     names = [c for c in docs.columns if c != out]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
     df = docs.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    df = _pin(
+    df = pin(
         df,
         __words=F.array_remove(F.split("__text", f"{_SPACE}+"), ""),
         __lines=F.filter(F.split("__text", "\\n"), lambda x: x.rlike(_WORD)),
@@ -101,9 +97,9 @@ def with_quality(docs: DataFrame, text: str = "text", out: str = "quality", rule
             lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
-    df = _pin(df, __windows=window)
+    df = pin(df, __windows=window)
     # Only a text with a repeated window is sorted.
-    df = _pin(
+    df = pin(
         df,
         __sorted=F.when(
             F.size(F.array_distinct("__windows")) < F.size("__windows"),
@@ -132,9 +128,9 @@ def with_quality(docs: DataFrame, text: str = "text", out: str = "quality", rule
         "n_stop_words": F.size(F.filter("__words", lambda w: F.lower(w).isin(stop))),
         "n_shouted": F.size(F.filter("__words", lambda w: (F.length(w) > 2) & (F.upper(w) == w) & (F.lower(w) != w))),
     }
-    df = _pin(df, **{name: c.cast("long") for name, c in counts.items()})
+    df = pin(df, **{name: c.cast("long") for name, c in counts.items()})
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = _pin(df, base_failed=base_failed, failed_rules=_compiled(rules))
+    df = pin(df, base_failed=base_failed, failed_rules=_compiled(rules))
     verdict = F.struct(
         *COUNTS, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept")
     )

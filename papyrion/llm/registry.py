@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from papyrion.llm import quality
+from papyrion.llm import pii, quality, urls
 
 QUERIES = {
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_pii": pii.op8_pii,
+    "op10_url_filters": urls.op10_url_filters,
 }
 
 ORACLES = {
     "op7_quality_rules": quality.OP7_SQL,
+    "op10_url_filters": urls.OP10_SQL,
 }
