@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from papyrion.llm import pii, quality, urls
+from papyrion.llm import packing, pii, quality, tokenfiles, urls
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_token_files": tokenfiles.op3_token_files,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_pii": pii.op8_pii,
     "op10_url_filters": urls.op10_url_filters,
