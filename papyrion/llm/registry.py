@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from papyrion.llm import packing, pii, quality, tokenfiles, urls
+from papyrion.llm import decontam, packing, pii, quality, tokenfiles, urls
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_token_files": tokenfiles.op3_token_files,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_pii": pii.op8_pii,
+    "op9_decontamination": decontam.op9_decontamination,
     "op10_url_filters": urls.op10_url_filters,
 }
 
