@@ -14,3 +14,14 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     """
     made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
     return df.select("*", F.inline(made))
+
+
+# Every byte that is no digit, letter or part of a character beyond ASCII becomes a space; A-Z become a-z.
+_WORD_BYTES = bytes(
+    c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)
+)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of digits, a-z (A-Z in lower case) and all characters from U+0080, as UTF-8; null has none."""
+    return (text or "").encode().translate(_WORD_BYTES).split()

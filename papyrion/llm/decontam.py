@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.common import words_of
 from papyrion.session import stage, staging_path
 
 WINDOW = 10
@@ -47,17 +48,9 @@ BLOCK_BYTES = 8 << 20
 #: Empty positions between documents: more than a window and its slop.
 GAP = 64
 
-_TABLE = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)
-)
-
 SEGMENTS = "docs array<long>, starts array<int>, sizes array<int>, terms binary, bounds array<int>, postings array<int>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_TABLE).split()
-
-
 def _segment(keys: list, texts: list[list[bytes]]) -> dict:
     ids: dict[bytes, int] = {}
     sizes = [len(w) for w in texts]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from papyrion.llm import decontam, packing, pii, quality, tokenfiles, urls
+from papyrion.llm import decontam, neardup, packing, pii, quality, tokenfiles, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": neardup.op1_ngram_jaccard_join,
     "op2_packing": packing.op2_packing,
     "op3_token_files": tokenfiles.op3_token_files,
     "op7_quality_rules": quality.op7_quality_rules,
