@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from papyrion.llm import chat, decontam, neardup, packing, pii, quality, tokenfiles, urls
+from papyrion.llm import chat, decontam, licenses, neardup, packing, pii, quality, tokenfiles, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": neardup.op1_ngram_jaccard_join,
     "op2_packing": packing.op2_packing,
     "op3_token_files": tokenfiles.op3_token_files,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_warc": warc.op6_warc,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_pii": pii.op8_pii,
     "op9_decontamination": decontam.op9_decontamination,
@@ -17,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_chat_formatting": chat.OP4_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op10_url_filters": urls.OP10_SQL,
 }
