@@ -17,6 +17,7 @@ import numpy as np
 
 #: Pieces that a worker remembers before it starts afresh; about 200 bytes each.
 CACHE_PIECES = 600_000
+_PUNCTUATION = ".,;:!?#*$%&|"
 #: Longer pieces are rare and would fill the memory.
 CACHE_PIECE_CHARS = 64
 
@@ -52,6 +53,7 @@ class Encoder:
             and self.tokenizer.post_processor is None
         )
         self.pieces: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         # Bytes that each id stands for: a byte-level token has one character a byte.
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -65,8 +67,10 @@ class Encoder:
         made: dict[str, bytes] = {}
         for k in range(0, len(new), 256):
             part = [p if p[:1] == "\n" else " " + p for p in new[k : k + 256]]
-            ids = self._whole("".join(part))
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p.encode()) for p in part]), "left") + 1
+            joined = "".join(part)
+            ids = self._whole(joined)
+            sizes = map(len, part) if joined.isascii() else [len(p.encode()) for p in part]
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(list(sizes)), "left") + 1
             raw, start = ids.tobytes(), 0
             for piece, end in zip(new[k : k + 256], ends.tolist()):
                 made[piece] = raw[4 * start : 4 * end]
@@ -76,8 +80,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers. Null counts as empty."""
         out: list = []
-        for k in range(0, len(texts), 64):
-            out += self._encode([t or "" for t in texts[k : k + 64]])
+        for k in range(0, len(texts), 256):
+            out += self._encode([t or "" for t in texts[k : k + 256]])
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -90,9 +94,25 @@ class Encoder:
         new: set[str] = set()
         for parts in cut:
             new.update(parts[1:] if parts else ())
-        made = self._learn(list(new.difference(self.pieces)))
+        # A word and the punctuation behind it are cut apart by the pattern, so the word is learnt without it.
+        tailed, plain = [], set()
+        for piece in new.difference(self.pieces):
+            word = piece.rstrip(_PUNCTUATION)
+            if word != piece and word[-1:].isalpha():
+                tailed.append((piece, word))
+                piece = word
+            if piece not in self.pieces:
+                plain.add(piece)
+        made = self._learn(list(plain))
         self.pieces.update((p, ids) for p, ids in made.items() if len(p) <= CACHE_PIECE_CHARS)
-        pieces, out = self.pieces, []
+        pieces, tails, out = self.pieces, self.tails, []
+        for piece, word in tailed:
+            tail = piece[len(word) :]
+            if (end := tails.get(tail)) is None:
+                end = self._whole(tail).tobytes()
+                if len(tail) <= 4:  # of a dozen signs
+                    tails[tail] = end
+            made[piece] = (made[word] if word in made else pieces[word]) + end
         for text, parts in zip(texts, cut):
             if parts is None:
                 out.append(self._whole(text))
