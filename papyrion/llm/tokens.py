@@ -37,6 +37,15 @@ def _lone_spaces(text: str) -> bool:
     return len(words) == gaps + 1 and len("".join(words)) == len(text) - gaps
 
 
+class _Pieces(dict):
+    """Ids by piece; ``made`` holds those of the texts at hand that are not worth keeping."""
+
+    made: dict[str, bytes]
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.made[piece]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,7 +61,7 @@ class Encoder:
             and self.tokenizer.normalizer is None
             and self.tokenizer.post_processor is None
         )
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces()
         self.tails: dict[str, bytes] = {}
         # Bytes that each id stands for: a byte-level token has one character a byte.
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
@@ -103,7 +112,7 @@ class Encoder:
                 piece = word
             if piece not in self.pieces:
                 plain.add(piece)
-        made = self._learn(list(plain))
+        made = self.pieces.made = self._learn(list(plain))
         self.pieces.update((p, ids) for p, ids in made.items() if len(p) <= CACHE_PIECE_CHARS)
         pieces, tails, out = self.pieces, self.tails, []
         for piece, word in tailed:
@@ -117,9 +126,9 @@ class Encoder:
             if parts is None:
                 out.append(self._whole(text))
                 continue
-            found = [made[p] if ids is None else ids for p, ids in zip(parts[1:], map(pieces.get, parts[1:]))]
-            head = self._whole(parts[0]).tobytes() if parts[0] else b""
-            out.append(np.frombuffer(head + b"".join(found), dtype="<u4"))
+            # Only the first piece has no space before it; no other piece is empty.
+            made[""], parts[0] = self._whole(parts[0]).tobytes() if parts[0] else b"", ""
+            out.append(np.frombuffer(b"".join(map(pieces.__getitem__, parts)), dtype="<u4"))
         return out
 
     def sentence_ends(self) -> np.ndarray:
