@@ -225,10 +225,16 @@ def _pack_block(table: pa.Table) -> pa.Table:
     )
 
 
+_NO_LINKS = pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+
+
 def _between(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         nodes, sets = [], []
-        for row in table.sort_by("block").to_pylist():  # one block, or two
+        rows = table.sort_by("block").to_pylist()  # one block, or two
+        if rows[0]["a"] != rows[0]["b"] and len(rows) == 1:  # the other block is empty; links within this one are counted at (a, a)
+            return _NO_LINKS
+        for row in rows:
             lengths, flat = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["flat"], np.uint64)
             nodes.append(np.frombuffer(row["nodes"], np.int64))
             sets.append(np.split(flat, np.cumsum(lengths)[:-1]))

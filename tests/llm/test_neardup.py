@@ -89,3 +89,17 @@ def test_blocks_and_odd_rows(spark, monkeypatch):
     assert neardup.drop_near_copies(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     assert [r.doc_id for r in neardup.drop_near_copies(nulls).collect()] == [4]
+
+
+def test_few_long_texts_leave_blocks_empty(spark, monkeypatch):
+    random.seed(7)
+    rows = []
+    for size in (2,) * 8 + (3,) * 4:
+        words = [f"w{random.randrange(10**6)}" for _ in range(300)]
+        for _ in range(size):
+            copy = list(words)
+            copy[random.randrange(300)] = "other"
+            rows.append((len(rows), " ".join(copy)))
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 100)  # six blocks and more for two or three nodes
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.key: r.n_links for r in got} == {k: links for k, (_, links) in brute(dict(rows)).items()}
