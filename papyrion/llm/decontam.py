@@ -189,7 +189,8 @@ def search_segment(segment: dict, phrases: Phrases, slop: int) -> list[tuple]:
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        name = lambda found: [phrases.items[i] for i in sorted(found)]
+        # An item may stand on several rows; each name is listed once.
+        name = lambda found: list(dict.fromkeys(x for i in sorted(found) if (x := phrases.items[i]) is not None))
         out.append((key, d, size, merged, name(items.get(d, ())), name(near.get(d, ()))))
     return out
 

@@ -73,3 +73,20 @@ def test_proximity(spark):
     got = {r.doc_id: (r["items"], r["near_items"]) for r in decontam.contamination(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
     assert got == {1: (["7"], ["7"]), 2: ([], ["7"]), 3: ([], []), 4: ([], ["7"])}
+
+
+def test_repeated_and_null_items_at_one_block_and_at_several(spark, tmp_path):
+    a, b, c = ("alpha beta gamma", "delta epsilon zeta", "eta theta iota")
+    docs = [(1, f"{a} x {b} y {c}"), (2, f"{c} z"), (3, "nothing here")]
+    bench = [("p", a), ("p", b), (None, c), ("q", a), ("p", a), (None, c)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.createDataFrame(bench, "item_id string, text string").coalesce(1)
+    table.write.parquet(f"{tmp_path}/benchmark.parquet")
+    index = decontam.build_index(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    for block in (1, 50, 1 << 20):
+        found = decontam.search(index, table, block=block).collect()
+        assert {r.doc_id: (sorted(r["items"]), sorted(r.near_items)) for r in found} == {1: (["p", "q"], ["p", "q"]), 2: ([], []), 3: ([], [])}
+        assert {r.doc_id: len(r.hits) for r in found} == {1: 3, 2: 1, 3: 0}
+    got = {r.doc_id: (r.n_items, r.items_sha256, r.contaminated, r.n_near_items) for r in decontam.op9_decontamination(spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (2, sha("p,q"), True, 2), 2: (0, sha(""), True, 0), 3: (0, sha(""), False, 0)}
