@@ -5,8 +5,8 @@ but hands the library each distinct piece of text only once per worker. A
 byte-level tokenizer cuts a text by a pattern in which white space can only
 start a token, so the pieces between single spaces and line feeds are encoded
 on their own with the same ids. A text in which white space meets white space,
-or ends the text, goes to the library whole, as does every text if the
-tokenizer is not of that kind.
+or ends the text, or which holds the string of an added token, goes to the
+library whole, as does every text if the tokenizer is not of that kind.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = self.tokenizer.pre_tokenizer
         self.by_piece = (
             isinstance(pre, ByteLevel)
@@ -60,6 +60,7 @@ class Encoder:
             and pre.use_regex
             and self.tokenizer.normalizer is None
             and self.tokenizer.post_processor is None
+            and not any(len(t.split()) != 1 or t != t.strip() for t in self.added)
         )
         self.pieces = _Pieces()
         self.tails: dict[str, bytes] = {}
@@ -99,7 +100,7 @@ class Encoder:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         # A piece stands for itself behind a space, or behind the line feed it starts with.
-        cut = [t.replace("\n", " \n").split(" ") if _lone_spaces(t) else None for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") if _lone_spaces(t) and not any(a in t for a in self.added) else None for t in texts]
         new: set[str] = set()
         for parts in cut:
             new.update(parts[1:] if parts else ())

@@ -137,3 +137,22 @@ def test_token_files_odd_rows_and_format(spark, encoder, tmp_path):
     empty = f"file://{tmp_path}/none"
     tokenfiles.write_token_files(spark.createDataFrame([], "doc_id long, text string"), empty)
     assert tokenfiles.read_token_files(spark, empty).count() == 0
+
+
+def test_added_tokens_in_a_text_are_those_of_the_library(spark, encoder, tmp_path):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "a  <|endoftext|>", "plain words, here", "<|endoftext |> <|", "<|endoftext|"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start, files = 0, []
+    for (key, _), ids in zip(rows, want):
+        ids = np.array(ids + [0], dtype="<u4")
+        files.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tokenfiles.op3_token_files(spark, str(tmp_path)).collect())) == files
+    check_pieces(packing.op2_packing(spark, str(tmp_path)).collect(), {key: ids + [1] for (key, _), ids in zip(rows, want)})
