@@ -83,3 +83,19 @@ def test_query_against_the_plain_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in PLAIN]
         assert set(want) <= set(r.spans.split(",")) or not want
+
+
+def test_ibans_of_more_countries():
+    ibans = (
+        "LT121000011101001000 LV80BANK0000435195001 EE382200221020145685 SI56263300012039086 SK3112000000198742637541 "
+        "HR1210010051863000160 BG80BNBG96611020345678 RO49AAAA1B31007593840000 CY17002001280000001200527600 "
+        "MT84MALT011000012345MTLCAST001S TR330006100519786457841326 SA0380000000608010167519"
+    ).split()
+    for iban in ibans:
+        assert pii.mod97(iban)
+        spaced = " ".join(iban[k : k + 4] for k in range(0, len(iban), 4))
+        for text in (f"to {iban}.", f"to {spaced} and on"):
+            shown = iban if iban in text else spaced
+            assert ("iban", 3, 3 + len(shown)) in [x[:3] for x in pii.find_spans(text)]
+        wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 97:02d}" + iban[4:]
+        assert "iban" not in [x[0] for x in pii.find_spans(f"to {wrong}.")]
