@@ -85,6 +85,12 @@ def positions(saved: DataFrame) -> DataFrame:
     return placed.select(*saved.columns, (F.col("place") - F.col("first_place")).alias("position"), F.col("batch_rows").alias("n_saved"))
 
 
+def _join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Equal in ``names``, where null equals null: the events of a null session are those of one session."""
+    other = right.withColumnsRenamed({n: f"__{n}" for n in names})
+    return left.join(other, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], how).drop(*[f"__{n}" for n in names])
+
+
 def current(log: DataFrame) -> DataFrame:
     """(session_id, conv_id): the current conversation of each session that has one.
 
@@ -101,7 +107,7 @@ def current(log: DataFrame) -> DataFrame:
     # A delete of another conversation only shifts positions, which are not kept here.
     deletes = log.where("kind = 'delete'").groupBy("session_id", "conv_id").agg(F.max("seq").alias("deleted_seq"))
     ends = log.where("kind in ('new', 'discard', 'clear')").groupBy("session_id").agg(F.max("seq").alias("end_seq"))
-    joined = sets.join(deletes, ["session_id", "conv_id"], "left").join(ends, "session_id", "left")
+    joined = _join(_join(sets, deletes, ["session_id", "conv_id"], "left"), ends, ["session_id"], "left")
     over = F.coalesce(F.greatest("deleted_seq", "end_seq"), F.lit(-1))
     return joined.where(F.col("set_seq") > over).select("session_id", "conv_id")
 
@@ -111,14 +117,14 @@ def recent(saved: DataFrame, n: int = 5) -> DataFrame:
     totals = saved.groupBy("session_id").agg(F.count("*").alias("n_saved"))
     back = Window.partitionBy("session_id").orderBy(F.desc("first_seq"), F.desc("conv_id"))
     last = saved.withColumn("back", F.row_number().over(back)).where(F.col("back") <= n)
-    joined = last.join(totals, "session_id")
+    joined = _join(last, totals, ["session_id"])
     return joined.select("session_id", "conv_id", (F.least(F.lit(n), "n_saved") - F.col("back") + 1).alias("shown"), "n_saved")
 
 
 def errors(log: DataFrame) -> DataFrame:
     """By session: errors, and those after its last save, which no save holds yet."""
     last = log.groupBy("session_id").agg(F.max(F.when(F.col("kind") == "save", F.col("seq"))).alias("saved"))
-    failed = log.where("kind = 'error'").select("session_id", "seq").join(last, "session_id")
+    failed = _join(log.where("kind = 'error'").select("session_id", "seq"), last, ["session_id"])
     return failed.groupBy("session_id").agg(
         F.count("*").alias("n_errors"), F.count_if(F.col("saved").isNull() | (F.col("seq") > F.col("saved"))).alias("n_unsaved")
     )
@@ -128,5 +134,5 @@ def state(log: DataFrame) -> DataFrame:
     """By session: messages, size of the history, current conversation (or null)."""
     counts = log.groupBy("session_id").agg(F.count_if(F.col("kind") == "message").alias("n_messages"))
     saved = history(log).groupBy("session_id").agg(F.count("*").alias("n_saved"))
-    joined = counts.join(saved, "session_id", "left").join(current(log), "session_id", "left")
+    joined = _join(_join(counts, saved, ["session_id"], "left"), current(log), ["session_id"], "left")
     return joined.select("session_id", "n_messages", F.coalesce("n_saved", F.lit(0)).alias("n_saved"), "conv_id")
