@@ -54,25 +54,22 @@ def _encode_shard(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = tokens.encoder(tokenizer), TaskContext.get()
         shard, done = task.partitionId() if task else 0, 0
-        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for k in range(0, len(keys), 512):
-                found = [np.concatenate([x, end]) for x in encoder.encode(texts.slice(k, 512).to_pylist())]
-                lengths = np.array([len(x) for x in found], dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum(lengths)])
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(found).view(np.int32)))
+            for k, ids, bounds in encoder.blocks(batch.column(1)):
+                ids = np.insert(ids, bounds[1:], np.uint32(end_id))
+                bounds = bounds + np.arange(len(bounds))
+                n = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(k, 512),
-                        pa.array(lengths),
-                        pa.array(np.full(len(found), shard, np.int32)),
+                        batch.column(0).slice(k, n),
+                        pa.array(np.diff(bounds)),
+                        pa.array(np.full(n, shard, np.int32)),
                         pa.array(done + bounds[:-1]),
-                        ids,
+                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32))),
                     ],
                     ["doc_id", "n_tokens", "shard", "shard_start", "ids"],
                 )
-                done += int(bounds[-1])
+                done += len(ids)
 
     return run
 
