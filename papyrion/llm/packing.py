@@ -1,22 +1,25 @@
 """Packing documents into sequences of bounded length, in order, by dynamic programming.
 
-A task reads its rows in order and lays their tokens end to end. Where a
-sequence may end is a matter of cost: a sequence costs its padding, and a cut
-costs a penalty by the kind of place (none between documents, a little after a
-sentence, more anywhere else). With the token positions of the allowed cuts
+A task reads its rows in order and lays their tokens end to end. A sequence may
+end at the end of a document, which costs nothing, or of a sentence, which costs a
+truncation penalty; only a sentence that is longer than a whole sequence may be
+cut inside, at multiples of `GRID` tokens, at a higher penalty. Besides, a sequence
+costs its padding. With the token positions of the allowed cuts
 
     cost(j) = penalty(j) + min over i of cost(i) + capacity - (pos(j) - pos(i)),  0 < pos(j) - pos(i) <= capacity
 
 so the best i minimises ``cost(i) + pos(i)`` over a window that only moves
-forward: a monotone queue finds it in constant time. A sequence whose length is
-a power of two needs no padding; the larger of those lengths are looked up apart. Cuts
-inside sentences are offered at a fixed grid of positions, so that sentences
-longer than a sequence can be cut as well.
-
-Tasks hold at most `BUFFER_TOKENS` tokens and one Arrow batch of texts; the last
-open sequence of a buffer goes on in the next one. There is no shuffle: each
-input partition is packed on its own, and ``sequence_id`` holds its number in
-the upper bits. Rows keep the order that they are read in.
+forward. Of the queue of such i, which rises from its front, only the front is ever needed
+(see `Cuts`): it is taken anew when it falls out of the window, and serves all j until
+then. A sequence whose length is a power of two needs no padding; the larger of those
+lengths are looked up apart.
+
+The program runs over the whole stream of a task. A cut is given out as soon as it is on
+the best path to every place where the next sequence could still begin, so
+tokens are held for a few sequences only, and the cuts are those that a look at
+the whole stream would give, however it comes in batches. There is no shuffle: each input
+partition is packed on its own, in the order that its rows are read in (that of
+the files, not that of ids), and ``sequence_id`` holds its number in the upper bits.
 
 Defined results: null or empty text is a document of its end token alone; a null
 id stays null; repeated rows are packed as often as they come; extra columns are
@@ -25,8 +28,8 @@ not carried (rows are pieces, not documents); empty table in, empty table out.
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,115 +41,156 @@ from pyspark.sql import functions as F
 from papyrion.llm import tokens
 
 CAPACITY = 2048
-#: Cost, in tokens of padding, of ending a sequence after a sentence, or anywhere else inside a document.
+#: Cost, in tokens of padding, of ending a sequence after a sentence, or inside one that fits no sequence.
 SENTENCE_PENALTY = 4
 INSIDE_PENALTY = 12
 #: Cost of starting a sequence at all, so that short ones are not made for nothing.
 SEQUENCE_PENALTY = 2
-#: Positions in multiples of this may be cut even inside a sentence.
+#: A sentence longer than a sequence may be cut at multiples of this, counted from its start.
 GRID = 64
 #: The shortest sequence that is made to end at a power of two for the sake of its padding.
 LEAST_POWER = 256
-BUFFER_TOKENS = 1 << 19
 
 PIECES = "id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
-def plan_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int, free: bool) -> list[int]:
-    """Indices into ``pos`` of the best cuts, first to last.
+def allowed_cuts(ends: np.ndarray, sentences: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, penalty) of the allowed cuts of a run of documents that begins at 0, by rising position.
 
-    ``pos`` starts with 0 and rises by at most ``capacity`` a step. With
-    ``free``, the last sequence costs no padding: it will be continued.
+    ``ends``: of documents, ``sentences``: of sentences, both as rising numbers of tokens before.
+    """
+    at = np.sort(np.concatenate([ends, sentences]), kind="stable")
+    at = at[np.diff(at, prepend=0) > 0]
+    starts, gaps = np.concatenate([[0], at[:-1]]), np.diff(at, prepend=0)
+    penalty = np.full(len(at), SENTENCE_PENALTY)
+    penalty[np.searchsorted(at, ends)] = 0
+    inside = [np.arange(a + GRID, a + n, GRID) for a, n in zip(starts[gaps > capacity].tolist(), gaps[gaps > capacity].tolist())]
+    if not inside:
+        return at, penalty
+    more = np.concatenate(inside)
+    order = np.argsort(whole := np.concatenate([at, more]), kind="stable")
+    return whole[order], np.concatenate([penalty, np.full(len(more), INSIDE_PENALTY)])[order]
+
+
+class Cuts:
+    """The program over a stream of allowed cuts; positions are counted from the last cut given out.
+
+    ``key[j]`` is cost(j) + pos(j). Every sequence adds to it, so as long as the least
+    key of a window stays in reach, no later one is less: all cuts in its reach are settled
+    at once, but for those that lie a power of two behind another cut.
     """
-    n = len(pos)
-    places = pos.tolist()
-    exact: dict[int, list[int]] = {}  # j: the places a power of two before it
-    power = 1 << (capacity - 1).bit_length() - 1
-    while power >= LEAST_POWER:
-        i = np.searchsorted(pos, pos - power)
-        for j in np.flatnonzero(pos[i] == pos - power).tolist():
-            exact.setdefault(j, []).append(int(i[j]))
-        power >>= 1
-    cost, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # cost(i) + pos(i), rising from the left
-    extra = (penalty + SEQUENCE_PENALTY).tolist()
-    for j in range(1, n):
-        p = places[j]
-        while places[queue[0][1]] < p - capacity:
-            queue.popleft()
-        key, i = queue[0]
-        best = key + capacity - p
-        if free and j == n - 1:
-            best, i = min((cost[k], k) for _, k in queue)
-        for k in exact.get(j, ()):
-            if cost[k] < best:
-                best, i = cost[k], k
-        cost[j], back[j] = best + extra[j], i
-        key = cost[j] + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
-    cuts, j = [n - 1], n - 1
-    while j:
-        j = back[j]
-        cuts.append(j)
-    return cuts[::-1]
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        largest = (capacity - 1).bit_length() - 1
+        self.powers = [1 << b for b in range(largest, LEAST_POWER.bit_length() - 2, -1)]
+        self.pos, self.key, self.back = (np.zeros(1, np.int64) for _ in range(3))
+
+    def add(self, pos: np.ndarray, penalty: np.ndarray) -> None:
+        """Cuts at ``pos``, rising by at most ``capacity`` a step from the last one known."""
+        capacity, start = self.capacity, len(self.pos)
+        self.pos = known = np.concatenate([self.pos, pos])
+        self.key, self.back = (np.concatenate([x, np.zeros(len(pos), np.int64)]) for x in (self.key, self.back))
+        key, back, n = self.key, self.back, len(known)
+        extra = np.concatenate([np.zeros(start, np.int64), penalty + SEQUENCE_PENALTY])
+        lows = known.searchsorted(known - capacity).tolist()
+        reach = known.searchsorted(known + capacity, "right").tolist()
+        exact = []  # (cut, the cut a power of two before it, power)
+        for power in self.powers:
+            i = known.searchsorted(pos - power)
+            j = np.flatnonzero(known[i] == pos - power)
+            exact.append(np.stack([start + j, i[j], np.full(len(j), power)]))
+        pairs = np.concatenate(exact, axis=1) if exact else np.empty((3, 0), np.int64)
+        pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+        until = pairs[0].searchsorted(np.arange(n + 1)).tolist()
+        pairs = pairs.T.tolist()
+        j = start
+        while j < n:
+            # The last of equals, which stays in reach the longest.
+            i = j - 1 - int(key[lows[j] : j][::-1].argmin())
+            end, most = reach[i], int(key[i]) + capacity
+            key[j:end] = most + extra[j:end]
+            back[j:end] = i
+            for at, before, power in pairs[until[j] : until[end]]:
+                if (found := int(key[before]) + power) < most and found + int(extra[at]) < key[at]:
+                    key[at], back[at] = found + int(extra[at]), before
+            j = end
+
+    def decided(self) -> list[int]:
+        """Positions of the cuts that are on the best path to every cut from which the next sequence could begin."""
+        live = int(np.searchsorted(self.pos, self.pos[-1] - self.capacity, "right"))
+        # A cut leads back to an earlier one, so the latest of the paths' heads moves until all are one.
+        heads = [-j for j in range(min(live, len(self.pos) - 1), len(self.pos))]
+        heapq.heapify(heads)
+        while True:
+            j = -heapq.heappop(heads)
+            while heads and heads[0] == -j:
+                heapq.heappop(heads)
+            if not heads:
+                return self._path(j)
+            heapq.heappush(heads, -int(self.back[j]))
+
+    def ended(self) -> list[int]:
+        """Positions of all cuts, if the last one known is the end."""
+        return self._path(len(self.pos) - 1)
+
+    def _path(self, root: int) -> list[int]:
+        path, j = [], root
+        while j:
+            path.append(int(self.pos[j]))
+            j = int(self.back[j])
+        self.pos = self.pos[root:] - self.pos[root]
+        self.key = self.key[root:] - self.key[root]
+        self.back = np.maximum(self.back[root:] - root, 0)
+        return path[::-1]
 
 
 class Packer:
-    """Packs a stream of (id, token ids, ends of sentences) into pieces."""
+    """Packs a stream of documents into record batches of pieces, as `PIECES` names them."""
 
     def __init__(self, capacity: int, first_sequence: int):
-        self.capacity, self.sequence = capacity, first_sequence
-        self.docs: list[tuple[object, int, int, np.ndarray]] = []  # id, tokens before, tokens in all, ids left
-        self.ends: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, key, ids: np.ndarray, ends: np.ndarray) -> None:
-        self.docs.append((key, 0, len(ids), ids))
-        self.ends.append(ends)
-        self.size += len(ids)
-
-    def flush(self, last: bool) -> Iterator[tuple]:
-        """Pieces of all sequences, or of all but the open last one."""
-        if not self.docs:
-            return
-        lengths = np.array([len(d[3]) for d in self.docs])
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
-        sentence = np.concatenate([np.flatnonzero(e) + b + 1 for e, b in zip(self.ends, bounds)]).astype(np.int64)
-        grid = np.arange(GRID, self.size, GRID)
-        pos = np.unique(np.concatenate([bounds, sentence, grid]))
-        penalty = np.full(len(pos), float(INSIDE_PENALTY))
-        penalty[np.searchsorted(pos, sentence)] = SENTENCE_PENALTY
-        penalty[np.searchsorted(pos, bounds)] = 0.0
-        cuts = pos[plan_cuts(pos, penalty, self.capacity, not last)]
-        if not last:
-            cuts = cuts[:-1]
-        done = int(cuts[-1])
-        d = 0
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            while bounds[d + 1] <= a:
-                d += 1
-            k = d
-            while k < len(self.docs) and bounds[k] < b:
-                key, before, total, ids = self.docs[k]
-                low, high = max(a, int(bounds[k])), min(b, int(bounds[k + 1]))
-                if low < high:
-                    base = int(bounds[k])
-                    yield key, before + low - base, ids[low - base : high - base], total, self.sequence, low - a
-                k += 1
-            self.sequence += 1
-        kept = [i for i in range(len(self.docs)) if bounds[i + 1] > done]
-        docs, ends = [], []
-        for i in kept:
-            key, before, total, ids = self.docs[i]
-            skip = max(0, done - int(bounds[i]))
-            docs.append((key, before + skip, total, ids[skip:]))
-            ends.append(self.ends[i][skip:])
-        self.docs, self.ends, self.size = docs, ends, self.size - done
-
-
-def pack_batches(tokenizer: str, end_id: int, capacity: int, buffer: int):
+        self.cuts, self.capacity, self.sequence = Cuts(capacity), capacity, first_sequence
+        self.ids = np.empty(0, "<u4")
+        # Of the documents held: their names, where they begin (the first maybe before what is held), and the end.
+        self.keys: pa.Array = pa.array([], pa.int64())
+        self.bounds = np.zeros(1, np.int64)
+
+    def add(self, keys: pa.Array, ids: np.ndarray, bounds: np.ndarray, sentences: np.ndarray) -> pa.RecordBatch:
+        """Takes documents, ``ids[bounds[k]:bounds[k + 1]]`` each; gives the pieces of the sequences that are decided."""
+        held = len(self.ids)
+        pos, penalty = allowed_cuts(bounds[1:], sentences, self.capacity)
+        self.cuts.add(pos + held, penalty)
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.bounds = np.concatenate([self.bounds, bounds[1:] + held])
+        return self._give(self.cuts.decided())
+
+    def end(self) -> pa.RecordBatch:
+        return self._give(self.cuts.ended())
+
+    def _give(self, cuts: list[int]) -> pa.RecordBatch:
+        ends = np.array([0, *cuts], np.int64)
+        done = int(ends[-1])
+        inner = self.bounds[(self.bounds > 0) & (self.bounds < done)]
+        at = np.union1d(ends, inner)
+        low, length = at[:-1], np.diff(at)
+        doc = np.searchsorted(self.bounds, low, "right") - 1
+        sequence = np.searchsorted(ends, low, "right") - 1
+        begun = self.bounds[doc]
+        lists = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(self.ids[:done].view(np.int32)))
+        columns = [low - begun, length, lists, self.bounds[np.minimum(doc + 1, len(self.bounds) - 1)] - begun, self.sequence + sequence, low - ends[sequence]]
+        made = pa.RecordBatch.from_arrays(
+            [self.keys.take(pa.array(doc)), *[c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]],
+            ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+        )
+        self.sequence += len(cuts)
+        first = int(np.searchsorted(self.bounds, done, "right")) - 1
+        # Copied, so that what was given out is not kept alive.
+        self.ids, self.bounds, self.keys = self.ids[done:].copy(), self.bounds[first:] - done, pa.concat_arrays([self.keys[first:]])
+        return made
+
+
+def pack_batches(tokenizer: str, end_id: int, capacity: int):
     """Arrow batches of (id, text) to rows of pieces, as `PIECES` names them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,29 +198,20 @@ def pack_batches(tokenizer: str, end_id: int, capacity: int, buffer: int):
         task = TaskContext.get()
         packer = Packer(capacity, (task.partitionId() if task else 0) << 40)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(keys), 256):
-                for key, ids in zip(keys[k : k + 256], encoder.encode(texts.slice(k, 256).to_pylist())):
-                    packer.add(key, np.append(ids, np.uint32(end_id)), np.append(is_end[ids], False))
-                    if packer.size >= buffer:
-                        yield _pieces(packer.flush(False))
-        yield _pieces(packer.flush(True))
+            keys = batch.column(0)
+            for k, ids, bounds in encoder.blocks(batch.column(1)):
+                ended = is_end[ids]
+                ended[np.maximum(bounds[1:][np.diff(bounds) > 0] - 1, 0)] = False  # the document's end follows
+                sentences = np.flatnonzero(ended)
+                # Each document gets its end token, which moves what stands behind.
+                sentences += np.searchsorted(bounds[1:], sentences, "right") + 1
+                ids = np.insert(ids, bounds[1:], np.uint32(end_id))
+                yield packer.add(keys[k : k + len(bounds) - 1], ids, bounds + np.arange(len(bounds)), sentences)
+        yield packer.end()
 
     return run
 
 
-def _pieces(found: Iterator[tuple]) -> pa.RecordBatch:
-    key, start, ids, total, sequence, offset = ([*c] for c in zip(*found)) if (found := list(found)) else ([],) * 6
-    flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-    lengths = np.array([len(x) for x in ids], dtype=np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), lists]
-        + [pa.array(x, pa.int64()) for x in (total, sequence, offset)],
-        ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-    )
-
-
 def digests(run: Callable) -> Callable:
     """The same rows with the CRC-32 of the ids in the place of the ids."""
 
@@ -197,7 +232,6 @@ def pack(
     tokenizer: str | None = None,
     end_id: int = 1,
     capacity: int = CAPACITY,
-    buffer: int = BUFFER_TOKENS,
     digest: bool = False,
 ) -> DataFrame:
     """One row per piece: which tokens of which document lie where in which sequence.
@@ -205,7 +239,7 @@ def pack(
     With ``digest``, the column ``ids`` gives way to ``ids_crc32``, taken in the
     worker, so that the ids need not travel.
     """
-    run = pack_batches(tokenizer or tokens.default_tokenizer(), end_id, capacity, buffer)
+    run = pack_batches(tokenizer or tokens.default_tokenizer(), end_id, capacity)
     schema = PIECES
     if digest:
         run, schema = digests(run), PIECES.replace("ids array<int>", "ids_crc32 long")

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,18 +21,33 @@ def whole(encoder, text):
     return encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+PARTS = [" ", "\n", "\t", "a", "B", "é", "'s", "'", "12", ".", "#", "!?", "÷", "\u3000", "\xa0", "\x1c", "\x85", "\x00", "\r", "  ", "\n\n", "<|endoftext|>", "日", "foo", "x" * 20, "😀"]
+
+
 @settings(max_examples=500, deadline=None)
-@given(
-    st.lists(
-        st.lists(st.sampled_from([" ", "\n", "\t", "a", "B", "é", "'s", "12", ".", "#", "　", "\x1c", "\x85", "\r", "<|endoftext|>", "日", "foo"])).map("".join),
-        max_size=4,
-    )
-)
+@given(st.lists(st.lists(st.sampled_from(PARTS)).map("".join), max_size=4))
 def test_pieces_give_the_ids_of_the_whole_text(texts):
     encoder = tokens.encoder(tokens.default_tokenizer())
     assert [x.tolist() for x in encoder.encode(texts)] == [whole(encoder, t) for t in texts]
 
 
+def test_blocks_long_texts_and_a_full_table(encoder, monkeypatch):
+    dice = random.Random(4)
+    word = lambda: "".join(dice.choice("abcdefghijkléü'") for _ in range(dice.randint(1, 18)))
+    texts = ["".join(word() + dice.choice((" ", " ", ". ", "\n", "\n\n", "")) for _ in range(dice.choice((0, 1, 30, 900)))) for _ in range(40)] + [None, ""]
+    want = [whole(encoder, t) for t in texts]
+    for block in (1, 500, 1 << 20):
+        monkeypatch.setattr(tokens, "BLOCK_BYTES", block)
+        small = tokens.Encoder(tokens.default_tokenizer(), most=4096)
+        for _ in range(2):
+            assert [x.tolist() for x in small.encode(texts)] == want
+            assert small.pieces.n <= 4096
+    taken = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    found = [(k, ids, bounds) for k, ids, bounds in encoder.blocks(taken)]
+    assert [ids[a:b].tolist() for _, ids, bounds in found for a, b in zip(bounds, bounds[1:])] == want
+    assert [k for k, *_ in found] == np.cumsum([0] + [len(b) - 1 for *_, b in found[:-1]]).tolist()
+
+
 def best(pos, penalty, capacity):
     """The least cost by trying every pair of cuts."""
     cost = [0.0] + [float("inf")] * (len(pos) - 1)
@@ -43,18 +60,47 @@ def best(pos, penalty, capacity):
     return cost[-1]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 300), st.sampled_from([0.0, 4.0, 12.0])), min_size=1, max_size=40))
-def test_cuts_cost_the_least(steps):
-    pos = np.concatenate([[0], np.cumsum([s for s, _ in steps])])
-    penalty = np.array([0.0] + [p for _, p in steps])
-    cuts = packing.plan_cuts(pos, penalty, 600, False)
-    total = 0.0
-    for a, b in zip(cuts, cuts[1:]):
-        n = pos[b] - pos[a]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.integers(1, 300), st.sampled_from([128, 256, 600])), st.sampled_from([0, 4, 12]), st.booleans()), min_size=1, max_size=60))
+def test_cuts_cost_the_least_however_they_come(steps):
+    pos = np.concatenate([[0], np.cumsum([s for s, *_ in steps])])
+    penalty = np.array([0] + [p for _, p, _ in steps])
+    made = []
+    for at_once in (True, False):
+        plan, cuts, low = packing.Cuts(600), [0], 1
+        for k in range(1, len(pos)):
+            if k == len(pos) - 1 or not at_once and steps[k - 1][2]:
+                plan.add(pos[low : k + 1] - cuts[-1], penalty[low : k + 1])
+                low, base = k + 1, cuts[-1]
+                cuts += [base + c for c in plan.decided()]
+        base = cuts[-1]
+        made.append(cuts + [base + c for c in plan.ended()])
+    assert made[0] == made[1]
+    total = 0
+    for a, b in zip(made[0], made[0][1:]):
+        n = b - a
         assert 0 < n <= 600
-        total += penalty[b] + packing.SEQUENCE_PENALTY + (0 if n & (n - 1) == 0 and n >= packing.LEAST_POWER else 600 - n)
-    assert cuts[0] == 0 and cuts[-1] == len(pos) - 1 and total == best(pos.tolist(), penalty.tolist(), 600)
+        total += penalty[np.searchsorted(pos, b)] + packing.SEQUENCE_PENALTY + (0 if n & (n - 1) == 0 and n >= packing.LEAST_POWER else 600 - n)
+    assert made[0][-1] == pos[-1] and total == best(pos.tolist(), penalty.tolist(), 600)
+
+
+def cut_kinds(rows, want, is_end, capacity=2048):
+    """How many sequences end at the end of a document, of a sentence, and inside one that fits or that doesn't."""
+    last = {}
+    for r in rows:
+        last[r["sequence_id"]] = max(last.get(r["sequence_id"], (-1, 0, 0)), (r["offset"], r["doc_id"], r["start"] + r["length"]))
+    kinds = dict.fromkeys(("document", "sentence", "inside", "inside long"), 0)
+    for _, key, end in last.values():
+        ids = np.array(want[key])
+        ends = np.concatenate([[0], np.flatnonzero(is_end[ids[:-1]]) + 1, [len(ids)]])
+        if end == len(ids):
+            kinds["document"] += 1
+        elif end in ends:
+            kinds["sentence"] += 1
+        else:
+            k = np.searchsorted(ends, end)
+            kinds["inside long" if ends[k] - ends[k - 1] > capacity else "inside"] += 1
+    return kinds
 
 
 def check_pieces(rows, want, capacity=2048):
@@ -87,18 +133,29 @@ def check_pieces(rows, want, capacity=2048):
 def test_packing_query(spark, encoder):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = {d.doc_id: whole(encoder, d.text) + [1] for d in docs}
-    assert check_pieces(packing.op2_packing(spark, SF).collect(), want) < 0.02
+    rows = packing.op2_packing(spark, SF).collect()
+    assert check_pieces(rows, want) < 0.02
+    kinds = cut_kinds(rows, want, encoder.sentence_ends())
+    assert kinds["sentence"] > 0 and kinds["inside"] == 0, kinds
 
 
-def test_packing_small_buffers_and_odd_rows(spark, encoder):
+def test_packing_does_not_depend_on_batches_and_takes_odd_rows(spark, encoder, monkeypatch):
     long = "word " * 9000 + "end"
-    rows = [(1, "One. Two.", 0), (2, None, 0), (3, "", 0), (4, long, 0), (5, "x" * 5000, 0)]
+    rows = [(1, "One. Two.", 0), (2, None, 0), (3, "", 0), (4, long, 0), (5, "x" * 5000, 0), (6, "Short one. " * 900, 0), (7, "A. B! C?\n" * 300, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int").coalesce(1)
-    got = packing.pack(docs, buffer=3000, digest=True).collect()
-    check_pieces(got, {k: whole(encoder, t) + [1] for k, t, _ in rows})
+    got = packing.pack(docs, digest=True).collect()
+    want = {k: whole(encoder, t) + [1] for k, t, _ in rows}
+    check_pieces(got, want)
+    kinds = cut_kinds(got, want, encoder.sentence_ends())
+    assert kinds["inside"] == 0 and kinds["inside long"] >= 4, kinds
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        assert packing.pack(docs, digest=True).collect() == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert packing.pack(docs.limit(0)).count() == 0
-    ids = {(r.doc_id, r.start): r.ids for r in packing.pack(docs, buffer=3000).collect()}
-    assert sum(map(len, ids.values())) == sum(len(whole(encoder, t)) + 1 for _, t, _ in rows)
+    ids = [list(r.ids) for r in packing.pack(docs).orderBy("doc_id", "start").collect()]
+    assert sum(ids, []) == sum(want.values(), [])
     twice = packing.pack(docs.union(docs).where("doc_id = 1")).collect()
     assert sum(r.length for r in twice) == 2 * (len(whole(encoder, "One. Two.")) + 1)
     assert packing.pack(spark.createDataFrame([(None, "a")], "doc_id long, text string")).first().doc_id is None
