@@ -1,3 +1,6 @@
+import math
+import re
+
 import pytest
 
 from papyrion.llm import licenses as L
@@ -8,20 +11,79 @@ def fitted():
     return L.model()
 
 
-def test_held_out_accuracy(fitted):
-    assert fitted.held_out_accuracy > 0.98
-    fresh = L.training_rows(600, seed=99)[len(L.TEMPLATES) * 5 + len(L.UNRELATED) :]
+# Written apart from the templates: notices as they stand in files and pages, and sentences that license nothing.
+APART = [
+    ("GPL", "foo is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2, or (at your option)\nany later version."),
+    ("GPL", "SPDX-License-Identifier: GPL-2.0-only"), ("GPL", "This package is licensed under the GNU General Public License v3 or later."), ("MIT", "License: MIT"),
+    ("MIT", "The code in this repository is available under the MIT license, see LICENSE."), ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+    ("Apache-2.0", "Copyright 2020 Someone. Licensed under the Apache License, Version 2.0"), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"),
+    ("BSD", "Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer."), ("BSD", "* Neither the name of Foo Inc. nor the names of its contributors may be used to endorse or promote products"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"), ("EPL", "This program and the accompanying materials are made available under\nthe terms of the Eclipse Public License 2.0"),
+    ("LGPL", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"), ("AGPL", "Distributed under the terms of the GNU Affero General Public License version 3"),
+    ("MPL-2.0", "This file is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file"), ("CC-BY-SA", "Content is available under Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC", "Photo: CC BY-NC 4.0"), ("Public-Domain", "To the extent possible this work is dedicated to the public domain under CC0 1.0"), ("Proprietary", "Copyright 1999 Foo. All rights reserved."),
+    ("Zlib", "Altered source versions must be plainly marked as such, and must not be\nmisrepresented as being the original software."), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file)"),
+    (None, "The city renewed the license of the restaurant last week."), (None, "Version 3 of the report was published in May."), (None, "My notes on the terms of the contract and the source of the dispute."),
+    (None, "Public transport is free of charge for children."), (None, "She is a general practitioner with a foundation degree."), (None, "He gave written permission to enter the building."), (None, "Software engineers modify and merge code all day."),
+    (None, "The warranty of the car covers damages to the engine."), (None, "Boost your creative work with these common tricks."), (None, "An eclipse of the sun is visible in the whole country."),
+]
+
+
+def test_texts_written_apart_from_the_generator(fitted):
+    got = [[x[3] for x in L.scan_text(fitted, t)] for _, t in APART]
+    wrong = [(f, g, t) for (f, t), g in zip(APART, got) if set(g) != ({f} if f else set())]
+    assert len(wrong) <= 2, wrong
+    named = [(f, x) for f, t in APART for x in L.scan_text(fitted, t)]
+    assert sum(x[3] == f for f, x in named) / len(named) >= 0.9
+    assert sum(x[6] for f, x in named if x[3] == f) >= 0.8 * len(named)
+    # Calibrated: those that are sure are right more often than one that is not.
+    assert all(x[3] == f for f, x in named if x[4] > 0.95)
+
+
+def test_held_out_rows(fitted):
+    assert fitted.held_out_accuracy > 0.94
+    fresh = L.training_rows(1500, seed=99)[len(L.notices()) + len(L.UNRELATED) :]
     right = sum(fitted.classify(L.words_of(t))[0] == f for t, f in fresh)
-    assert right / len(fresh) > 0.97
+    assert len(fresh) > 500 and right / len(fresh) > 0.93
 
 
 def test_templates_and_unrelated_sentences(fitted):
     for family, texts in L.TEMPLATES.items():
-        for t in texts:
-            got = fitted.classify(L.words_of(t))
-            assert got[0] == family and got[2] >= L.LEAST_SIMILARITY
+        found = [x for t in texts for x in L.scan_text(fitted, t)]
+        assert all(x[3] == family for x in found if x[6]), family
+        assert sum(x[6] for x in found) >= 0.6 * len(texts), family
     for t in L.UNRELATED:
-        assert fitted.classify(L.words_of(t))[0] == L.UNKNOWN
+        assert not L.scan_text(fitted, t)
+
+
+def test_scores_against_a_plain_sum_over_the_weights(spark, fitted):
+    """Windows of the texts that the query names, scored anew from the weights by name, without the sparse rows."""
+    weights = {g: fitted.weights[i].tolist() for g, i in fitted.vocabulary.items()}
+    checked = 0
+    for r in L.op5_license_scan(spark, "/root/testdata/sf0.001").collect():
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
+        found = set()
+        for n in (1, 2, 3):
+            for k in range(len(words) - n + 1):
+                if any(w.encode() not in L._STOP for w in words[k : k + n]):
+                    found.add(" ".join(words[k : k + n]).encode())
+        z = [b + sum(weights[g][f] for g in found if g in weights) for f, b in enumerate(fitted.bias.tolist())]
+        e = [math.exp((x - max(z)) / fitted.temperature) for x in z]
+        best = max(range(len(e)), key=e.__getitem__)
+        family, p, *_ = fitted.classify(L.words_of(r.text))
+        assert (fitted.families[best] if e[best] / sum(e) >= fitted.least else L.UNKNOWN) == family
+        assert family == L.UNKNOWN or abs(e[best] / sum(e) - p) < 1e-4
+        checked += family == r.family
+    assert checked > 3
+
+
+def test_wrapped_buried_and_several_notices(fitted):
+    wrapped = "Thuu eran ofa.\nReleased under the\nMIT License.\nOra fuit."
+    assert [(x[3], x[7]) for x in L.scan_text(fitted, wrapped)] == [("MIT", "Released under the\nMIT License")]
+    buried = "bla " * 20_000 + "Licensed under the Apache License, Version 2.0. " + "bla " * 20_000
+    assert [(x[1], x[3]) for x in L.scan_text(fitted, buried)] == [(80_000, "Apache-2.0")]
+    both = "All rights reserved.\n\nqqq zzz\n\nDistributed under the LGPL."
+    assert [(x[0], x[3]) for x in L.scan_text(fitted, both)] == [(0, "Proprietary"), (2, "LGPL")]
 
 
 def test_skipping_without_content_changes_nothing(fitted):
