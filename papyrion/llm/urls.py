@@ -5,14 +5,22 @@ every key of the corpus. Level 1 encodes the listed keys; level 2 the unlisted
 keys of the corpus that pass level 1; level 3 the listed keys that pass level 2;
 and so on, until a level lets nothing wrong through. All levels are built from
 distinct keys by distributed aggregation (the bits of a word are combined before
-the shuffle), and only the words of a level, whose number is known and checked
-beforehand, come to the driver and go into the projection as one literal.
+the shuffle); the words of a level come to the driver and go into the projection
+as one literal.
+
+A level takes `LEVEL_BYTES` bytes at most. Keys are dealt by hash into as many shards
+as that takes (one for some millions of listed hosts), each with a cascade of its own,
+and the pages are judged by one shard after the other, in one projection each, so the
+method and its result are the same for a list of any length; a longer list takes
+more passes over the pages.
 
 Defined results
 * host: what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the
   end, with A-Z in lower case; path: what follows, up to ``?``, ``#`` or the
   end. Null, or no ``://``: both are empty;
 * an empty host is never listed, so such a row is allowed unless a rule fits;
+* listed keys are trimmed of spaces, and A-Z is taken in lower case; null and empty ones
+  list nothing;
 * nulls elsewhere, repeated rows and extra columns are carried through; the
   verdict is one struct column, ``out``, which replaces a column of that name;
 * empty table in, empty table out; with an empty list nothing is listed.
@@ -43,19 +51,20 @@ LISTED_HOSTS = tuple(
     f"{name}.example.{top}" for name in ("ads-track", "casino-win", "cheap-pills", "free-bets") for top in ("com", "net", "org")
 )
 
-#: The words of one level may take this many bytes in the plan; a longer list is joined instead.
-MAX_LEVEL_BYTES = 8 << 20
+#: The words of one level take this many bytes of a plan, at most.
+LEVEL_BYTES = 4 << 20
 #: More levels than this do not occur unless hashing is broken: each halves what is left.
 MAX_LEVELS = 64
 
 _WORD_BITS = 64
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.locate("://", url)
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), _UPPER, _LOWER)
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
@@ -83,14 +92,8 @@ class Level:
     def contains(self, key: Column) -> Column:
         # A constant cast of a constant string: the optimiser folds it into one array literal.
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        tests = []
-        for p in _positions(key, self.number, self.hashes, self.bits):
-            word = F.get(words, F.shiftright(p, 6).cast("int"))
-            tests.append(F.getbit(word, p.bitwiseAND(F.lit(_WORD_BITS - 1)).cast("int")) == 1)
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        places = F.array(*_positions(key, self.number, self.hashes, self.bits))
+        return F.forall(places, lambda p: F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(_WORD_BITS - 1)).cast("int")) == 1)
 
 
 @dataclass(frozen=True)
@@ -112,75 +115,84 @@ def _sized(n: int, p: float) -> tuple[int, int]:
     return bits, max(1, round(bits / n * math.log(2)))
 
 
-def _level(number: int, keys: DataFrame, n: int, p: float, max_bytes: int) -> Level:
+def _level(number: int, keys: DataFrame, n: int, p: float) -> Level:
     bits, hashes = _sized(n, p)
-    if bits // 8 > max_bytes:
-        raise OverflowError(f"level {number} takes {bits // 8} bytes; the bound is {max_bytes}")
     made = (
         keys.select(F.explode(F.array(*_positions(F.col("key"), number, hashes, bits))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("at"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("word"))
     )
     words = [0] * (bits // _WORD_BITS)
-    for row in made.collect():  # at most bits / 64 rows, checked above
+    for row in made.collect():  # at most bits / 64 rows, which the number of shards keeps below LEVEL_BYTES / 8
         words[row["at"]] = row["word"]
     return Level(number, bits, hashes, tuple(words))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, first: float | None = None, max_bytes: int = MAX_LEVEL_BYTES) -> Cascade:
-    """``listed`` and ``universe``: one column ``key``; keys may repeat and be null.
+def _cascade(inside: DataFrame, outside: DataFrame, n: int, p: float) -> Cascade:
+    """Over the keys ``inside`` (``n`` of them) and ``outside``, distinct and apart."""
+    levels: list[Level] = []
+    while n:
+        if len(levels) == MAX_LEVELS:
+            raise RuntimeError("the cascade does not end")
+        level = _level(len(levels) + 1, inside, n, p)
+        levels.append(level)
+        wrong = stage(outside.where(level.contains(F.col("key"))), f"cascade-level-{level.number}")
+        inside, outside, n, p = wrong, inside, wrong.count(), 0.5
+    return Cascade(tuple(levels))
+
+
+def shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(shards))
+
+
+def build_cascades(listed: DataFrame, universe: DataFrame, first: float | None = None, level_bytes: int = LEVEL_BYTES) -> list[Cascade]:
+    """One cascade for each shard of the keys; ``listed`` and ``universe`` have one column ``key``, which may repeat and be null.
 
     ``first`` is the false-positive rate of level 1; by default it leaves about
     as many false positives as there are listed keys. All further levels use 1/2.
     """
     inside = stage(listed.where(F.col("key").isNotNull()).distinct(), "cascade-listed")
-    outside = stage(
-        universe.where(F.col("key").isNotNull()).distinct().join(inside, "key", "left_anti"), "cascade-others"
-    )
+    outside = stage(universe.where(F.col("key").isNotNull()).distinct().join(inside, "key", "left_anti"), "cascade-others")
     n, others = inside.count(), outside.count()
-    levels: list[Level] = []
-    number, p = 1, first or min(0.5, max(1e-4, n / max(others, 1) / math.sqrt(2)))
-    while n:
-        if number > MAX_LEVELS:
-            raise RuntimeError("the cascade does not end")
-        level = _level(number, inside, n, p, max_bytes)
-        levels.append(level)
-        wrong = outside.where(level.contains(F.col("key")))
-        inside, outside = stage(wrong, f"cascade-level-{number}"), inside
-        n, number, p = inside.count(), number + 1, 0.5
-    return Cascade(tuple(levels))
+    p = first or min(0.5, max(1e-9, n / max(others, 1) / math.sqrt(2)))
+    # Half a level is left free, as shards are not quite equal and level 2 may be larger than planned.
+    shards = max(1, math.ceil(_sized(n, p)[0] / 4 / level_bytes)) if n else 1
+    if shards == 1:
+        return [_cascade(inside, outside, n, p)]
+    own = F.col("shard")
+    inside, outside = (stage(x.select("key", shard(F.col("key"), shards).alias("shard")), "cascade-shards", ["shard"]) for x in (inside, outside))
+    counts = {r["shard"]: r["count"] for r in inside.groupBy("shard").count().collect()}  # one row a shard
+    return [_cascade(inside.where(own == k).select("key"), outside.where(own == k).select("key"), counts.get(k, 0), p) for k in range(shards)]
 
 
 def _fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
     return ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(rule_path)
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", out: str = "url_verdict", rules=RULES, max_bytes: int = MAX_LEVEL_BYTES) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", out: str = "url_verdict", rules=RULES, level_bytes: int = LEVEL_BYTES) -> DataFrame:
     """``pages`` with a struct of host, path, rule, listed and verdict.
 
     ``listed`` has one column ``key`` of host names. The longest rule that fits
     decides; without one, a listed host (or a subdomain of one) is blocked.
     """
-    spark = pages.sparkSession
-    listed = listed.select(F.lower(F.trim(F.col("key").cast("string"))).alias("key")).where("key <> ''")
+    listed = listed.select(F.translate(F.trim(F.col("key").cast("string")), _UPPER, _LOWER).alias("key")).where("key <> ''")
     labels = listed.agg(F.max(F.size(F.split("key", "\\.")))).first()[0] or 0
     names = [c for c in pages.columns if c != out]
-    df = pin(pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{url}`").cast("string").alias("__url")), __host=host_and_path(F.col("__url"))[0], __path=host_and_path(F.col("__url"))[1])
+    df = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{url}`").cast("string").alias("__url"))
+    host, path = host_and_path(F.col("__url"))
+    df = pin(df, __host=host, __path=path)
     # Hosts first, so that a hot host is one row before its suffixes are spelt out.
     hosts = df.select(F.col("__host").alias("host")).distinct()
     universe = hosts.select(F.explode(suffixes(F.col("host"), labels)).alias("key"))
-    try:
-        cascade = build_cascade(listed, universe, max_bytes=max_bytes)
-        df = pin(df, __keys=suffixes(F.col("__host"), labels))
-        df = df.withColumn("__listed", F.exists("__keys", cascade.contains))
-    except OverflowError:  # a list beyond the bound: join the hosts that are listed
-        hit = (
-            hosts.select("host", F.explode(suffixes(F.col("host"), labels)).alias("key"))
-            .join(listed.distinct(), "key", "left_semi")
-            .select(F.col("host").alias("__host"), F.lit(True).alias("__listed"))
-            .distinct()
-        )
-        df = df.join(hit, "__host", "left").withColumn("__listed", F.coalesce("__listed", F.lit(False)))
+    cascades = build_cascades(listed, universe, level_bytes=level_bytes)
+    df = pin(df, __keys=suffixes(F.col("__host"), labels)).withColumn("__listed", F.lit(False))
+    for k, cascade in enumerate(cascades):
+        if not cascade.levels:
+            continue
+        mine = F.filter("__keys", lambda x: shard(x, len(cascades)) == k) if len(cascades) > 1 else F.col("__keys")  # noqa: B023
+        df = df.withColumn("__listed", F.col("__listed") | F.exists(mine, cascade.contains))
+        if k + 1 < len(cascades):  # a plan holds one cascade
+            df = stage(df, "judged-by-shard")
     rule = F.lit(None).cast("string")
     decided = F.when(F.col("__listed"), "block").otherwise("allow")
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest ends up outermost
