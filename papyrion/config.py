@@ -24,6 +24,8 @@ class ChunkConfig:
     max_size: int = 1500
     hybrid_pages: int = 5
     overlap_zero: str = "compat"
+    #: Names the embedder in strict cache keys; the class of the embedder where it is not given.
+    embedder: str | None = None
 
     def __post_init__(self):
         if not 0 <= self.overlap < self.size:

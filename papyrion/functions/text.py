@@ -45,6 +45,20 @@ def saved_label(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm dd/MM")
 
 
+def _tenths(n: Column) -> Column:
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def size_label(n_bytes: Column) -> Column:
+    """Megabytes with one decimal, halves up, from whole numbers, so that no float is formatted."""
+    return F.concat(_tenths(F.floor((n_bytes.cast("long") * 10 + 524288) / 1048576)), F.lit(" MB"))
+
+
+def time_label(milliseconds: Column) -> Column:
+    """Seconds with one decimal, halves up."""
+    return F.concat(_tenths(F.floor((milliseconds.cast("long") + 50) / 100)), F.lit("s"))
+
+
 def safe_label(label: Column) -> Column:
     """A label as part of a key: slashes, spaces and colons become underscores."""
     return F.translate(label, "/ :", "___")

@@ -2,8 +2,10 @@
 
 A log has (session_id, seq, kind, conv_id). Kinds: ``message``, ``error``, ``save``
 (puts the conversation into the history, or overwrites its place there), ``load``
-(makes a conversation of the history the current one), ``new``, ``discard``
-(nothing is current), ``delete`` (takes one out of the history), ``clear`` (empties it).
+(makes a conversation of the history the current one), ``new`` and ``ingest`` (a new chat,
+or a new file: save the conversation they name, if any, and then nothing is current),
+``discard`` (nothing is current; what was saved stays), ``delete`` (takes one out of the
+history), ``clear`` (empties it).
 
 The history is aggregated from the log before it is shuffled; positions in it
 come from a global order of its rows. So a session with a third of all events is
@@ -25,6 +27,11 @@ from papyrion.operators.order import anchored, in_order, numbered
 ERROR_PREFIX = "Error:"
 
 
+def _saves():
+    """Events that put the conversation they name into the history."""
+    return (F.col("kind") == "save") | (F.col("kind").isin("new", "ingest") & F.col("conv_id").isNotNull())
+
+
 def messages(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, content, is_error) in the order of turns."""
     failed = (F.col("role") == "assistant") & F.coalesce(F.col("text").startswith(ERROR_PREFIX), F.lit(False))
@@ -32,10 +39,10 @@ def messages(turns: DataFrame) -> DataFrame:
 
 
 def titles(turns: DataFrame) -> DataFrame:
-    """By conversation: ``title`` of the first turn, and ``user_title`` of the first turn of a user."""
+    """By conversation: ``title`` of the first turn, ``user_title`` of the first turn of a user, and ``error_title``, which a failed save gives."""
     first = lambda kept: F.min_by("text", F.when(kept, F.col("turn")))
     made = turns.groupBy("conv_id").agg(first(F.lit(True)).alias("t"), first(F.col("role") == "user").alias("u"))
-    return made.select("conv_id", title(F.col("t")).alias("title"), title(F.col("u")).alias("user_title"))
+    return made.select("conv_id", title(F.col("t")).alias("title"), title(F.col("u")).alias("user_title"), title(F.col("t"), always=True).alias("error_title"))
 
 
 def snapshots(turns: DataFrame) -> DataFrame:
@@ -48,6 +55,26 @@ def snapshots(turns: DataFrame) -> DataFrame:
     )
 
 
+def saved_conversations(turns: DataFrame, log: DataFrame) -> DataFrame:
+    """(session_id, conv_id, saved_at, title, messages): each conversation of the history, as it is kept.
+
+    ``log`` also has ``ts``; ``saved_at`` is that of the last save. ``messages`` is an array of
+    (role, content) in the order of turns; a conversation that has no turns has nothing to save.
+    """
+    last = history(log).select("session_id", "conv_id", F.col("last_seq").alias("seq"))
+    times = log.groupBy("session_id", "conv_id", "seq").agg(F.max("ts").alias("saved_at"))
+    at = _join(last, times, ["session_id", "conv_id", "seq"], "left").drop("seq")
+    # A conversation is gathered as one row by definition, and once for all sessions that have it.
+    wanted = turns.join(at.select("conv_id").distinct(), "conv_id", "left_semi")
+    whole = wanted.groupBy("conv_id").agg(
+        title(F.min_by("text", "turn")).alias("title"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
+        ).alias("messages"),
+    )
+    return at.join(whole, "conv_id").select("session_id", "conv_id", "saved_at", "title", "messages")
+
+
 def load(turns: DataFrame, wanted: DataFrame) -> DataFrame:
     """The messages of the conversations in ``wanted`` (conv_id); one that does not exist gives nothing."""
     return messages(turns.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi"))
@@ -68,7 +95,7 @@ def history(log: DataFrame) -> DataFrame:
     by = ["session_id", "conv_id"]
     gone = log.groupBy("session_id").agg(F.max(F.when(F.col("kind") == "clear", F.col("seq"))).alias("cleared"))
     deleted = log.where("kind = 'delete'").groupBy(*by).agg(F.max("seq").alias("deleted"))
-    saves = log.where("kind = 'save'").groupBy(*by, "seq").agg(F.lit(1).alias("one"))
+    saves = log.where(_saves()).groupBy(*by, "seq").agg(F.lit(1).alias("one"))
     same = lambda other, names: [F.col(n).eqNullSafe(other[f"__{n}"]) for n in names]
     renamed = lambda df, names: df.withColumnsRenamed({n: f"__{n}" for n in names})
     d, g = renamed(deleted, by), renamed(gone, by[:1])
@@ -99,31 +126,39 @@ def current(log: DataFrame) -> DataFrame:
     known = with_last_clear(log)
     so_far = Window.partitionBy("session_id", "conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq"))).over(so_far)
-    seen = known.where("kind in ('save', 'load', 'delete')").select("*", last("save").alias("saved"), last("delete").alias("deleted"))
+    put = F.max(F.when(_saves(), F.col("seq"))).over(so_far)
+    seen = known.where("kind in ('save', 'load', 'delete', 'new', 'ingest')").select("*", put.alias("saved"), last("delete").alias("deleted"))
     there = F.col("saved").isNotNull() & (F.coalesce(F.greatest("deleted", "last_clear"), F.lit(-1)) < F.col("saved"))
-    sets = seen.where("kind <> 'delete'").where(there).groupBy("session_id").agg(
+    sets = seen.where("kind in ('save', 'load')").where(there).groupBy("session_id").agg(
         F.max("seq").alias("set_seq"), F.max_by("conv_id", "seq").alias("conv_id")
     )
     # A delete of another conversation only shifts positions, which are not kept here.
     deletes = log.where("kind = 'delete'").groupBy("session_id", "conv_id").agg(F.max("seq").alias("deleted_seq"))
-    ends = log.where("kind in ('new', 'discard', 'clear')").groupBy("session_id").agg(F.max("seq").alias("end_seq"))
+    ends = log.where("kind in ('new', 'ingest', 'discard', 'clear')").groupBy("session_id").agg(F.max("seq").alias("end_seq"))
     joined = _join(_join(sets, deletes, ["session_id", "conv_id"], "left"), ends, ["session_id"], "left")
     over = F.coalesce(F.greatest("deleted_seq", "end_seq"), F.lit(-1))
     return joined.where(F.col("set_seq") > over).select("session_id", "conv_id")
 
 
-def recent(saved: DataFrame, n: int = 5) -> DataFrame:
-    """The last ``n`` of each session's history, oldest first in ``shown``, with the number of all."""
+def recent(saved: DataFrame, n: int = 5, now: DataFrame | None = None) -> DataFrame:
+    """The last ``n`` of each session's history, oldest first in ``shown``, with the number of all.
+
+    With ``now``, as `current` gives it, ``is_current`` marks the current conversation.
+    """
     totals = saved.groupBy("session_id").agg(F.count("*").alias("n_saved"))
     back = Window.partitionBy("session_id").orderBy(F.desc("first_seq"), F.desc("conv_id"))
     last = saved.withColumn("back", F.row_number().over(back)).where(F.col("back") <= n)
     joined = _join(last, totals, ["session_id"])
-    return joined.select("session_id", "conv_id", (F.least(F.lit(n), "n_saved") - F.col("back") + 1).alias("shown"), "n_saved")
+    shown = joined.select("session_id", "conv_id", (F.least(F.lit(n), "n_saved") - F.col("back") + 1).alias("shown"), "n_saved")
+    if now is None:
+        return shown
+    marked = _join(shown, now.withColumn("is_current", F.lit(True)), ["session_id", "conv_id"], "left")
+    return marked.withColumn("is_current", F.coalesce("is_current", F.lit(False)))
 
 
 def errors(log: DataFrame) -> DataFrame:
     """By session: errors, and those after its last save, which no save holds yet."""
-    last = log.groupBy("session_id").agg(F.max(F.when(F.col("kind") == "save", F.col("seq"))).alias("saved"))
+    last = log.groupBy("session_id").agg(F.max(F.when(_saves(), F.col("seq"))).alias("saved"))
     failed = _join(log.where("kind = 'error'").select("session_id", "seq"), last, ["session_id"])
     return failed.groupBy("session_id").agg(
         F.count("*").alias("n_errors"), F.count_if(F.col("saved").isNull() | (F.col("seq") > F.col("saved"))).alias("n_unsaved")

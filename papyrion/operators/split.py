@@ -124,14 +124,15 @@ def cosine_distances(vectors: np.ndarray) -> np.ndarray:
     return np.where(norms > 0, 1 - dots / np.where(norms > 0, norms, 1), 1.0).round(9)
 
 
-def semantic_chunks(text: str, embed: Embedder, config: ChunkConfig) -> list[tuple[int, str]]:
-    """(start, chunk) of one page; starts add up the lengths of the chunks before."""
-    sentences = _SENTENCE.split(text)
+def _windows(sentences: list[str], buffer: int) -> list[str]:
+    """Each sentence with its neighbours; none if there is nothing to compare."""
+    return [" ".join(sentences[max(0, i - buffer) : i + buffer + 1]) for i in range(len(sentences))] if len(sentences) > 1 else []
+
+
+def _grouped(sentences: list[str], vectors: np.ndarray, config: ChunkConfig) -> list[tuple[int, str]]:
     cuts: list[int] = []
     if len(sentences) > 1:
-        b = config.buffer
-        around = [" ".join(sentences[max(0, i - b) : i + b + 1]) for i in range(len(sentences))]
-        distances = cosine_distances(np.asarray(embed(around), np.float64))
+        distances = cosine_distances(vectors)
         cuts = np.flatnonzero(distances > np.percentile(distances, config.threshold)).tolist()
     out, first, at = [], 0, 0
     for cut in cuts:
@@ -144,31 +145,65 @@ def semantic_chunks(text: str, embed: Embedder, config: ChunkConfig) -> list[tup
     return out
 
 
+def semantic_pages(texts: list[str], embed: Embedder, config: ChunkConfig) -> list[list[tuple[int, str]] | None]:
+    """`semantic_chunks` of several pages with one call of the embedder; None for a page that it fails on."""
+    cut = [_SENTENCE.split(t) for t in texts]
+    around = [_windows(sentences, config.buffer) for sentences in cut]
+    flat = [w for windows in around for w in windows]
+    try:
+        vectors = np.asarray(embed(flat), np.float64) if flat else np.empty((0, 0))
+        if len(vectors) != len(flat):
+            raise ValueError("the embedder gives another number of vectors than texts")
+    except Exception:  # noqa: BLE001  whatever a model raises; which page it was shows when they are asked one by one
+        return [None] if len(texts) == 1 else [semantic_pages([t], embed, config)[0] for t in texts]
+    ends = np.cumsum([len(w) for w in around])
+    return [_grouped(sentences, vectors[end - len(w) : end], config) for sentences, w, end in zip(cut, around, ends.tolist())]
+
+
+def semantic_chunks(text: str, embed: Embedder, config: ChunkConfig) -> list[tuple[int, str]]:
+    """(start, chunk) of one page; starts add up the lengths of the chunks before."""
+    sentences = _SENTENCE.split(text)
+    windows = _windows(sentences, config.buffer)
+    return _grouped(sentences, np.asarray(embed(windows), np.float64) if windows else np.empty((0, 0)), config)
+
+
+#: Pages whose sentences are embedded in one call.
+EMBED_PAGES = 64
+
+
 def split_pages(pages: DataFrame, config: ChunkConfig, embed: Embedder | None = None) -> DataFrame:
-    """(batch_id, page_no, piece, start_index, text) of each chunk, in the order of the pages.
+    """(batch_id, page_no, piece, start_index, failed, text) of each chunk, in the order of the pages.
 
     ``pages``: (batch_id, page_no, text) and, from `route`, ``strategy_executed``;
     without that column, the strategy of ``config`` holds for all. By meaning only
-    if there is an embedder.
+    if there is an embedder; a page that the embedder fails on gets fixed chunks, marked
+    ``failed``.
     """
     chosen = F.col("strategy_executed") if "strategy_executed" in pages.columns else F.lit(executed(config.strategy, embed))
     rows = pages.select("batch_id", "page_no", F.col("text").cast("string").alias("text"), chosen.alias("strategy"))
 
+    def found_of(texts: list[str], strategies: list[str]) -> Iterator[tuple[int, bool, list[tuple[int, str]]]]:
+        asked = [i for i, s in enumerate(strategies) if s == "semantic"]
+        meant = dict(zip(asked, semantic_pages([texts[i] for i in asked], embed, config))) if asked else {}
+        for i, text in enumerate(texts):
+            made = meant.get(i)
+            yield i, i in meant and made is None, fixed_chunks(text, config.size, config.overlap) if made is None else made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, piece, start, chunks = [], [], [], []
-            for i, (text, strategy) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-                text = text.as_py() or ""
-                found = semantic_chunks(text, embed, config) if strategy == "semantic" else fixed_chunks(text, config.size, config.overlap)
-                for k, (low, chunk) in enumerate(found):
-                    at.append(i)
-                    piece.append(k)
-                    start.append(low)
-                    chunks.append(chunk)
+            at, piece, start, failed, chunks = [], [], [], [], []
+            for low in range(0, batch.num_rows, EMBED_PAGES):
+                texts = [t.as_py() or "" for t in batch.column(2)[low : low + EMBED_PAGES]]
+                for i, bad, found in found_of(texts, batch.column(3)[low : low + EMBED_PAGES].to_pylist()):
+                    at += [low + i] * len(found)
+                    failed += [bad] * len(found)
+                    piece += range(len(found))
+                    start += [s for s, _ in found]
+                    chunks += [c for _, c in found]
             taken = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(piece, pa.int32()), pa.array(start, pa.int32()), pa.array(chunks, pa.string())],
-                ["batch_id", "page_no", "piece", "start_index", "text"],
+                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(piece, pa.int32()), pa.array(start, pa.int32()), pa.array(failed, pa.bool_()), pa.array(chunks, pa.string())],
+                ["batch_id", "page_no", "piece", "start_index", "failed", "text"],
             )
 
     made = [
@@ -176,6 +211,7 @@ def split_pages(pages: DataFrame, config: ChunkConfig, embed: Embedder | None =
         rows.schema["page_no"],
         T.StructField("piece", T.IntegerType()),
         T.StructField("start_index", T.IntegerType()),
+        T.StructField("failed", T.BooleanType()),
         T.StructField("text", T.StringType()),
     ]
     return rows.mapInArrow(run, T.StructType(made))

@@ -7,7 +7,10 @@ pair of blocks is one product of matrices that gives back k rows per query, and
 a ranked window keeps the k best of those, limited before the shuffle. Nothing
 comes to the driver.
 
-Defined results: rows without a vector are no neighbours and ask nothing; equal
+Every block of queries meets every block of vectors, since an exact answer takes each
+distance; a pair of blocks is the work of one task and of bounded size.
+
+Defined results: rows without a vector or an id are no neighbours and ask nothing; equal
 distances (to nine digits) rank by id; vectors must agree in length; fewer than k
 rows give fewer neighbours; empty tables give empty tables.
 """
@@ -61,10 +64,20 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` rows of ``vectors`` nearest to one query vector, with ``distance`` (squared L2)."""
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 for a vector of zeros."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+
+
+def top_k(
+    vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_id", vector: str = "embedding", metric: str = "l2"
+) -> DataFrame:
+    """The ``k`` rows of ``vectors`` nearest to one query vector, with ``distance`` (squared L2, or cosine)."""
     asked = F.array(*[F.lit(float(x)) for x in query])
-    near = vectors.where(F.col(vector).isNotNull()).select(key, squared_l2(F.col(vector), asked).alias("distance"))
+    distance = squared_l2 if metric == "l2" else cosine_distance
+    there = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    near = there.select(key, distance(F.col(vector), asked).alias("distance"))
     return near.orderBy(F.round("distance", 9), key).limit(k)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from papyrion.functions import text as T
 from papyrion.operators import chat, sizing, split, vectors
 from papyrion.operators.order import in_order, numbered
 from papyrion.plans import oracles, pipeline
+from papyrion.session import stage, staging_path
 from papyrion.sources import cache, pages
 from papyrion.sources.tables import table
 
@@ -50,6 +53,17 @@ def scan_pages(spark, sf_dir):
     return _by_source(spark, sf_dir).select("batch_id", "page_no", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def scan_uploads(spark, sf_dir):
+    """Files of pages, divided by form feeds, as they would be uploaded; one by one, they are parsed into pages."""
+    path = staging_path(spark, "uploads")
+    texts = _docs(spark, sf_dir).where("text <> ''").select("source", "text")
+    texts.write.partitionBy("source").option("lineSep", "\f").text(path)
+    found = pages.scan_files(spark, path, pages.text_parser, "*.txt").where("text <> '' AND error IS NULL")
+    source = F.regexp_extract("batch_id", "source=([^/]*)/", 1)
+    return found.select(source.alias("source"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query
 def batch_text(spark, sf_dir):
     return pages.batch_text(pages.line_pages(_docs(spark, sf_dir)))
@@ -86,6 +100,33 @@ def semantic_chunks(spark, sf_dir):
     return made.select(F.col("batch_id").alias("doc_id"), F.col("piece").cast("long").alias("piece"), F.col("start_index").cast("long").alias("start_index"), "text")
 
 
+class FailingEmbedder(split.HashEmbedder):
+    """Fails on texts with a letter that it does not know."""
+
+    def __call__(self, texts):
+        if any("ß" in t for t in texts):
+            raise ValueError("unknown letter")
+        return super().__call__(texts)
+
+
+@query
+def semantic_fallback(spark, sf_dir):
+    """Chunks by meaning, and fixed ones of the batches that the embedder fails on."""
+    made = pipeline.placed_chunks(_doc_pages(spark, sf_dir), SEMANTIC, FailingEmbedder())
+    return made.select(F.col("batch_id").alias("doc_id"), F.col("piece").cast("long").alias("piece"), F.col("start_index").cast("long").alias("start_index"), "text")
+
+
+def _broken(*_):
+    raise RuntimeError("no chunks today")
+
+
+@query
+def emergency_chunks(spark, sf_dir):
+    """What is left when the chunker fails as a whole."""
+    made, error = pipeline.chunk_or_plain(_doc_pages(spark, sf_dir), HYBRID, split.HashEmbedder(), _broken)
+    return made.select(F.col("batch_id").alias("doc_id"), F.col("piece").cast("long").alias("piece"), "text", F.lit(error).alias("error"))
+
+
 @query
 def hybrid_route(spark, sf_dir):
     routed = split.route(pages.line_pages(_docs(spark, sf_dir)), HYBRID, split.HashEmbedder())
@@ -149,7 +190,20 @@ def chunk_stats(spark, sf_dir):
 
 @query
 def run_report(spark, sf_dir):
-    return pipeline.report(_doc_pages(spark, sf_dir), _doc_chunks(spark, sf_dir), FIXED)
+    return pipeline.report(_doc_pages(spark, sf_dir), _doc_chunks(spark, sf_dir), FIXED, mode="compat", took_ms=1250)
+
+
+@query
+def run_report_cached(spark, sf_dir):
+    """If the documents in English are in the cache: what hits are said to be, and misses."""
+    return pipeline.report(_doc_pages(spark, sf_dir), _doc_chunks(spark, sf_dir), FIXED, mode="compat", cached=_keys(spark, sf_dir, "en"), took_ms=1250)
+
+
+@query
+def run_report_emergency(spark, sf_dir):
+    rows = _doc_pages(spark, sf_dir)
+    made, error = pipeline.chunk_or_plain(rows, FIXED, None, _broken)
+    return pipeline.report(rows, made, FIXED, mode="compat", took_ms=1250, error=error)
 
 
 @query
@@ -185,6 +239,26 @@ def cache_info(spark, sf_dir):
     return cache.info(texts.groupBy(*cache.KEY).agg(F.min_by("text", "doc_id").alias("text")))
 
 
+@query
+def cache_clear(spark, sf_dir):
+    """What a cache on disk holds after an append, after the same append again, and after it is cleared."""
+    held = cache.ChunkCache(spark, staging_path(spark, "cache"))
+    texts = _docs(spark, sf_dir).select("doc_id", "text", T.content_fingerprint(F.col("text")).alias("content_fp"), cache.config_key(FIXED, "compat").alias("config_fp"))
+    entries = texts.groupBy(*cache.KEY).agg(F.min_by("text", "doc_id").alias("text"))
+    states = []
+    for step, act in enumerate((lambda: None, lambda: held.append(entries), lambda: held.append(entries), held.clear)):
+        act()
+        # Written, since the next step changes what the table holds.
+        states.append(stage(held.info().select(F.lit(step).cast("long").alias("step"), "cache_files", "total_size_mb", F.endswith("cache_dir", F.lit(held.path)).alias("same_dir")), "cache-state"))
+    return reduce(DataFrame.unionByName, states)
+
+
+@query
+def size_labels(spark, sf_dir):
+    n = F.octet_length("text")
+    return _docs(spark, sf_dir).select("doc_id", T.size_label(n * 37).alias("size"), T.time_label(n).alias("time"))
+
+
 @query
 def hash_embed(spark, sf_dir):
     return vectors.bucket_counts(_docs(spark, sf_dir), "doc_id", "text").withColumn("bucket", F.col("bucket").cast("long"))
@@ -243,6 +317,20 @@ def build_prompt(spark, sf_dir):
     return pipeline.contexts(ranked, docs).join(asked, "query_id").select("query_id", T.build_prompt(F.col("context"), F.col("question")).alias("prompt"))
 
 
+def _said_length(prompts):
+    """Stands in for a model: its reply goes on behind the prompt."""
+    return [f"{p} {len(p)} characters. " for p in prompts]
+
+
+@query
+def answers(spark, sf_dir):
+    """Questions made of every hundredth document, answered from the documents nearest to them."""
+    docs = _docs(spark, sf_dir)
+    questions = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), T.title(F.col("text")).alias("question"))
+    passages = docs.select(F.col("doc_id").alias("vec_id"), "text")
+    return pipeline.answer(questions, passages, split.HashEmbedder(), _said_length)
+
+
 def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations")
 
@@ -277,12 +365,13 @@ def load_conversation(spark, sf_dir):
 # What each kind of event stands for in the log; the conversation is the number in its properties.
 KINDS = {"click": "message", "purchase": "save", "view": "load", "signup": "delete", "error": "error"}
 CLEARING = KINDS | {"signup": "clear"}
+RESETTING = {"click": "message", "purchase": "save", "view": "ingest", "signup": "discard", "error": "new"}
 
 
 def _log(spark, sf_dir, kinds=KINDS):
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("conv_id")
+        "ts", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("conv_id")
     )
 
 
@@ -291,6 +380,20 @@ def conversation_state(spark, sf_dir):
     return chat.state(_log(spark, sf_dir, CLEARING))
 
 
+@query
+def session_resets(spark, sf_dir):
+    """The state of sessions that begin new chats, load new files and discard chats."""
+    return chat.state(_log(spark, sf_dir, RESETTING))
+
+
+@query
+def saved_conversations(spark, sf_dir):
+    """The history as it is kept, with the messages of each conversation as lines."""
+    made = chat.saved_conversations(_turns(spark, sf_dir), _log(spark, sf_dir, RESETTING))
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return made.select("session_id", "conv_id", T.saved_label(F.col("saved_at")).alias("saved_at"), "title", F.size("messages").cast("long").alias("n_messages"), lines.alias("messages"))
+
+
 @query
 def delete_conversation(spark, sf_dir):
     """What is left of each history after deletes, with positions that have moved up."""
@@ -304,7 +407,8 @@ def clear_history(spark, sf_dir):
 
 @query
 def recent_conversations(spark, sf_dir):
-    made = chat.recent(chat.history(_log(spark, sf_dir)))
+    log = _log(spark, sf_dir)
+    made = chat.recent(chat.history(log), now=chat.current(log))
     return made.withColumn("shown", F.col("shown").cast("long"))
 
 

@@ -81,6 +81,11 @@ history AS (
   GROUP BY s.session_id, s.conv_id)"""
 
 
+# Of sessions in which new chats and new files save the conversation that they end.
+_RESETS = """log AS (SELECT ts, user_id AS session_id, event_id AS seq, (props->>'$.k')::BIGINT AS conv_id,
+  CASE event_type WHEN 'click' THEN 'message' WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'ingest' WHEN 'signup' THEN 'discard' WHEN 'error' THEN 'new' END AS kind FROM events),
+put AS (SELECT session_id, conv_id, max(seq) AS last_seq FROM log WHERE kind = 'save' OR kind IN ('new', 'ingest') AND conv_id IS NOT NULL GROUP BY session_id, conv_id)"""
+
 _NEAR = """near AS (
   SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)), 9) AS d
   FROM v q JOIN v ON q.vec_id % 100 = 0),
@@ -91,8 +96,8 @@ _CONTEXT = "context AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORD
 _KEYS = f"WITH k AS (SELECT doc_id, lang, {_FP.format('text')} AS content_fp FROM documents)"
 _BUCKET = "(ascii(substr(md5(token), 1, 1)) * 16 + ascii(substr(md5(token), 2, 1))) % 64"
 _REPORT = f"""{_pipeline("doc_id")}, n AS (SELECT batch_id, count(*) AS num_chunks FROM folded GROUP BY batch_id),
-report AS (SELECT doc_id AS batch_id, 'fixed' AS strategy, coalesce(num_chunks, 0) AS num_chunks, false AS cache_hit, left({_FP.format('text')}, 8) AS content_hash,
-       left({_CFG.format("'fixed'", "1000", "100")}, 8) AS config_hash, 1000::BIGINT AS chunk_size, 100::BIGINT AS overlap, 200::BIGINT AS min_size, 1500::BIGINT AS max_size
+report AS (SELECT doc_id AS batch_id, 'fixed' AS strategy, coalesce(num_chunks, 0) AS num_chunks, 1250::BIGINT AS took_ms, false AS cache_hit, left({_FP.format('text')}, 8) AS content_hash,
+       left({_CFG.format("'fixed'", "1000", "100")}, 8) AS config_hash, 1000::BIGINT AS chunk_size, 100::BIGINT AS overlap, 200::BIGINT AS min_size, 1500::BIGINT AS max_size, NULL::VARCHAR AS error
 FROM documents LEFT JOIN n ON batch_id = doc_id)"""
 
 _SEMANTIC = rf"""WITH RECURSIVE
@@ -125,6 +130,11 @@ ORACLES = {
     "chunk_sizes": "SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents",
     "fixed_chunks": f"WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, start_index, text FROM chunk",
     "semantic_chunks": _SEMANTIC,
+    "semantic_fallback": f"""SELECT * FROM ({_SEMANTIC}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE text LIKE '%ß%' AND regexp_matches(text, '[.?!]\\s'))
+        UNION ALL SELECT * FROM (WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, start_index, text FROM chunk)
+        WHERE doc_id IN (SELECT doc_id FROM documents WHERE text LIKE '%ß%' AND regexp_matches(text, '[.?!]\\s'))""",
+    "emergency_chunks": f"WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, text, 'RuntimeError: no chunks today' AS error FROM chunk",
+    "scan_uploads": "SELECT source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents WHERE text <> ''",
     "hybrid_route": """SELECT doc_id, 'hybrid' AS strategy_requested, s AS strategy_executed, s AS strategy_reported, n AS n_pages
         FROM (SELECT doc_id, n, CASE WHEN n <= 5 THEN 'semantic' ELSE 'fixed' END AS s FROM (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents))""",
     **{
@@ -145,13 +155,26 @@ ORACLES = {
     "chunk_stats": f"""{_pipeline('doc_id')} SELECT batch_id AS doc_id, count(*) AS n_chunks, min(length(text))::BIGINT AS least,
         max(length(text))::BIGINT AS most, sum(length(text))::BIGINT AS total FROM folded GROUP BY batch_id""",
     "run_report": f"{_REPORT} SELECT * FROM report",
-    "run_report_text": f"""{_REPORT} SELECT batch_id, array_to_string(['Strategy: ' || strategy, 'Chunks: ' || num_chunks, 'Cache: miss', 'Content: ' || content_hash,
+    "run_report_cached": f"""{_REPORT}, hit AS (SELECT a.doc_id FROM documents a WHERE {_FP.format('a.text')} IN (SELECT {_FP.format('text')} FROM documents WHERE lang = 'en'))
+        SELECT batch_id, CASE WHEN h THEN 'cached' ELSE strategy END AS strategy, num_chunks, CASE WHEN h THEN 100 ELSE took_ms END::BIGINT AS took_ms, h AS cache_hit, content_hash, config_hash,
+        CASE WHEN NOT h THEN chunk_size END AS chunk_size, CASE WHEN NOT h THEN overlap END AS overlap, CASE WHEN NOT h THEN min_size END AS min_size,
+        CASE WHEN NOT h THEN max_size END AS max_size, error FROM (SELECT *, batch_id IN (SELECT doc_id FROM hit) AS h FROM report)""",
+    "run_report_emergency": f"""WITH RECURSIVE {_DOC}, {_fixed('doc')}, n AS (SELECT key, count(*) AS num_chunks FROM chunk GROUP BY key)
+        SELECT doc_id AS batch_id, 'emergency_fallback' AS strategy, coalesce(num_chunks, 0) AS num_chunks, 1250::BIGINT AS took_ms, false AS cache_hit,
+        left({_FP.format('text')}, 8) AS content_hash, left({_CFG.format("'fixed'", "1000", "100")}, 8) AS config_hash, NULL::BIGINT AS chunk_size, NULL::BIGINT AS overlap,
+        NULL::BIGINT AS min_size, NULL::BIGINT AS max_size, 'RuntimeError: no chunks today' AS error FROM documents LEFT JOIN n ON key = doc_id""",
+    "run_report_text": f"""{_REPORT} SELECT batch_id, array_to_string(['Strategy: ' || strategy, 'Chunks: ' || num_chunks, 'Time: 1.3s', 'Cache: miss', 'Content: ' || content_hash,
         'Config: ' || config_hash, 'Size: 1000', 'Overlap: 100'], chr(10)) AS text FROM report""",
     "cache_key": f"{_KEYS} SELECT doc_id, content_fp, {_CFG.format(chr(39) + 'fixed' + chr(39), '1000', '100')} AS config_fp FROM k",
     "cache_hits": f"{_KEYS} SELECT doc_id, content_fp FROM k SEMI JOIN (SELECT content_fp FROM k WHERE lang = 'en') c USING (content_fp)",
     "cache_misses": f"{_KEYS} SELECT doc_id, content_fp FROM k ANTI JOIN (SELECT content_fp FROM k WHERE lang = 'en') c USING (content_fp)",
     "cache_info": f"""SELECT count(*) AS cache_files, round(sum(n) / 1048576, 6) AS total_size_mb
         FROM (SELECT {_FP.format('text')} AS fp, arg_min(octet_length(encode(text)), doc_id) AS n FROM documents GROUP BY fp)""",
+    "cache_clear": f"""WITH held AS (SELECT count(*) AS cache_files, round(sum(n) / 1048576, 6) AS total_size_mb
+          FROM (SELECT {_FP.format('text')} AS fp, arg_min(octet_length(encode(text)), doc_id) AS n FROM documents GROUP BY fp))
+        SELECT step, CASE WHEN step IN (1, 2) THEN cache_files ELSE 0 END AS cache_files, CASE WHEN step IN (1, 2) THEN total_size_mb ELSE 0 END AS total_size_mb, true AS same_dir FROM held, range(0, 4) a(step)""",
+    "size_labels": """SELECT doc_id, ((37 * n * 10 + 524288) // 1048576 // 10) || '.' || ((37 * n * 10 + 524288) // 1048576 % 10) || ' MB' AS size,
+        ((n + 50) // 100 // 10) || '.' || ((n + 50) // 100 % 10) || 's' AS time FROM (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents)""",
     "hash_embed": rf"""SELECT doc_id, {_BUCKET}::BIGINT AS bucket, count(*) AS n
         FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents) WHERE token <> '' GROUP BY doc_id, bucket""",
     "embed_chunks": rf"""WITH RECURSIVE {_DOC}, {_fixed('doc')},
@@ -167,10 +190,21 @@ ORACLES = {
     "build_prompt": f"""{_WITH_DOC}, {_CONTEXT} SELECT query_id,
         'Use only the passages below. If they do not hold the answer, say that you do not know.' || chr(10) || chr(10) || 'Passages:' || chr(10) || context
         || chr(10) || chr(10) || 'Question: ' || {_TITLE.format('text')} || chr(10) || chr(10) || 'Answer:' AS prompt FROM context JOIN documents ON doc_id = query_id""",
+    "answers": rf"""WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token, false AS asked FROM documents
+          UNION ALL SELECT doc_id, unnest(regexp_split_to_array({_TITLE.format('text')}, '\s+')), true FROM documents WHERE doc_id % 100 = 0),
+        b AS (SELECT doc_id, asked, {_BUCKET} AS bucket, count(*) AS n FROM tok WHERE token <> '' GROUP BY ALL),
+        v AS (SELECT doc_id, text, coalesce((SELECT sum(n * n) FROM b WHERE b.doc_id = documents.doc_id AND NOT asked), 0) AS sq FROM documents),
+        dot AS (SELECT q.doc_id AS query_id, b.doc_id, sum(q.n * b.n) AS p FROM b q JOIN b USING (bucket) WHERE q.asked AND NOT b.asked GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM (
+          SELECT q.doc_id AS query_id, v.doc_id, v.text, v.sq - 2 * coalesce(p, 0) AS d FROM (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) q CROSS JOIN v
+          LEFT JOIN dot ON dot.query_id = q.doc_id AND dot.doc_id = v.doc_id)),
+        context AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY query_id),
+        c AS (SELECT query_id, context, {_TITLE.format('text')} AS question FROM context JOIN documents ON doc_id = query_id)
+        SELECT query_id, question, context, (length('Use only the passages below. If they do not hold the answer, say that you do not know.') + 12 + length(context) + 12 + length(question) + 9) || ' characters.' AS answer FROM c""",
     "extract_answer": """SELECT conv_id, turn, trim(string_split(CASE WHEN role = 'assistant' THEN 'Answer: no. Answer: ' || chr(10) || text || ' ' || chr(10) ELSE text END, 'Answer:')[-1],
         ' ' || chr(10) || chr(9) || chr(13)) AS answer FROM conversations""",
     "conversation_messages": "SELECT conv_id, turn, role, text AS content, role = 'assistant' AND coalesce(starts_with(text, 'Error:'), false) AS is_error FROM conversations",
-    "chat_titles": f"""SELECT conv_id, {_TITLE.format('t')} AS title, {_TITLE.format('u')} AS user_title
+    "chat_titles": f"""SELECT conv_id, {_TITLE.format('t')} AS title, {_TITLE.format('u')} AS user_title, left(t, 30) || '...' AS error_title
         FROM (SELECT conv_id, arg_min(text, turn) AS t, arg_min(text, turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)""",
     "conversation_snapshot": f"""SELECT conv_id, n_messages, {_TITLE.format('t')} AS title, last_role, n_chars FROM (SELECT conv_id, count(*) AS n_messages,
         arg_min(text, turn) AS t, arg_max(role, turn) AS last_role, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id)""",
@@ -187,8 +221,21 @@ ORACLES = {
     "delete_conversation": f"""WITH {_log()} SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_seq) - 1 AS position,
         count(*) OVER (PARTITION BY session_id) AS n_saved FROM history""",
     "clear_history": f"WITH {_log('clear')} SELECT * FROM history",
-    "recent_conversations": f"""WITH {_log()}, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_seq) AS pos, count(*) OVER (PARTITION BY session_id) AS n_saved FROM history)
-        SELECT session_id, conv_id, pos - greatest(n_saved - 5, 0) AS shown, n_saved FROM p WHERE pos > n_saved - 5""",
+    "recent_conversations": f"""WITH {_log()}, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_seq) AS pos, count(*) OVER (PARTITION BY session_id) AS n_saved FROM history),
+        cur AS (SELECT session_id, arg_max(conv_id, seq) AS conv_id, max(seq) AS seq FROM log l WHERE kind = 'save' OR kind = 'load' AND EXISTS (
+          SELECT 1 FROM log s WHERE s.session_id = l.session_id AND s.conv_id = l.conv_id AND s.kind = 'save' AND s.seq < l.seq
+          AND NOT EXISTS (SELECT 1 FROM log c WHERE c.session_id = l.session_id AND c.conv_id = l.conv_id AND c.kind = 'delete' AND c.seq > s.seq AND c.seq < l.seq)) GROUP BY session_id)
+        SELECT p.session_id, p.conv_id, pos - greatest(n_saved - 5, 0) AS shown, n_saved, coalesce(cur.conv_id = p.conv_id AND NOT EXISTS (
+          SELECT 1 FROM log x WHERE x.session_id = p.session_id AND x.conv_id = p.conv_id AND x.kind = 'delete' AND x.seq > cur.seq), false) AS is_current
+        FROM p LEFT JOIN cur ON cur.session_id = p.session_id WHERE pos > n_saved - 5""",
+    "session_resets": f"""WITH {_RESETS}, cur AS (SELECT session_id, arg_max(conv_id, seq) AS conv_id, max(seq) AS seq FROM log WHERE kind = 'save' GROUP BY session_id),
+        m AS (SELECT session_id, count(*) FILTER (kind = 'message') AS n_messages, max(seq) FILTER (kind IN ('new', 'ingest', 'discard')) AS ended FROM log GROUP BY session_id)
+        SELECT m.session_id, n_messages, (SELECT count(*) FROM put WHERE put.session_id = m.session_id) AS n_saved, CASE WHEN cur.seq > coalesce(ended, -1) THEN cur.conv_id END AS conv_id
+        FROM m LEFT JOIN cur ON cur.session_id = m.session_id""",
+    "saved_conversations": f"""WITH {_RESETS}, c AS (SELECT conv_id, {_TITLE.format('arg_min(text, turn)')} AS title, count(*) AS n_messages,
+          string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id)
+        SELECT put.session_id, put.conv_id, strftime(log.ts, '%H:%M %d/%m') AS saved_at, title, n_messages, messages
+        FROM put JOIN log ON log.seq = put.last_seq JOIN c ON c.conv_id = put.conv_id""",
     "error_turns": f"""WITH {_log()} SELECT session_id, count(*) AS n_errors, count(*) FILTER (seq > coalesce(saved, -1)) AS n_unsaved
         FROM (SELECT *, max(CASE WHEN kind = 'save' THEN seq END) OVER (PARTITION BY session_id) AS saved FROM log) WHERE kind = 'error' GROUP BY session_id""",
     "event_time_label": "SELECT event_id, strftime(ts, '%H:%M %d/%m') AS label FROM events",

@@ -10,22 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrion.config import ChunkConfig, RetrievalConfig
-from papyrion.functions.text import build_prompt, extract_answer, short_hash
+from papyrion.functions.text import build_prompt, extract_answer, short_hash, time_label
 from papyrion.operators.order import in_order, numbered
 from papyrion.operators.sizing import add_overlap, bound_sizes
 from papyrion.operators.split import Embedder, route, split_pages
 from papyrion.operators.vectors import embed_texts, top_k_batch
 from papyrion.session import stage
-from papyrion.sources.cache import KEY, ChunkCache, batch_keys, hits, misses
+from papyrion.sources.cache import KEY, ChunkCache, batch_keys, misses
 
 Generator = Callable[[list[str]], list[str]]
 
 
 def placed_chunks(pages: DataFrame, config: ChunkConfig, embed: Embedder | None = None) -> DataFrame:
-    """Chunks as the splitter gives them, in global order; pages are dealt out once, before they are split."""
+    """Chunks as the splitter gives them, in global order; pages are dealt out once, before they are split.
+
+    A batch with a page that the embedder fails on is cut into fixed chunks as a whole.
+    """
     routed = route(pages, config, embed)
-    ordered = in_order(routed, F.col("batch_id").asc_nulls_first(), F.col("page_no").asc_nulls_first())
-    return numbered(split_pages(ordered, config, embed), name="chunks")
+    order = [F.col("batch_id").asc_nulls_first(), F.col("page_no").asc_nulls_first()]
+    made = numbered(split_pages(in_order(routed, *order), config, embed), name="chunks")
+    if embed is None or config.strategy not in ("hybrid", "semantic"):
+        return made.drop("failed")
+    failed = stage(made.where("failed").select(F.col("batch_id").alias("__batch"), F.lit(True).alias("__failed")).distinct(), "failed-batches")
+    if failed.isEmpty():
+        return made.drop("failed")
+    marked = routed.join(failed, F.col("batch_id").eqNullSafe(F.col("__batch")), "left")
+    again = marked.withColumn("strategy_executed", F.when(F.col("__failed"), "fixed").otherwise(F.col("strategy_executed"))).drop("__batch", "__failed")
+    return numbered(split_pages(in_order(again, *order), config, embed), name="chunks").drop("failed")
 
 
 def chunk(pages: DataFrame, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None) -> DataFrame:
@@ -42,9 +53,22 @@ def plain_chunks(pages: DataFrame, config: ChunkConfig) -> DataFrame:
     return made.select("batch_id", "page_no", "piece", "start_index", "text")
 
 
+def chunk_or_plain(
+    pages: DataFrame, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None, chunker: Callable[..., DataFrame] = chunk
+) -> tuple[DataFrame, str | None]:
+    """Written chunks, and None; or, if making them fails, `plain_chunks` and what went wrong.
+
+    ``chunker`` makes the chunks. Nothing of what failed is kept or put into a cache.
+    """
+    try:
+        return stage(chunker(pages, config, embed), "chunks"), None
+    except Exception as e:  # noqa: BLE001  this is the last resort
+        return plain_chunks(pages, config), f"{type(e).__name__}: {e}".splitlines()[0]
+
+
 def cached_chunks(pages: DataFrame, cache: ChunkCache, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None, mode: str = "strict") -> DataFrame:
     """`chunk`, but batches whose content and settings are in ``cache`` are read from it, and others put into it."""
-    keys = stage(batch_keys(pages, config, mode), "batch-keys")
+    keys = stage(batch_keys(pages, config, mode, embed), "batch-keys")
     there = cache.read()
     new = keys if there is None else stage(misses(keys, there), "cache-misses")
     # Of batches with equal keys, one is chunked and stands for all.
@@ -57,24 +81,49 @@ def cached_chunks(pages: DataFrame, cache: ChunkCache, config: ChunkConfig = Chu
     return found.select("batch_id", "ord", "sub", "page_no", "start_index", "chunk_index", "total_chunks", "enhanced", "text")
 
 
-def report(pages: DataFrame, chunks: DataFrame, config: ChunkConfig, embed: Embedder | None = None, mode: str = "compat", cached: DataFrame | None = None) -> DataFrame:
-    """One row per batch: strategy, number of chunks, cache hit, short hashes and settings."""
-    routed = route(pages, config, embed).groupBy("batch_id").agg(F.first("strategy_reported").alias("strategy"))
-    counts = chunks.groupBy("batch_id").agg(F.count("*").alias("num_chunks"))
-    keys = batch_keys(pages, config, mode)
+#: What a batch that comes from the cache is said to have taken, in milliseconds.
+HIT_MS = 100
+
+
+def report(
+    pages: DataFrame,
+    chunks: DataFrame,
+    config: ChunkConfig,
+    embed: Embedder | None = None,
+    mode: str = "strict",
+    cached: DataFrame | None = None,
+    took_ms: int | None = None,
+    error: str | None = None,
+) -> DataFrame:
+    """One row per batch: strategy, number of chunks, time, cache hit, short hashes, settings and error.
+
+    ``chunks`` as `chunk` or `chunk_or_plain` gives them, with the latter's ``error``. A batch with chunks in ``cached`` was a hit: its
+    time is `HIT_MS`, and its settings are null, as they are where ``error`` is given.
+    A null batch is a batch.
+    """
+    batch = F.col("batch_id")
+    routed = route(pages, config, embed).groupBy(batch.alias("b1")).agg(F.first("strategy_reported").alias("strategy"))
+    counts = chunks.groupBy(batch.alias("b2")).agg(F.count("*").alias("num_chunks"))
+    keys = batch_keys(pages, config, mode, embed)
     hit = F.lit(False)
-    if cached is not None:
-        keys = keys.join(hits(keys, cached).select("batch_id", F.lit(True).alias("hit")), "batch_id", "left")
+    if cached is not None and error is None:
+        there = cached.select(*[F.col(k).alias(f"c_{k}") for k in KEY], F.lit(True).alias("hit")).distinct()
+        keys = keys.join(there, [F.col(k) == F.col(f"c_{k}") for k in KEY], "left")
         hit = F.coalesce("hit", F.lit(False))
-    joined = keys.join(routed, "batch_id").join(counts, "batch_id", "left")
+    joined = keys.join(routed, batch.eqNullSafe(F.col("b1"))).join(counts, batch.eqNullSafe(F.col("b2")), "left")
+    strategy = F.when(hit, "cached").otherwise(F.col("strategy")) if error is None else F.lit("emergency_fallback")
+    settings = (("chunk_size", config.size), ("overlap", config.overlap), ("min_size", config.min_size), ("max_size", config.max_size))
+    said = F.lit(error is None) & ~hit
     return joined.select(
         "batch_id",
-        F.when(hit, "cached").otherwise(F.col("strategy")).alias("strategy"),
+        strategy.alias("strategy"),
         F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"),
+        F.when(hit, HIT_MS).otherwise(F.lit(took_ms)).cast("long").alias("took_ms"),
         hit.alias("cache_hit"),
         short_hash(F.col("content_fp")).alias("content_hash"),
         short_hash(F.col("config_fp")).alias("config_hash"),
-        *[F.lit(v).cast("long").alias(c) for c, v in (("chunk_size", config.size), ("overlap", config.overlap), ("min_size", config.min_size), ("max_size", config.max_size))],
+        *[F.when(said, F.lit(v)).cast("long").alias(c) for c, v in settings],
+        F.lit(error).cast("string").alias("error"),
     )
 
 
@@ -88,6 +137,7 @@ def report_text(reports: DataFrame) -> DataFrame:
             "\n",
             line("Strategy", F.coalesce(text("strategy"), F.lit("unknown"))),
             line("Chunks", F.coalesce(text("num_chunks"), F.lit(0))),
+            line("Time", time_label(F.coalesce(text("took_ms"), F.lit(0)))),
             line("Cache", F.when(text("cache_hit"), "hit").otherwise("miss")),
             line("Content", text("content_hash")),
             line("Config", text("config_hash")),

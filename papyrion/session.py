@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,16 @@ def get_session(app: str = "papyrion", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, where it is not installed on them: Python workers import it by name."""
+    own = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="papyrion-")) / "papyrion.zip"
+    with zipfile.ZipFile(packed, "w") as file:
+        for p in sorted(own.rglob("*.py")):
+            file.write(p, Path("papyrion") / p.relative_to(own))
+    spark.addArtifact(str(packed), pyfile=True) if hasattr(spark, "_client") else spark.sparkContext.addPyFile(str(packed))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 

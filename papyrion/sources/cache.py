@@ -8,7 +8,7 @@ pages, so a batch of any size is combined before the shuffle.
 
 from __future__ import annotations
 
-from dataclasses import astuple
+from dataclasses import astuple, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,20 +21,22 @@ from papyrion.sources.pages import batch_text
 KEY = ["content_fp", "config_fp"]
 
 
-def config_key(config: ChunkConfig, mode: str = "strict"):
+def config_key(config: ChunkConfig, mode: str = "strict", embed: object = None):
+    """``compat`` leaves the embedder out; ``strict`` names it, so that a model's chunks are not served to another."""
     if mode == "compat":
         return config_fingerprint(F.lit(config.strategy), F.lit(config.size), F.lit(config.overlap), F.lit(config.threshold))
-    return F.md5(F.lit(repr(astuple(config))))
+    named = replace(config, embedder=config.embedder or (type(embed).__qualname__ if embed is not None else None))
+    return F.md5(F.lit(repr(astuple(named))))
 
 
-def batch_keys(pages: DataFrame, config: ChunkConfig, mode: str = "strict") -> DataFrame:
+def batch_keys(pages: DataFrame, config: ChunkConfig, mode: str = "strict", embed: object = None) -> DataFrame:
     """(batch_id, content_fp, config_fp) of each batch."""
     if mode == "compat":
         return batch_text(pages).select("batch_id", content_fingerprint(F.col("text")).alias("content_fp"), config_key(config, mode).alias("config_fp"))
     h = F.xxhash64("page_no", F.coalesce("text", F.lit("")))
     hashed = pages.select("batch_id", h.alias("h"), F.xxhash64(h, F.lit(1)).bitwiseAND(F.lit(0x7FFFFFFF)).alias("low"))
     summed = hashed.groupBy("batch_id").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum("low").alias("s"))
-    return summed.select("batch_id", F.md5(F.concat_ws("_", "n", "x", "s")).alias("content_fp"), config_key(config, mode).alias("config_fp"))
+    return summed.select("batch_id", F.md5(F.concat_ws("_", "n", "x", "s")).alias("content_fp"), config_key(config, mode, embed).alias("config_fp"))
 
 
 def hits(keys: DataFrame, cached: DataFrame) -> DataFrame:
@@ -79,9 +81,8 @@ class ChunkCache:
 
     def info(self) -> DataFrame:
         there = self.read()
-        if there is None:
-            return self.spark.sql("SELECT 0L AS cache_files, 0.0D AS total_size_mb")
-        return info(there)
+        found = self.spark.sql("SELECT 0L AS cache_files, 0.0D AS total_size_mb") if there is None else info(there)
+        return found.withColumn("cache_dir", F.lit(self.path))
 
     def clear(self) -> None:
         jvm = self.spark.sparkContext._jvm
