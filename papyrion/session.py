@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,18 +54,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_scratch: list[str] = []
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/papyrion/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), "papyrion", *_scratch, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is staged inside is deleted in the end, but for what is staged with the function that this gives."""
+    outer = list(_scratch)
+    _scratch.append(f"scratch-{uuid.uuid4().hex}")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name, path="/".join([shared_dir(spark), "papyrion", *outer, f"{name}-{uuid.uuid4().hex}"]))
 
+    try:
+        yield keep
+    finally:
+        own = "/".join([shared_dir(spark), "papyrion", *_scratch])
+        _scratch[:] = outer
+        _delete(spark, own)
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The written table survives the loss of any executor, and a second use reads
     it instead of computing it again.
     """
     spark = df.sparkSession
-    path = staging_path(spark, name)
+    path = path or staging_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -73,6 +100,4 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every table staged in the shared folder; call it when no query runs."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/papyrion")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/papyrion")
