@@ -1,39 +1,42 @@
 """WARC archives with an external merge of their capture indexes.
 
 Writing: each task sorts its captures by (URL key, time, page) and writes them as
-WARC records through Spark's text writer, whose line separator is the blank lines
-that end a record. So archives have Spark's commit protocol, and work on any store
-that Spark can write. Of records with equal payloads of at least
-`REVISIT_BYTES` bytes, that with the largest page id is the response and the
-others are revisits that refer to it.
+WARC records, each a gzip member of its own, so that a record can be read with its
+offset and length alone. Spark's text writer puts the members into files, with an empty
+member as line separator (which every reader of gzip passes over), so archives have
+Spark's commit protocol, and work on any store that Spark can write. An archive comes
+from one input split and has at most `ARCHIVE_RECORDS` records. Of records with equal
+payloads of at least `REVISIT_BYTES` bytes, that with the largest page id is the response
+and the others are revisits that refer to it.
 
-Reading: archives come back whole, one after the other, and are cut into records
-by their lengths; payload digests are computed anew and must agree.
+Reading: archives are cut into members and records one after the other; payload
+digests are computed anew and must agree.
 
 Index: each archive is a run of captures in order. Captures are dealt out by
 ranges of (URL key, time, page), and each task merges the pieces of the k runs
-that fall into its range with a loser tree, holding one range. Ranges follow
-each other, so the positions of all captures in the global order are those
+that fall into its range with a loser tree. It holds one range, of about `RANGE_ROWS`
+captures, as the number of ranges grows with that of captures. Ranges follow each other, so the positions of all captures in the global order are those
 in their range plus the sizes of the ranges before: capture histories, one after
 the other. A URL with very many captures spreads over ranges by time and page.
 
 URL key: the labels of the host, last first, joined by commas, then ``)`` and what
-follows the host without fragment. Without a column of capture times, time is
-2024-01-01 plus page_id seconds (modulo ten years).
+follows the host without fragment. Times are written in UTC, whatever the session's time
+zone. Without a column of capture times, time is 2024-01-01 plus page_id seconds (modulo ten years).
 
 Defined results: null html is an empty payload; null url has an empty key and no
 target; characters in a url that would end its header line are percent-encoded;
 a null page id is the smallest, and is never referred to unless all copies have
 none (then all of them are responses); rows equal in id and payload are all
-responses if theirs is the largest id; extra columns are not carried; empty table
-in, empty table out.
+responses if theirs is the largest id, and share their record id; extra columns are not
+carried; empty table in, empty table out.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +51,12 @@ from papyrion.session import stage, staging_path
 REVISIT_BYTES = 1000
 #: Records in one archive, at most.
 ARCHIVE_RECORDS = 20_000
+#: Captures of one range of the merge, about.
+RANGE_ROWS = 200_000
 _BASE_SECOND = 1_704_067_200  # 2024-01-01
 _TEN_YEARS = 315_360_000
+#: A gzip member without content.
+_EMPTY = zlib.compress(b"", 9, 31)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -69,17 +76,18 @@ def url_key(url: Column) -> Column:
 
 def captures(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", time: str | None = None) -> DataFrame:
     """One row per page: what its record will say."""
-    seconds = F.lit(_BASE_SECOND) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(_TEN_YEARS))
-    when = F.timestamp_seconds(seconds) if time is None else F.col(f"`{time}`").cast("timestamp")
+    default = F.timestamp_seconds(F.lit(_BASE_SECOND) + F.pmod(F.coalesce(F.col(f"`{page}`").cast("long"), F.lit(0)), F.lit(_TEN_YEARS)))
     df = pages.select(
         F.col(f"`{page}`").cast("long").alias("page_id"),
         safe_url(F.col(f"`{url}`").cast("string")).alias("url"),
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
-        *([] if time is None else [F.col(f"`{time}`")]),
+        F.unix_seconds(default if time is None else F.coalesce(F.col(f"`{time}`").cast("timestamp"), default)).alias("second"),
     )
+    # From seconds, since formatting a timestamp would take the session's time zone.
+    day, rest = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("second") / 86400).cast("int")), F.pmod("second", F.lit(86400))
     df = df.select(
         "page_id", "url", "html", url_key(F.col("url")).alias("url_key"),
-        F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
+        F.format_string("%sT%02d:%02d:%02dZ", day.cast("string"), F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60).alias("time"),
         F.octet_length("html").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"),
     )
     # Digests of payloads that occur more than once, written so that their size is known to the join.
@@ -91,7 +99,7 @@ def captures(pages: DataFrame, page: str = "page_id", url: str = "url", html: st
 
 
 def _record() -> Column:
-    """The record of a capture, without the blank lines that end it."""
+    """The record of a capture."""
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(
@@ -111,14 +119,21 @@ def _record() -> Column:
         line("Content-Length: ", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
         block,
+        F.lit("\r\n\r\n"),
     )
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(r.as_buffer(), 6, 31) for r in batch.column(0)], pa.binary())], ["value"])
+
+
 def write_archives(pages: DataFrame, path: str, **columns) -> None:
-    """Archives under ``path``, gzipped as whole files, each a run sorted by (URL key, time, page)."""
-    made = captures(pages, **columns)
-    made.sortWithinPartitions("url_key", "time", "page_id").select(_record().alias("value")).write.options(
-        lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=str(ARCHIVE_RECORDS)
+    """Archives under ``path``, each a run sorted by (URL key, time, page)."""
+    made = captures(pages, **columns).sortWithinPartitions("url_key", "time", "page_id").select(_record().alias("value"))
+    # The text writer takes the bytes as they are.
+    made.mapInArrow(_members, "value binary").select(F.col("value").cast("string")).write.options(
+        encoding="ISO-8859-1", lineSep=_EMPTY.decode("latin-1"), maxRecordsPerFile=str(ARCHIVE_RECORDS)
     ).text(path)
 
 
@@ -134,24 +149,36 @@ def _page(value: str | None) -> int | None:
     return int(inner) if inner else None
 
 
-def read_records(raw: io.BufferedIOBase) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of an open archive."""
+def read_members(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that has content."""
     offset = 0
+    while offset < len(data):
+        inflater, at, parts = zlib.decompressobj(31), offset, []
+        while not inflater.eof and at < len(data):
+            parts.append(inflater.decompress(data[at : at + (1 << 16)]))
+            at += 1 << 16
+        if not inflater.eof:
+            raise ValueError(f"the member at {offset} is cut short")
+        end = min(at, len(data)) - len(inflater.unused_data)
+        if content := b"".join(parts):
+            yield offset, end - offset, content
+        offset = end
+
+
+def read_records(raw: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a member."""
     while line := raw.readline():
-        size, headers = len(line), {}
+        headers = {}
         if line.rstrip(b"\r\n") != b"WARC/1.1":
-            raise ValueError(f"no record at {offset}: {line[:60]!r}")
+            raise ValueError(f"no record: {line[:60]!r}")
         while (line := raw.readline()) not in (b"\r\n", b""):
-            size += len(line)
             name, _, value = line.decode().rstrip("\r\n").partition(": ")
             headers[name.lower()] = value
         n = int(headers["content-length"])
         block, end = raw.read(n), raw.read(4)
         if len(block) != n or end != b"\r\n\r\n":
-            raise ValueError(f"the record at {offset} is cut short")
-        size += len(line) + n + 4
-        yield offset, size, headers, block
-        offset += size
+            raise ValueError("a record is cut short")
+        yield headers, block
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +186,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
             run, rows = path.as_py(), []
-            with gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())) as file:
-                for offset, length, headers, block in read_records(io.BufferedReader(file, 1 << 20)):
+            for offset, length, member in read_members(memoryview(content.as_buffer())):
+                for headers, block in read_records(io.BytesIO(member)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                     size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
@@ -170,9 +197,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         run, _page(headers["warc-record-id"]), headers.get("warc-target-uri", ""), headers["warc-date"], kind,
                         _page(headers.get("warc-refers-to")), size, digest, offset, length,
                     ))
-                    if len(rows) == 4096:
-                        yield _rows(rows, names)
-                        rows = []
+                if len(rows) >= 4096:
+                    yield _rows(rows, names)
+                    rows = []
             yield _rows(rows, names)
 
 
@@ -183,7 +210,7 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def read_captures(spark, path: str) -> DataFrame:
     """The index of the archives under ``path``: one row per record, in each archive in its order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = files.mapInArrow(_parse, INDEX)
     return found.withColumn("url_key", url_key(F.col("url")))
 
@@ -249,9 +276,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_index(captured: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The captures with ``position``, their place in the order of (URL key, time, page)."""
+    """The captures with ``position``, their place in the order of (URL key, time, page). ``captured`` is read three times."""
     spark = captured.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(captured.count() / RANGE_ROWS))
     order = [F.col("url_key"), F.col("time"), F.col("page_id").asc_nulls_first()]
     merged = captured.repartitionByRange(n, *order).mapInArrow(_merge, INDEX + ", url_key string, range int, at long")
     merged = stage(merged, "capture-index")

@@ -1,6 +1,9 @@
 import hashlib
+import io
 import random
+import zlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -41,3 +44,37 @@ def test_round_trip_with_odd_rows(spark, tmp_path):
     empty = f"file://{tmp_path}/none"
     warc.write_archives(pages.limit(0), empty)
     assert warc.merge_index(warc.read_captures(spark, empty)).count() == 0
+
+
+def test_records_can_be_read_alone_and_times_are_utc(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 7)
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"é page {i} " * (40 * (i % 4)), None if i == 3 else 1_709_164_799 + i, "x") for i in range(30)]
+    pages = spark.createDataFrame(rows, "id long, link string, body string, seen long, page_id string").selectExpr("id", "link", "body", "timestamp_seconds(seen) AS url", "page_id")
+    path = f"file://{tmp_path}/warc"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        warc.write_archives(pages.coalesce(2), path, page="id", url="link", html="body", time="url")
+        captured = warc.read_captures(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len({r.run for r in captured}) > 2 and sorted(r.page_id for r in captured) == list(range(30))
+    for r in captured:
+        with open(r.run.removeprefix("file://").removeprefix("file:"), "rb") as file:
+            file.seek(r.offset)
+            record = zlib.decompress(file.read(r.length), 31)
+        ((headers, block),) = warc.read_records(io.BytesIO(record))
+        assert headers["warc-record-id"] == f"<urn:page:{r.page_id}>"
+        assert block.endswith(rows[r.page_id][2].encode()) or r.record_type == "revisit"
+    times = {r.page_id: r.time for r in captured}
+    assert times[0] == "2024-02-28T23:59:59Z" and times[1] == "2024-02-29T00:00:00Z" and times[3] == "2024-01-01T00:00:03Z"
+
+
+def test_damaged_archives_are_noticed():
+    good = zlib.compress(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n", 6, 31)
+    assert [x[:2] for x in warc.read_members(memoryview(good + warc._EMPTY + good))] == [(0, len(good)), (len(good) + len(warc._EMPTY), len(good))]
+    for bad in (good[:-9], good + good[:5]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.read_members(memoryview(bad)))
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\n")))
