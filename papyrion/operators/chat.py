@@ -123,12 +123,15 @@ def current(log: DataFrame) -> DataFrame:
 
     A save makes its conversation the current one, as does a load of one that is in the history.
     """
-    known = with_last_clear(log)
-    so_far = Window.partitionBy("session_id", "conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq"))).over(so_far)
-    put = F.max(F.when(_saves(), F.col("seq"))).over(so_far)
-    seen = known.where("kind in ('save', 'load', 'delete', 'new', 'ingest')").select("*", put.alias("saved"), last("delete").alias("deleted"))
-    there = F.col("saved").isNotNull() & (F.coalesce(F.greatest("deleted", "last_clear"), F.lit(-1)) < F.col("saved"))
+    known = with_last_clear(log).where("kind in ('save', 'load', 'delete', 'new', 'ingest')")
+    # In the order of each conversation's events, the last save or delete says whether it is in the history.
+    name = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("session_id", "conv_id")])
+    order = [F.col(c).asc_nulls_first() for c in ("session_id", "conv_id", "seq")]
+    placed = numbered(in_order(known.withColumn("of", name), *order), "of", "conversation-log")
+    marked = anchored(placed, _saves() | (F.col("kind") == "delete"), "__place")
+    puts = placed.where(_saves()).select(F.col("place").alias("__place"), F.col("seq").alias("saved"))
+    seen = marked.join(puts, "__place", "left")
+    there = F.col("saved").isNotNull() & (F.coalesce("last_clear", F.lit(-1)) < F.col("saved"))
     sets = seen.where("kind in ('save', 'load')").where(there).groupBy("session_id").agg(
         F.max("seq").alias("set_seq"), F.max_by("conv_id", "seq").alias("conv_id")
     )

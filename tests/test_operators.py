@@ -11,6 +11,7 @@ from papyrion.operators.order import in_order, numbered
 from papyrion.operators.sizing import add_overlap, bound_sizes
 from papyrion.operators.split import HashEmbedder, semantic_chunks, semantic_pages
 from papyrion.plans import pipeline
+from papyrion.session import scratch, ship_package, stage
 from papyrion.sources import cache, pages
 
 
@@ -204,3 +205,20 @@ def test_a_batch_of_vectors_is_embedded_in_one_call():
 
     made = semantic_pages(["One. Two. Three.", "", "Alone.", "Four! Five?"], embed, ChunkConfig(min_size=0))
     assert calls == [5] and [len(m) for m in made] == [1, 1, 1, 1]
+
+
+def test_scratch_deletes_what_was_staged_on_the_way(spark):
+    with scratch(spark) as keep:
+        inner = stage(spark.range(3), "inner")
+        with scratch(spark) as keep_inner:
+            middle = keep_inner(inner, "middle")
+        kept = keep(middle, "kept")
+    assert kept.count() == 3 and stage(spark.range(2), "later").count() == 2
+    for gone in (inner, middle):
+        with pytest.raises(Exception, match="(?i)not exist|no such|found"):
+            gone.count()
+
+
+def test_the_package_can_be_shipped(spark):
+    ship_package(spark)
+    assert spark.range(1).mapInArrow(lambda batches: batches, "id long").count() == 1
