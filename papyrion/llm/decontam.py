@@ -13,8 +13,9 @@ every segment. A phrase that lacks one of its terms in a segment is out. For the
 others the shortest posting list, which is that of the rarest term, is shifted
 by the term's offset to give candidate starts; then the lists of the other terms,
 from rare to frequent, are intersected with the candidates, each shifted by its
-own offset. With ``slop`` 0 that gives the exact phrases; with more, each term may
-be that many words off its place, which gives proximity matches.
+own offset. With ``slop`` 0 that gives the exact phrases; with more, there must be a start
+from which each term is at most that many words off its place, which gives proximity
+matches: the rarest term's positions are tried with each shift.
 
 Words: A-Z in lower case, then runs of the digits, a-z and all characters from
 U+0080. A window is 10 consecutive words; a shorter text is one window.
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrion.llm.common import words_of
 from papyrion.session import stage, staging_path
@@ -48,7 +50,7 @@ BLOCK_BYTES = 8 << 20
 #: Empty positions between documents: more than a window and its slop.
 GAP = 64
 
-SEGMENTS = "docs array<long>, starts array<int>, sizes array<int>, terms binary, bounds array<int>, postings array<int>"
+SEGMENTS = "docs array<string>, starts array<int>, sizes array<int>, terms binary, bounds array<int>, postings array<int>"
 
 
 def _segment(keys: list, texts: list[list[bytes]]) -> dict:
@@ -75,7 +77,7 @@ def _segment(keys: list, texts: list[list[bytes]]) -> dict:
 
 _ARROW = pa.schema(
     [
-        ("docs", pa.list_(pa.int64())),
+        ("docs", pa.list_(pa.string())),
         ("starts", pa.list_(pa.int32())),
         ("sizes", pa.list_(pa.int32())),
         ("terms", pa.binary()),
@@ -103,11 +105,12 @@ def _index(size: int):
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment: int = SEGMENT_TOKENS) -> DataFrame:
-    """The positional index of ``docs``, written to the shared folder."""
-    chosen = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"))
+    """The positional index of ``docs``, written to the shared folder (with keys as strings)."""
+    chosen = docs.select(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string"))
     path = staging_path(docs.sparkSession, "positional-index")
     chosen.mapInArrow(_index(segment), SEGMENTS).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(SEGMENTS).parquet(path)
+    index = docs.sparkSession.read.schema(SEGMENTS).parquet(path)
+    return index.withColumn("docs", F.col("docs").cast(T.ArrayType(docs.schema[key].dataType)))
 
 
 class Phrases:
@@ -145,12 +148,15 @@ def _matches(windows: np.ndarray, lists: np.ndarray, base: np.ndarray, ends: np.
     which = np.repeat(np.arange(len(alive)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(base[first], counts)
     start = (keyed[at] & 0xFFFFFFFF) - rarest[which]
+    if slop:
+        shifts = np.arange(-slop, slop + 1)
+        which, start = np.repeat(which, len(shifts)), (start[:, None] + shifts).ravel()
     for k in range(1, windows.shape[1]):
         offset = order[which, k]
-        want = (row[which, offset].astype(np.int64) << 32) + start + offset
+        term, want = row[which, offset].astype(np.int64) << 32, start + offset
         # The first posting at or after the earliest place allowed must not lie beyond the last.
-        i = np.searchsorted(keyed, want - slop)
-        ok = (i < len(keyed)) & (keyed[np.minimum(i, len(keyed) - 1)] <= want + slop) & (start + offset + slop >= 0)
+        i = np.searchsorted(keyed, term + np.maximum(want - slop, 0))
+        ok = (i < len(keyed)) & (keyed[np.minimum(i, len(keyed) - 1)] <= term + want + slop)
         which, start = which[ok], start[ok]
     return alive[which], start
 
@@ -195,10 +201,10 @@ def search_segment(segment: dict, phrases: Phrases, slop: int) -> list[tuple]:
     return out
 
 
-MATCHES = "doc_id long, segment string, place int, n_words long, hits array<array<int>>, items array<string>, near_items array<string>"
+MATCHES = "doc_id string, segment string, place int, n_words long, hits array<array<int>>, items array<string>, near_items array<string>"
 _ARROW_MATCHES = pa.schema(
     [
-        ("doc_id", pa.int64()),
+        ("doc_id", pa.string()),
         ("segment", pa.string()),
         ("place", pa.int32()),
         ("n_words", pa.int64()),
@@ -242,14 +248,15 @@ def search(
     index: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", slop: int = SLOP, block: int = BLOCK_BYTES
 ) -> DataFrame:
     """One row per document of the index: its words, hit intervals, and items with exact or proximity matches."""
-    spark = index.sparkSession
+    spark, kind = index.sparkSession, index.schema["docs"].dataType.elementType
+    index = index.withColumn("docs", F.col("docs").cast("array<string>"))
     found = []
     for rows in _blocks(benchmark, item, text, block):
         found.append(index.mapInArrow(_search(spark.sparkContext.broadcast(Phrases(rows)), slop), MATCHES))
     if not found:
         found = [index.mapInArrow(_search(spark.sparkContext.broadcast(Phrases([])), slop), MATCHES)]
     if len(found) == 1:
-        return found[0].drop("segment", "place")
+        return found[0].drop("segment", "place").withColumn("doc_id", F.col("doc_id").cast(kind))
     parts = stage(found[0], "matches")
     for more in found[1:]:
         parts = parts.unionByName(stage(more, "matches"))
@@ -270,7 +277,8 @@ def search(
             ),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    return joined.withColumn("hits", F.when(F.size("hits") > 0, merged).otherwise(F.col("hits"))).drop("segment", "place")
+    merged = F.when(F.size("hits") > 0, merged).otherwise(F.col("hits"))
+    return joined.withColumns({"hits": merged, "doc_id": F.col("doc_id").cast(kind)}).drop("segment", "place")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -286,15 +294,16 @@ def n_hit():
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no window of the benchmark; columns and repeated rows stay.
 
-    The decision is made by text, so it does not depend on ids being unique.
+    The decision is made by 128 bits of the text, so it does not depend on ids being unique.
     """
-    number = "__text_hash"
-    texts = docs.select(F.xxhash64(f"`{text}`").alias("n"), F.col(f"`{text}`").alias("t"))
-    found = contamination(texts, benchmark, "n", "t", slop=0)
+    name = F.concat_ws("_", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    texts = docs.select(F.col(f"`{text}`").alias("text")).select(name.alias("name"), "text")
+    found = contamination(texts, benchmark, "name", "text", slop=0)
     # Written, so that its size is known: a short list is sent to all tasks, a long one is shuffled.
-    bad = stage(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(number)).distinct(), "contaminated")
-    kept = docs.withColumn(number, F.xxhash64(f"`{text}`")).join(bad, number, "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = stage(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("name")).distinct(), "contaminated")
+    # All columns travel as one, so no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return rows.select("row", name.alias("name")).join(bad, "name", "left_anti").select("row.*")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -310,3 +319,41 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
         (F.size("hits") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+#: DuckDB SQL of the same rows.
+OP9_SQL = r"""
+WITH word AS (
+  SELECT doc_id, row_number() OVER () AS d,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id::VARCHAR AS item, row_number() OVER () AS b,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+owned AS (
+  SELECT DISTINCT item, n, w[i:i + n - 1] AS win
+  FROM (SELECT *, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+win AS MATERIALIZED (SELECT row_number() OVER () AS q, win, n FROM (SELECT DISTINCT win, n FROM owned)),
+place AS MATERIALIZED (SELECT d, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM word),
+-- The rarest term of each window gives the places to look at.
+part AS (SELECT q, unnest(win) AS term, generate_subscripts(win, 1) AS k FROM win),
+freq AS (SELECT term, count(*) AS f FROM place SEMI JOIN (SELECT DISTINCT term FROM part) t USING (term) GROUP BY term),
+rare AS (SELECT q, arg_min(term, (coalesce(f, 0), k)) AS term, arg_min(k, (coalesce(f, 0), k)) AS k FROM part LEFT JOIN freq USING (term) GROUP BY q),
+near AS (
+  SELECT DISTINCT q, d, s FROM (SELECT q, d, unnest(range(p - k - 2, p - k + 3)) AS s FROM rare JOIN place USING (term))),
+tried AS (
+  SELECT near.q, near.d, s + 1 AS s, n,
+         s >= 0 AND w[s + 1:s + n] = win AS exact,
+         len(list_filter(range(1, n + 1), lambda k: list_contains(w[greatest(1, s + k - 2):greatest(0, s + k + 2)], win[k]))) = n AS close
+  FROM near JOIN win ON win.q = near.q JOIN word ON word.d = near.d),
+found AS (
+  SELECT d, item, bool_or(exact) AS exact FROM (SELECT d, q, bool_or(exact) AS exact FROM tried WHERE exact OR close GROUP BY d, q) t
+  JOIN win USING (q) JOIN owned ON owned.win = win.win GROUP BY d, item),
+items AS (
+  SELECT d, count(item) FILTER (exact) AS n_items, string_agg(item, ',' ORDER BY item) FILTER (exact) AS names, count(item) AS n_near FROM found GROUP BY d),
+hit AS (SELECT d, count(DISTINCT p) AS n FROM (SELECT d, unnest(range(s, s + n)) AS p FROM tried WHERE exact) GROUP BY d)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM word LEFT JOIN hit ON hit.d = word.d LEFT JOIN items ON items.d = word.d
+"""

@@ -90,3 +90,28 @@ def test_repeated_and_null_items_at_one_block_and_at_several(spark, tmp_path):
     got = {r.doc_id: (r.n_items, r.items_sha256, r.contaminated, r.n_near_items) for r in decontam.op9_decontamination(spark, str(tmp_path)).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == {1: (2, sha("p,q"), True, 2), 2: (0, sha(""), True, 0), 3: (0, sha(""), False, 0)}
+
+
+def brute_near(words_of_doc, window, slop):
+    """Is there a start from which each word is at most ``slop`` off its place?"""
+    n = len(words_of_doc)
+    return any(
+        all(window[k] in words_of_doc[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k in range(len(window))) for s in range(-slop, n + slop)
+    )
+
+
+def test_proximity_against_every_start(spark):
+    random.seed(8)
+    docs = [(i, " ".join(random.choices("abcdefgh", k=random.randint(0, 40)))) for i in range(60)]
+    bench = [(i, " ".join(random.choices("abcdefgh", k=random.randint(1, 6)))) for i in range(25)]
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    for segment in (1, 100, 1 << 18):
+        index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), segment=segment)
+        got = {int(r.doc_id): sorted(r.near_items) for r in decontam.search(index, table, slop=2).collect()}
+        assert got == {d: sorted(str(i) for i, b in bench if brute_near(t.split(), b.split(), 2)) for d, t in docs}
+
+
+def test_names_that_clash_when_rows_are_dropped(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "d e f", None, None)], "doc_id long, text string, row string, name string")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, "A b, c!")], "item_id long, text string"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "d e f", None, None)]
