@@ -96,6 +96,24 @@ def fixed_chunks(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
     return out
 
 
+class _Buckets(dict):
+    """Token to bucket, found once for each token."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        head = hashlib.md5(token.encode()).hexdigest()[:2]
+        self[token] = found = (ord(head[0]) * 16 + ord(head[1])) % self.dims
+        return found
+
+
+#: One table for each number of dimensions in a worker.
+_buckets = lru_cache(_Buckets)
+
+
 class HashEmbedder:
     """Counts of tokens by the first byte of their MD5, modulo ``dims``: a stand-in for a model, the same in SQL."""
 
@@ -103,19 +121,13 @@ class HashEmbedder:
         self.dims = dims
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims))
+        out, bucket = np.zeros((len(texts), self.dims)), _buckets(self.dims).__getitem__
         for row, text in zip(out, texts):
-            for token in text.split():
-                row[_bucket(token, self.dims)] += 1
+            if tokens := text.split():
+                row[:] = np.bincount(np.fromiter(map(bucket, tokens), np.int64, len(tokens)), minlength=self.dims)
         return out
 
 
-@lru_cache(1 << 18)
-def _bucket(token: str, dims: int) -> int:
-    head = hashlib.md5(token.encode()).hexdigest()[:2]
-    return (ord(head[0]) * 16 + ord(head[1])) % dims
-
-
 def cosine_distances(vectors: np.ndarray) -> np.ndarray:
     """Between each vector and the next; a vector of zeros is at distance 1 from any."""
     squares = (vectors * vectors).sum(axis=1)
