@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step sends every node's neighbours to its smallest neighbour. Minima are
-combined before the shuffle, and a node with very many neighbours only meets its
-own minimum in a join, which adaptive execution can split. Each round's edges are
-written to the shared folder, so a lost executor costs one round at most.
+combined before the shuffle and written, and a node with very many neighbours only meets
+its own minimum in a join of two written tables, which adaptive execution can split. Each
+round's edges are written to the shared folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -4,9 +4,9 @@
    equal sets form one node, numbered by a 64-bit hash of the set. A signature of
    `HASHES` minima is cut into bands; `banding` chooses the numbers for the
    recall asked for at the threshold, and the sharpest curve beyond.
-2. Band hashes are shuffled. A bucket never gathers its nodes: each node is
-   linked to the least node of each of its buckets, so a bucket of a million
-   nodes gives a million rows.
+2. Documents of one node are counted and go on as one row. Band hashes are shuffled. A
+   bucket never gathers its nodes: each node is linked to the least node of each of its
+   buckets, so a bucket of a million nodes gives a million rows.
 3. The components of these links are the candidate groups: whatever shares a
    bucket, directly or through others, is in one group. The texts of grouped nodes
    (one per node) are read again and become sets.
@@ -20,7 +20,11 @@
 
 Words: A-Z in lower case, then runs of digits, a-z and characters from U+0080. A
 text of one to four words is a single shingle of all of them. With 64-bit node
-numbers, about n ** 2 / 2 ** 65 pairs of n different sets are taken for equal.
+numbers, about n ** 2 / 2 ** 65 pairs of n different sets are taken for equal. Documents
+are told apart by 128 bits of their key and text.
+
+What joins the table of documents is a written table itself, so adaptive execution can
+split a hot key (a node with a third of all documents).
 
 Defined results: a text without words (null, empty, symbols only) is in a class
 of its own and has no links; rows equal in key and text count as one document
@@ -36,7 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm.common import words_of
@@ -113,21 +117,21 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-_SIGNATURES = "r long, key long, node long, n int, bands array<long>"
+_SIGNATURES = "r long, s long, key long, node long, n int, bands array<long>"
 
 
 def _sign(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, count, made = [], [], []
-            for value in batch.column(2):
+            for value in batch.column(3):
                 found = shingles(value.as_py(), width)
                 node.append(node_of(found) if len(found) else None)
                 count.append(len(found))
                 made.append(band_hashes(found, bands, rows) if len(found) else [])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(node, pa.int64()), pa.array(count, pa.int32()), pa.array(made, pa.list_(pa.int64()))],
-                ["r", "key", "node", "n", "bands"],
+                [*batch.columns[:3], pa.array(node, pa.int64()), pa.array(count, pa.int32()), pa.array(made, pa.list_(pa.int64()))],
+                ["r", "s", "key", "node", "n", "bands"],
             )
 
     return run
@@ -265,21 +269,29 @@ def _confirmed(grouped: DataFrame, threshold: float) -> DataFrame:
     return small.withColumnRenamed("root", "component").unionByName(counted)
 
 
+def _row_hashes(key: str, text: str) -> list[Column]:
+    """128 bits of a document's key and text."""
+    return [F.xxhash64(f"`{key}`", f"`{text}`"), F.xxhash64(F.lit(1), f"`{text}`", f"`{key}`")]
+
+
 def classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH
 ) -> DataFrame:
-    """One row per document: ``r`` (hash of key and text), ``key``, ``class_node``, ``n_copies``, ``n_links``.
+    """One row per document: ``r``, ``s`` (hashes of key and text), ``key``, ``class_node``, ``n_copies``, ``n_links``.
 
     ``n_copies`` counts the documents with the same n-gram set, itself included;
     ``n_links`` the different sets at ``threshold`` or above. ``class_node`` names
     the class; it is null for a text without words.
     """
     bands, rows = banding(threshold, recall)
-    texts = docs.select(
-        F.xxhash64(f"`{key}`", f"`{text}`").alias("r"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")
-    )
+    r, s = _row_hashes(key, text)
+    texts = docs.select(r.alias("r"), s.alias("s"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = stage(texts.mapInArrow(_sign(width, bands, rows), _SIGNATURES), "signatures")
-    nodes = signed.where("node IS NOT NULL")
+    # One document speaks for each node.
+    spoken = F.min(F.struct("r", "s", "n", "bands")).alias("of")
+    nodes = stage(
+        signed.where("node IS NOT NULL").groupBy("node").agg(spoken, F.count("*").alias("n_copies")).select("node", "n_copies", "of.*"), "nodes"
+    )
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = stage(
         banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader"),
@@ -287,43 +299,63 @@ def classes(
     )
     candidates = banded.join(shared, "band").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
     members = stage(connected_components(candidates), "candidate-groups")
-    # One document speaks for each node, and its text is fetched by its hash.
-    chosen = nodes.join(members, "node").groupBy("node", "component").agg(F.min("r").alias("r"), F.min("n").alias("n"))
+    chosen = nodes.join(members, "node").select("r", "s", "node", "component", "n")
     sizes = chosen.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    chosen = stage(chosen.join(sizes, "component").select("r", "node", "component", "blocks"), "chosen-texts")
-    fetched = texts.select("r", "text").join(chosen.hint("shuffle_hash"), "r").select("node", "component", "blocks", "text")
+    chosen = stage(chosen.join(sizes, "component").select("r", "s", "node", "component", "blocks"), "chosen-texts")
+    fetched = texts.select("r", "s", "text").join(chosen.hint("merge"), ["r", "s"]).select("node", "component", "blocks", "text")
     grouped = stage(fetched.mapInArrow(_sets(width), "node long, component long, blocks int, shingles binary"), "shingle-sets")
     links = stage(_confirmed(grouped, threshold), "confirmed-links")
-    copies = nodes.groupBy("node").agg(F.count("*").alias("n_copies"))
-    known = copies.join(links, "node", "left").select(
+    known = nodes.join(links, "node", "left").select(
         "node", "n_copies", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("class_node")
     )
-    return (
-        signed.select("r", "key", "node")
-        .join(known, "node", "left")
-        .select("r", "key", "class_node", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    known = stage(known, "known-nodes")
+    found = signed.where("node IS NOT NULL").select("r", "s", "key", "node").join(known, "node")
+    alone = signed.where("node IS NULL").select("r", "s", "key", F.col("node").alias("class_node"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return found.select("r", "s", "key", "class_node", "n_copies", "n_links").unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: that with the least key (nulls last), then text hash."""
     found = classes(docs, key, text, **options)
-    alone = found.where("class_node IS NULL").select("r").distinct()
+    alone = found.where("class_node IS NULL").select("r", "s").distinct()
     first = found.where("class_node IS NOT NULL").groupBy("class_node").agg(
-        F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "r")).alias("first")
+        F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "r", "s")).alias("first")
     )
-    kept = stage(alone.unionByName(first.select("first.r")), "kept-rows")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    row = docs.select(*names, F.xxhash64(f"`{key}`", f"`{text}`").alias("__r"))
-    return row.join(kept.withColumnRenamed("r", "__r"), "__r", "left_semi").dropDuplicates(["__r"]).drop("__r")
+    kept = stage(alone.unionByName(first.select("first.r", "first.s")), "kept-rows")
+    r, s = _row_hashes(key, text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), r.alias("r"), s.alias("s"))
+    return rows.join(kept, ["r", "s"], "left_semi").dropDuplicates(["r", "s"]).select("row.*")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = stage(classes(docs), "classes")
-    named = found.where("class_node IS NOT NULL").groupBy("class_node").agg(F.min("key").alias("class_id"))
-    return found.join(named, "class_node", "left").select(
-        F.col("key").alias("doc_id"), F.coalesce("class_id", "key").alias("class_id"), "n_links", "n_copies"
-    )
+    grouped = found.where("class_node IS NOT NULL")
+    named = stage(grouped.groupBy("class_node").agg(F.min("key").alias("class_id")), "named-classes")
+    whole = grouped.join(named, "class_node").unionByName(found.where("class_node IS NULL").withColumn("class_id", F.col("key")))
+    return whole.select(F.col("key").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
+#: DuckDB SQL of the same rows, from all pairs that share a shingle.
+OP1_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+grams AS (
+  SELECT d, doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM word WHERE len(w) > 0),
+doc AS (SELECT d, doc_id, s, md5(array_to_string(s, ',')) AS node FROM grams),
+node AS MATERIALIZED (SELECT node, any_value(s) AS s, min(doc_id) AS least, count(*) AS n_copies FROM doc GROUP BY node),
+inv AS MATERIALIZED (SELECT node, len(s) AS n, unnest(s) AS g FROM node),
+link AS MATERIALIZED (
+  SELECT x, y FROM (SELECT a.node AS x, b.node AS y, count(*) AS c, min(a.n) AS nx, min(b.n) AS ny FROM inv a JOIN inv b ON a.g = b.g AND a.node <> b.node GROUP BY a.node, b.node)
+  WHERE c >= 0.8 * (nx + ny - c) - 1e-6),
+reach AS (SELECT node AS x, node AS y FROM node UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+class AS (SELECT x AS node, min(least) AS class_id FROM reach JOIN node ON node.node = reach.y GROUP BY x),
+deg AS (SELECT x AS node, count(*) AS n_links FROM link GROUP BY x)
+SELECT word.doc_id, coalesce(class_id, word.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies
+FROM word LEFT JOIN doc ON doc.d = word.d LEFT JOIN node ON node.node = doc.node LEFT JOIN class ON class.node = doc.node LEFT JOIN deg ON deg.node = doc.node
+"""

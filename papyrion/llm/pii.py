@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,7 +71,7 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _WORDS = {kind: frozenset(words.split()) for kind, words in CONTEXT.items()}
 _SPLIT = re.compile(r"[\w-]+")
@@ -105,6 +106,24 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             low, at = at + 1, text.find("@", at + 1)
 
 
+@lru_cache
+def _iban_rest(n: int) -> re.Pattern:
+    return re.compile(rf"(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])")
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed numbers, each as long as its country has it; a number may follow another at once."""
+    low = 0
+    for m in _IBAN.finditer(text):
+        n = IBAN_LENGTHS.get(m[0][:2], 0)
+        if not n or m.start() < low:
+            continue
+        rest = _iban_rest(n - 4).match(text, m.end())
+        if rest and mod97(text[m.start() : rest.end()].replace(" ", "")):
+            low = rest.end()
+            yield m.start(), low
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -132,16 +151,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
                 found.append(("card", *m.span()))
         if "+" in text:
             found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-        for m in _IBAN.finditer(text):
-            whole = m[0].replace(" ", "")
-            # The greedy match may have taken a following word; the country fixes the length.
-            n = IBAN_LENGTHS.get(whole[:2], 0)
-            if n and len(whole) >= n and mod97(whole[:n]):
-                end, left = m.start(), n
-                while left:
-                    left -= text[end] != " "
-                    end += 1
-                found.append(("iban", m.start(), end))
+        found += [("iban", s, e) for s, e in _ibans(text)]
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     found.sort(key=lambda x: (x[1], PRIORITY[x[0]]))
     scored = [(kind, s, e, _score(text, kind, s, e)) for kind, s, e in found]
@@ -211,16 +221,18 @@ def with_pii(
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the spans of ``text`` masked, and ``n_chars``, if there is one, counted anew where that changed."""
     names = list(docs.columns)
-    made = with_pii(docs, text, "__pii_spans", "__pii_masked", [c for c in names if c != text])
+    # All columns but the text travel as one, so no name of theirs can clash with those made here.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row"), F.col(f"`{text}`").alias("text"))
+    made = with_pii(packed, "text", "spans", "masked", ["row"])
     columns = []
     for c in names:
         if c == text:
-            columns.append(F.col("__pii_masked").alias(c))
+            columns.append(F.col("masked").alias(c))
         elif c == "n_chars":
             kind = docs.schema[c].dataType
-            columns.append(F.when(F.size("__pii_spans") > 0, F.length("__pii_masked").cast(kind)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.size("spans") > 0, F.length("masked").cast(kind)).otherwise(F.col("row.n_chars")).alias(c))
         else:
-            columns.append(F.col(f"`{c}`"))
+            columns.append(F.col(f"row.`{c}`"))
     return made.select(*columns)
 
 
@@ -238,5 +250,68 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["base"])
     counts = [F.size(F.filter("pii", _of(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS[:4]]
     return found.select(
-        "doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+# What DuckDB searches for each kind; of the last two, a character before them is part of the match.
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "iban": r"(^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}",
+    "ssn": r"(^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+
+#: DuckDB SQL of the same rows.
+OP8_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t FROM documents),
+kinds(kind, rank, score) AS (VALUES {_values((k, i, SCORES[k]) for k, i in PRIORITY.items())}),
+about(kind, context) AS (VALUES {", ".join(f"('{k}', {sorted(w.split())})" for k, w in CONTEXT.items())}),
+raw AS ({" UNION ALL ".join(f"SELECT d, t, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS parts FROM doc" for k, p in _SQL_PATTERNS.items())}),
+found AS (
+  SELECT d, t, kind, m[i] AS x, (list_sum(list_transform(parts[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw)),
+digit AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS g FROM found),
+country(code, n) AS (VALUES {_values(IBAN_LENGTHS.items())}),
+longer AS (
+  SELECT d, t, s + length(x) - 4 AS s, regexp_extract(substr(t, s + length(x) - 3), '^[A-Z]{{2}}[0-9]{{2}}( ?[A-Z0-9]){{' || (n - 4) || '}}') AS x
+  FROM digit JOIN country ON code = right(x, 4)[1:2] WHERE kind = 'iban'),
+iban AS (
+  SELECT *, replace(x[5:] || x[1:4], ' ', '') AS moved FROM longer WHERE x <> '' AND NOT regexp_matches(substr(t, s + length(x) + 1, 1), '[A-Za-z0-9]')),
+span AS (
+  SELECT d, t, kind, s, s + length(x) AS e FROM digit WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(try_cast(ltrim(y, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda k:
+      CASE WHEN k % 2 = 1 THEN substr(g, length(g) + 1 - k, 1)::INTEGER ELSE substr(g, length(g) + 1 - k, 1)::INTEGER * 2 // 10 + substr(g, length(g) + 1 - k, 1)::INTEGER * 2 % 10 END)) % 10 = 0
+    WHEN 'phone' THEN length(g) BETWEEN 9 AND 15 END
+  UNION ALL SELECT d, t, 'iban', s, s + length(x) FROM iban
+    WHERE list_reduce(list_transform(string_split(moved, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END),
+                      lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, 0) = 1
+  UNION ALL SELECT d, t, 'ssn', s + length(x) - 11, s + length(x) FROM digit
+    WHERE kind = 'ssn' AND NOT regexp_matches(substr(t, s + length(x) + 1, 1), '[0-9-]') AND right(x, 11)[1:3] NOT IN ('000', '666') AND right(x, 11)[1] <> '9'
+      AND right(x, 7)[1:2] <> '00' AND right(x, 4) <> '0000'),
+near AS (SELECT *, substr(t, greatest(0, s - {CONTEXT_REACH}) + 1, s - greatest(0, s - {CONTEXT_REACH})) || ' ' || substr(t, e + 1, {CONTEXT_REACH}) AS w FROM span),
+scored AS (
+  SELECT d, kind, rank, s, e, round(least(1.0, score + CASE WHEN list_has_any(regexp_extract_all(lower(w), '[\\pL\\pN_-]+'), context) THEN {CONTEXT_BONUS} ELSE 0 END), 2)::DOUBLE AS score
+  FROM near JOIN kinds USING (kind) JOIN about USING (kind)),
+kept AS (SELECT * FROM scored WHERE rank < 4 OR score >= {THRESHOLD}),
+told AS (
+  SELECT d, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans,
+         string_agg(score::VARCHAR, ',' ORDER BY s, rank) AS scores, count(*) AS n_spans FROM kept GROUP BY d)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM doc LEFT JOIN told ON told.d = doc.d
+"""

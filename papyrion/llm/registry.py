@@ -18,8 +18,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": neardup.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "op8_pii": pii.OP8_SQL,
+    "op9_decontamination": decontam.OP9_SQL,
     "op10_url_filters": urls.OP10_SQL,
 }

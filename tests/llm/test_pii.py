@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -99,3 +100,32 @@ def test_ibans_of_more_countries():
             assert ("iban", 3, 3 + len(shown)) in [x[:3] for x in pii.find_spans(text)]
         wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 97:02d}" + iban[4:]
         assert "iban" not in [x[0] for x in pii.find_spans(f"to {wrong}.")]
+
+
+def test_a_number_behind_another_is_found_too():
+    text = "NO9386011117947 BE68539007547034, NO93 8601 1117 947 DE89370400440532013000 XX00 NO93860111179471"
+    assert [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == "iban"] == ["NO9386011117947", "BE68539007547034", "NO93 8601 1117 947", "DE89370400440532013000"]
+
+
+def test_scores_and_clashing_names_of_redacted_rows(spark, tmp_path):
+    rows = [(1, "card 4111 1111 1111 1111 or 4111111111111111" + " x" * 60 + " 4111111111111111", "a", "b", 3), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, masked string, n_chars int")
+    got = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert got[1].text.startswith("card [CARD] or [CARD] x") and got[1].n_chars == len(got[1].text) and (got[1].spans, got[1].masked) == ("a", "b")
+    assert got[2] == (2, None, None, None, None)
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.scores for r in pii.op8_pii(spark, str(tmp_path)).collect()} == {1: "1.0,1.0,0.8", 2: ""}
+
+
+def test_the_sql_says_the_same(tmp_path):
+    texts = [
+        "IBAN NO9386011117947 and DE89 3704 0044 0532 0130 00, ssn 123-45-6789 or 123-45-6789.", "number 123-45-6789", "social 000-12-3456 666-12-3456 912-12-3456 123-00-3456 123-45-0000 1123-45-6789",
+        "é 日本 +49 (30) 123-45 67 call 1.2.3.4.5 or 256.1.1.1 or 01.002.0003.255, 4111-1111 1111 1111", "a@b.c.d x@y a.b+c@d-e.fr@g.h", "GB82WEST12345698765432X GB82WEST12345698765432 XX89370400440532013000", "", None,
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {r[0]: r[6:9] for r in con.execute(pii.OP8_SQL).fetchall()}
+    found = {i: pii.find_spans(t or "") for i, t in enumerate(texts)}
+    assert got == {i: (",".join(f"{k}:{s}:{e}" for k, s, e, _ in f), ",".join(str(x[3]) for x in f), len(f)) for i, f in found.items()}
+    assert {"iban", "ssn", "email", "ip", "card", "phone"} == {x[0] for f in found.values() for x in f}
