@@ -73,12 +73,12 @@ def rotate(
     # Joins on (id or 0, is it null?), since null equals nothing.
     key = [F.coalesce("conv_id", F.lit(0)).alias("k"), F.col("conv_id").isNull().alias("none")]
     placed = placed.select("*", *key)
-    about = placed.groupBy("k", "none").agg(
-        F.min("place").alias("first"),
-        F.array_sort(F.collect_set(F.when(~F.col("role").isin(*CONTEXT_ROLES), F.col("role")))).alias("speakers"),
-    )
+    # A row for each participant, so a conversation of very many speakers is no long array.
+    begins = placed.groupBy("k", "none").agg(F.min("place").alias("first"))
+    spoken = placed.where(~F.col("role").isin(*CONTEXT_ROLES)).select("k", "none", F.col("role").alias("participant")).distinct()
+    about = stage(spoken.join(begins, ["k", "none"]), "participants")
     seen = placed.join(about, ["k", "none"]).select(
-        "conv_id", "k", "none", "role", "text", (F.col("place") - F.col("first")).alias("i"), F.explode("speakers").alias("participant")
+        "conv_id", "k", "none", "role", "text", (F.col("place") - F.col("first")).alias("i"), "participant"
     )
     own = F.col("role") == F.col("participant")
     head = (
@@ -92,15 +92,17 @@ def rotate(
         own.alias("own"),
         F.length(head).alias("head"),
     )
-    gathered = parts.groupBy("k", "none", "participant", "window").agg(
+    by = ["k", "none", "participant", "window"]
+    gathered = parts.groupBy(*by).agg(
         F.first("conv_id").alias("conv_id"),
         F.count("*").alias("n_turns"),
         F.array_sort(F.collect_list(F.struct("i", "part", "own", "head"))).alias("turns"),
-        F.sum(F.length("part")).alias("chars"),
     )
-    # Windows before this one: a row each, so only a conversation of very many windows has many.
+    # A number for each window: only these, and not the texts, are put in order by conversation.
+    sizes = parts.groupBy(*by).agg(F.sum(F.length("part")).alias("chars"))
     earlier = Window.partitionBy("k", "none", "participant").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
-    started = gathered.withColumn("char_start", F.coalesce(F.sum("chars").over(earlier), F.lit(0)))
+    starts = sizes.select(*by, F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("char_start"))
+    started = gathered.join(starts, by)
     return started.select(
         "conv_id", "participant", "window", "n_turns", "char_start",
         F.array_join(F.transform("turns", lambda t: t["part"]), "").alias("rendered"),
