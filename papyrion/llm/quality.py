@@ -79,10 +79,9 @@ def _compiled(rules: tuple[Rule, ...]) -> Column:
     return F.array_compact(F.array(*failed))
 
 
-def with_quality(docs: DataFrame, text: str = "text", out: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with a struct of the counts, ``base_failed``, ``failed_rules`` and ``kept``."""
+def _judged(docs: DataFrame, names: list[str], text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """``__row``, a struct of the columns ``names``, and ``verdict``; all columns travel as one, so no name of theirs can clash."""
     stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
-    names = [c for c in docs.columns if c != out]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
     df = docs.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     df = pin(
@@ -134,15 +133,18 @@ def with_quality(docs: DataFrame, text: str = "text", out: str = "quality", rule
     verdict = F.struct(
         *COUNTS, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept")
     )
-    return df.select("__row.*", verdict.alias(out))
+    return df.select("__row", verdict.alias("verdict"))
+
+
+def with_quality(docs: DataFrame, text: str = "text", out: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with a struct of the counts, ``base_failed``, ``failed_rules`` and ``kept``."""
+    judged = _judged(docs, [c for c in docs.columns if c != out], text, rules)
+    return judged.select("__row.*", F.col("verdict").alias(out))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    names = list(docs.columns)
-    flag = "__quality_of_row"
-    judged = with_quality(docs, text, flag, rules)
-    return judged.where(F.col(f"{flag}.kept")).select(*[F.col(f"`{c}`") for c in names])
+    return _judged(docs, docs.columns, text, rules).where("verdict.kept").select("__row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -37,10 +37,10 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("level_bytes", [1 << 20, 16])
+@pytest.mark.parametrize("level_bytes", [1 << 20, 8])
 def test_verdicts_with_odd_rows_and_clashing_names(spark, level_bytes):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, __row string, __listed string").withColumn("url_verdict", F.lit(1))
-    listed = keys(spark, [" BAD.example.org ", None, "", "casino.com", "never.seen"] + [f"more{i}.org" for i in range(100)])
+    listed = keys(spark, [" BAD.example.org ", None, "", "casino.com", "never.seen"] + [f"more{i}.org" for i in range(30)])
     made = urls.judge_urls(pages, listed, level_bytes=level_bytes)
     assert made.columns == ["page_id", "url", "__row", "__listed", "url_verdict"]
     got = [(r.page_id, r.url_verdict.host[-16:], r.url_verdict.path, r.url_verdict.rule, r.url_verdict.listed, r.url_verdict.verdict) for r in made.collect()]
