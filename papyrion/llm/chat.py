@@ -33,6 +33,7 @@ from papyrion.session import stage
 CONTEXT_ROLES = ("system",)
 WINDOW_TURNS = 256
 UNKNOWN = "unknown"
+_TURN_END = "<|end|>\n"
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def rotate(
         speaker.alias("role"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     )
-    placed = stage(_numbered(plain), "placed-turns")
+    placed = stage(_numbered(plain).withColumn("chars", F.length("text")), "placed-turns")
     # Joins on (id or 0, is it null?), since null equals nothing.
     key = [F.coalesce("conv_id", F.lit(0)).alias("k"), F.col("conv_id").isNull().alias("none")]
     placed = placed.select("*", *key)
@@ -78,7 +79,7 @@ def rotate(
     spoken = placed.where(~F.col("role").isin(*CONTEXT_ROLES)).select("k", "none", F.col("role").alias("participant")).distinct()
     about = stage(spoken.join(begins, ["k", "none"]), "participants")
     seen = placed.join(about, ["k", "none"]).select(
-        "conv_id", "k", "none", "role", "text", (F.col("place") - F.col("first")).alias("i"), "participant"
+        "conv_id", "k", "none", "role", "text", "chars", (F.col("place") - F.col("first")).alias("i"), "participant"
     )
     own = F.col("role") == F.col("participant")
     head = (
@@ -88,7 +89,8 @@ def rotate(
     )
     parts = seen.select(
         "conv_id", "k", "none", "participant", F.floor(F.col("i") / window).alias("window"), "i",
-        F.concat(head, "text", F.lit("<|end|>\n")).alias("part"),
+        F.concat(head, "text", F.lit(_TURN_END)).alias("part"),
+        (F.length(head) + F.col("chars") + len(_TURN_END)).alias("size"),
         own.alias("own"),
         F.length(head).alias("head"),
     )
@@ -99,7 +101,7 @@ def rotate(
         F.array_sort(F.collect_list(F.struct("i", "part", "own", "head"))).alias("turns"),
     )
     # A number for each window: only these, and not the texts, are put in order by conversation.
-    sizes = parts.groupBy(*by).agg(F.sum(F.length("part")).alias("chars"))
+    sizes = parts.groupBy(*by).agg(F.sum("size").alias("chars"))
     earlier = Window.partitionBy("k", "none", "participant").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*by, F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("char_start"))
     started = gathered.join(starts, by)
