@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrion.llm import chat, decontam, licenses, neardup, packing, pii, quality, tokenfiles, urls, warc
+from papyrion.llm import bpe, chat, decontam, licenses, neardup, packing, pii, quality, resampling, tokenfiles, urls, warc, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": neardup.op1_ngram_jaccard_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_bpe_codec": bpe.op12_bpe_codec,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLES = {
@@ -25,4 +28,5 @@ ORACLES = {
     "op8_pii": pii.OP8_SQL,
     "op9_decontamination": decontam.OP9_SQL,
     "op10_url_filters": urls.OP10_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 }
