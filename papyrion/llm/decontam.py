@@ -17,6 +17,10 @@ own offset. With ``slop`` 0 that gives the exact phrases; with more, there must
 from which each term is at most that many words off its place, which gives proximity
 matches: the rarest term's positions are tried with each shift.
 
+A segment has a number of its own (that of its task, then its place in the task), so what
+several blocks find in one document is put together by segment and place, whatever the
+document's id and words are. Windows are tried in slices of bounded numbers of candidates.
+
 Words: A-Z in lower case, then runs of the digits, a-z and all characters from
 U+0080. A window is 10 consecutive words; a shorter text is one window.
 
@@ -28,11 +32,11 @@ empty benchmark leaves all clean; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +53,14 @@ SLOP = 2
 BLOCK_BYTES = 8 << 20
 #: Empty positions between documents: more than a window and its slop.
 GAP = 64
+#: Windows, and candidate starts of them, that are tried at once.
+SLICE_WINDOWS = 1 << 14
+SLICE_STARTS = 1 << 20
 
-SEGMENTS = "docs array<string>, starts array<int>, sizes array<int>, terms binary, bounds array<int>, postings array<int>"
+SEGMENTS = "segment long, docs array<string>, starts array<int>, sizes array<int>, terms binary, bounds array<int>, postings array<int>"
 
 
-def _segment(keys: list, texts: list[list[bytes]]) -> dict:
+def _segment(number: int, keys: list, texts: list[list[bytes]]) -> dict:
     ids: dict[bytes, int] = {}
     sizes = [len(w) for w in texts]
     starts = np.cumsum([0] + [n + GAP for n in sizes[:-1]]) if sizes else np.empty(0, int)
@@ -66,6 +73,7 @@ def _segment(keys: list, texts: list[list[bytes]]) -> dict:
     term = rank[found]
     by_term = np.argsort(term, kind="stable")  # positions rise already
     return {
+        "segment": number,
         "docs": keys,
         "starts": starts.astype(np.int32),
         "sizes": np.array(sizes, np.int32),
@@ -77,6 +85,7 @@ def _segment(keys: list, texts: list[list[bytes]]) -> dict:
 
 _ARROW = pa.schema(
     [
+        ("segment", pa.int64()),
         ("docs", pa.list_(pa.string())),
         ("starts", pa.list_(pa.int32())),
         ("sizes", pa.list_(pa.int32())),
@@ -90,16 +99,19 @@ _ARROW = pa.schema(
 def _index(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, held = [], [], 0
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 32
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys.append(key)
                 texts.append(words := words_of(text.as_py()))
                 held += len(words) + 1
                 if held >= size:
-                    yield pa.RecordBatch.from_pylist([_segment(keys, texts)], _ARROW)
+                    yield pa.RecordBatch.from_pylist([_segment(number, keys, texts)], _ARROW)
                     keys, texts, held = [], [], 0
+                    number += 1
         if keys:
-            yield pa.RecordBatch.from_pylist([_segment(keys, texts)], _ARROW)
+            yield pa.RecordBatch.from_pylist([_segment(number, keys, texts)], _ARROW)
 
     return run
 
@@ -114,51 +126,69 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
 
 
 class Phrases:
-    """Windows of a block of items as arrays of term numbers, one array for each window length."""
+    """Windows of a block of items as arrays of term numbers, one array for each window length.
+
+    The items that hold window k of length n are ``owners[n][bounds[n][k]:bounds[n][k + 1]]``.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.items = [key for key, _ in items]
         self.terms: dict[bytes, int] = {}
-        rows: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        made: dict[int, list[np.ndarray]] = {}
+        owned: dict[int, list[np.ndarray]] = {}
         for i, (_, text) in enumerate(items):
-            words = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            n = min(window, len(words))
-            for k in range(len(words) - n + 1 if n else 0):
-                owners = rows.setdefault(n, {}).setdefault(tuple(words[k : k + n]), [])
-                if not owners or owners[-1] != i:
-                    owners.append(i)
-        self.windows = {n: np.array(list(found), np.int32) for n, found in rows.items()}
-        self.owners = {n: list(found.values()) for n, found in rows.items()}
-
-
-def _matches(windows: np.ndarray, lists: np.ndarray, base: np.ndarray, ends: np.ndarray, keyed: np.ndarray, slop: int):
-    """(window, start) of each match. ``lists`` maps term numbers to rows of the segment's table, or -1.
+            words = np.array([self.terms.setdefault(w, len(self.terms)) for w in words_of(text)], np.int32)
+            if n := min(window, len(words)):
+                made.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(words, n))
+                owned.setdefault(n, []).append(np.full(len(words) - n + 1, i))
+        self.windows: dict[int, np.ndarray] = {}
+        self.owners: dict[int, np.ndarray] = {}
+        self.bounds: dict[int, np.ndarray] = {}
+        for n, found in made.items():
+            self.windows[n], which = np.unique(np.concatenate(found), axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel().astype(np.int64) << 32 | np.concatenate(owned[n]))
+            self.owners[n] = (pairs & 0xFFFFFFFF).astype(np.int32)
+            self.bounds[n] = np.searchsorted(pairs >> 32, np.arange(len(self.windows[n]) + 1))
+
+
+def _matches(windows: np.ndarray, lists: np.ndarray, base: np.ndarray, ends: np.ndarray, keyed: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, starts) of the matches, slice by slice. ``lists`` maps term numbers to rows of the segment's table, or -1.
 
     ``keyed`` holds all postings as term << 32 | position, in order.
     """
-    row = lists[windows]
-    alive = np.flatnonzero((row >= 0).all(axis=1))
-    row = row[alive]
-    if not len(alive):
-        return alive, alive
-    order = np.argsort((ends - base)[row], axis=1, kind="stable")
-    rarest = order[:, 0]
-    first = row[np.arange(len(row)), rarest]
+    shifts = np.arange(-slop, slop + 1)
+    for low in range(0, len(windows), SLICE_WINDOWS):
+        row = lists[windows[low : low + SLICE_WINDOWS]]
+        alive = np.flatnonzero((row >= 0).all(axis=1))
+        row = row[alive]
+        order = np.argsort((ends - base)[row], axis=1, kind="stable")
+        first = row[np.arange(len(row)), order[:, 0]]
+        starts = np.cumsum((ends - base)[first]) * len(shifts)
+        at = 0
+        while at < len(alive):
+            end = max(at + 1, int(np.searchsorted(starts, (starts[at - 1] if at else 0) + SLICE_STARTS, "right")))
+            which, start = _tried(row[at:end], order[at:end], first[at:end], base, ends, keyed, shifts)
+            yield low + alive[at:end][which], start
+            at = end
+
+
+def _tried(row: np.ndarray, order: np.ndarray, first: np.ndarray, base: np.ndarray, ends: np.ndarray, keyed: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, start) of the matches of some windows, from the places of their rarest terms, ``first``."""
+    slop = int(shifts[-1])
     counts = (ends - base)[first]
-    which = np.repeat(np.arange(len(alive)), counts)
+    which = np.repeat(np.arange(len(row)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(base[first], counts)
-    start = (keyed[at] & 0xFFFFFFFF) - rarest[which]
+    start = (keyed[at] & 0xFFFFFFFF) - order[which, 0]
     if slop:
-        shifts = np.arange(-slop, slop + 1)
         which, start = np.repeat(which, len(shifts)), (start[:, None] + shifts).ravel()
-    for k in range(1, windows.shape[1]):
+    for k in range(1, row.shape[1]):
         offset = order[which, k]
         term, want = row[which, offset].astype(np.int64) << 32, start + offset
         # The first posting at or after the earliest place allowed must not lie beyond the last.
         i = np.searchsorted(keyed, term + np.maximum(want - slop, 0))
         ok = (i < len(keyed)) & (keyed[np.minimum(i, len(keyed) - 1)] <= term + want + slop)
         which, start = which[ok], start[ok]
-    return alive[which], start
+    return which, start
 
 
 def search_segment(segment: dict, phrases: Phrases, slop: int) -> list[tuple]:
@@ -176,17 +206,16 @@ def search_segment(segment: dict, phrases: Phrases, slop: int) -> list[tuple]:
     items: dict[int, set] = {}
     near: dict[int, set] = {}
     for n, windows in phrases.windows.items():
-        owners = phrases.owners[n]
+        owners, bounds_of = phrases.owners[n], phrases.bounds[n]
         for allowed, into in ((0, items), (slop, near)) if slop else ((0, items),):
-            which, start = _matches(windows, lists, base, ends, keyed, allowed)
-            doc = np.searchsorted(starts, np.maximum(start, 0), "right") - 1
-            if allowed:  # a shifted start may lie before its document
-                doc = np.searchsorted(starts, start + allowed, "right") - 1
-            for w, s, d in zip(which.tolist(), start.tolist(), doc.tolist()):
-                into.setdefault(d, set()).update(owners[w])
-                if not allowed:
-                    low = s - int(starts[d])
-                    spans.setdefault(d, []).append((low, low + n))
+            for which, start in _matches(windows, lists, base, ends, keyed, allowed):
+                # A shifted start may lie before its document.
+                doc = np.searchsorted(starts, np.maximum(start + allowed, 0), "right") - 1
+                for w, s, d in zip(which.tolist(), start.tolist(), doc.tolist()):
+                    into.setdefault(d, set()).update(owners[bounds_of[w] : bounds_of[w + 1]].tolist())
+                    if not allowed:
+                        low = s - int(starts[d])
+                        spans.setdefault(d, []).append((low, low + n))
     out = []
     for d, (key, size) in enumerate(zip(segment["docs"], sizes.tolist())):
         merged: list[list[int]] = []
@@ -201,11 +230,11 @@ def search_segment(segment: dict, phrases: Phrases, slop: int) -> list[tuple]:
     return out
 
 
-MATCHES = "doc_id string, segment string, place int, n_words long, hits array<array<int>>, items array<string>, near_items array<string>"
+MATCHES = "doc_id string, segment long, place int, n_words long, hits array<array<int>>, items array<string>, near_items array<string>"
 _ARROW_MATCHES = pa.schema(
     [
         ("doc_id", pa.string()),
-        ("segment", pa.string()),
+        ("segment", pa.int64()),
         ("place", pa.int32()),
         ("n_words", pa.int64()),
         ("hits", pa.list_(pa.list_(pa.int32()))),
@@ -222,9 +251,9 @@ def _search(phrases, slop: int):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
                 lists = {c: row[c].values.to_numpy() for c in ("starts", "sizes", "bounds", "postings")}
                 segment = lists | {"docs": row["docs"].values.to_pylist(), "terms": row["terms"].as_py()}
-                name = hashlib.md5(segment["terms"] + str(segment["docs"]).encode()).hexdigest()
                 found = search_segment(segment, phrases.value, slop)
-                made = [(d, name, p, n, h, [*map(str, i)], [*map(str, m)]) for d, p, n, h, i, m in found]
+                number = row["segment"].as_py()
+                made = [(d, number, p, n, h, [*map(str, i)], [*map(str, m)]) for d, p, n, h, i, m in found]
                 yield pa.RecordBatch.from_pylist([dict(zip(_ARROW_MATCHES.names, x)) for x in made], _ARROW_MATCHES)
 
     return run
@@ -261,7 +290,9 @@ def search(
     for more in found[1:]:
         parts = parts.unionByName(stage(more, "matches"))
     # Each block answers for each document once; only their findings are put together.
-    joined = parts.groupBy("segment", "place", "doc_id", "n_words").agg(
+    joined = parts.groupBy("segment", "place").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"),

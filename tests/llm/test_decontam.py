@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -115,3 +118,51 @@ def test_names_that_clash_when_rows_are_dropped(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "d e f", None, None)], "doc_id long, text string, row string, name string")
     kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, "A b, c!")], "item_id long, text string"))
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "d e f", None, None)]
+
+
+def test_repeated_and_nameless_documents_at_one_block_and_at_several(spark):
+    docs = [(1, "alpha beta gamma delta x")] * 2 + [(None, "alpha beta gamma delta"), (None, "delta gamma beta alpha")] * 2 + [(1, "delta gamma y"), (None, None)]
+    bench = [("p", "alpha beta"), ("q", "gamma beta alpha"), ("r", "delta gamma")]
+    table = spark.createDataFrame(bench, "item_id string, text string").coalesce(1)
+    for partitions in (1, 2, 5):
+        for segment in (1, 1 << 18):
+            index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(partitions), segment=segment)
+            for block in (1, 40, 1 << 20):
+                rows = decontam.search(index, table, block=block, slop=0).collect()
+                got = [(r.doc_id, r.n_words, sum(y - x for x, y in r.hits), sorted(r["items"])) for r in rows]
+                assert sorted(got, key=repr) == sorted(brute(docs, bench), key=repr)
+
+
+def test_slices_of_windows_and_starts_change_nothing(spark, monkeypatch):
+    random.seed(9)
+    docs = [(i, " ".join(random.choices("abcdef", k=random.randint(0, 80)))) for i in range(40)]
+    table = spark.createDataFrame([(i, " ".join(random.choices("abcdef", k=random.randint(1, 14)))) for i in range(30)], "item_id long, text string")
+    phrases = decontam.Phrases([(r.item_id, r.text) for r in table.collect()])
+    segment = decontam._segment(0, [d for d, _ in docs], [t.encode().split() for _, t in docs])
+    once = decontam.search_segment(segment, phrases, 2)
+    for windows, starts in ((1, 1), (7, 13), (1000, 40)):
+        monkeypatch.setattr(decontam, "SLICE_WINDOWS", windows)
+        monkeypatch.setattr(decontam, "SLICE_STARTS", starts)
+        assert decontam.search_segment(segment, phrases, 2) == once
+
+
+LARGE_BLOCK = """
+import random, resource
+from papyrion.llm import decontam
+random.seed(1)
+words = [f"w{i}" for i in range(40)]
+phrases = decontam.Phrases([(i, " ".join(random.choices(words, k=2000))) for i in range(1400)])
+assert sum(map(len, phrases.windows.values())) > 2_500_000
+text = [" ".join(random.choices(words, k=1 << 16)).encode().split() for _ in range(4)]
+segment = decontam._segment(0, [1, 2, 3, 4], text)
+phrases.windows[10] = phrases.windows[10][:30_000]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+decontam.search_segment(segment, phrases, 2)
+print(max(before, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) // 1024)
+"""
+
+
+def test_memory_of_a_whole_block_of_the_benchmark():
+    """8 MB of benchmark, and a segment in which every window has thousands of candidates."""
+    run = subprocess.run([sys.executable, "-c", LARGE_BLOCK], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=300, check=True)
+    assert int(run.stdout) < 1200
