@@ -21,7 +21,9 @@ the whole stream would give, however it comes in batches. There is no shuffle: e
 partition is packed on its own, in the order that its rows are read in (that of
 the files, not that of ids), and ``sequence_id`` holds its number in the upper bits.
 
-Defined results: null or empty text is a document of its end token alone; a null
+Where sentences end is said in `tokens`.
+
+Defined results: null or empty text is a document of its end token alone; ids may be of any type, and a null
 id stays null; repeated rows are packed as often as they come; extra columns are
 not carried (rows are pieces, not documents); empty table in, empty table out.
 """
@@ -37,6 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrion.llm import tokens
 
@@ -51,7 +54,7 @@ GRID = 64
 #: The shortest sequence that is made to end at a power of two for the sake of its padding.
 LEAST_POWER = 256
 
-PIECES = "id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
 def allowed_cuts(ends: np.ndarray, sentences: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,13 +149,13 @@ class Cuts:
 
 
 class Packer:
-    """Packs a stream of documents into record batches of pieces, as `PIECES` names them."""
+    """Packs a stream of documents into record batches of pieces: the name of the document, then what `PIECES` names."""
 
-    def __init__(self, capacity: int, first_sequence: int):
+    def __init__(self, capacity: int, first_sequence: int, names: pa.DataType):
         self.cuts, self.capacity, self.sequence = Cuts(capacity), capacity, first_sequence
         self.ids = np.empty(0, "<u4")
         # Of the documents held: their names, where they begin (the first maybe before what is held), and the end.
-        self.keys: pa.Array = pa.array([], pa.int64())
+        self.keys: pa.Array = pa.array([], names)
         self.bounds = np.zeros(1, np.int64)
 
     def add(self, keys: pa.Array, ids: np.ndarray, bounds: np.ndarray, sentences: np.ndarray) -> pa.RecordBatch:
@@ -191,23 +194,27 @@ class Packer:
 
 
 def pack_batches(tokenizer: str, end_id: int, capacity: int):
-    """Arrow batches of (id, text) to rows of pieces, as `PIECES` names them."""
+    """Arrow batches of (id, text) to rows of pieces: the id, then what `PIECES` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, is_end = tokens.encoder(tokenizer), tokens.sentence_ends(tokenizer)
+        encoder = tokens.encoder(tokenizer)
         task = TaskContext.get()
-        packer = Packer(capacity, (task.partitionId() if task else 0) << 40)
+        packer = None
         for batch in batches:
             keys = batch.column(0)
-            for k, ids, bounds in encoder.blocks(batch.column(1)):
-                ended = is_end[ids]
-                ended[np.maximum(bounds[1:][np.diff(bounds) > 0] - 1, 0)] = False  # the document's end follows
-                sentences = np.flatnonzero(ended)
+            packer = packer or Packer(capacity, (task.partitionId() if task else 0) << 40, keys.type)
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
+            data = memoryview(texts.buffers()[2] or b"")
+            for k, ids, bounds in encoder.blocks(texts):
                 # Each document gets its end token, which moves what stands behind.
-                sentences += np.searchsorted(bounds[1:], sentences, "right") + 1
+                sentences = [
+                    encoder.sentence_cuts(data[offsets[k + i] : offsets[k + i + 1]], ids[a:b]) + a + i for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                ]
                 ids = np.insert(ids, bounds[1:], np.uint32(end_id))
-                yield packer.add(keys[k : k + len(bounds) - 1], ids, bounds + np.arange(len(bounds)), sentences)
-        yield packer.end()
+                yield packer.add(keys[k : k + len(bounds) - 1], ids, bounds + np.arange(len(bounds)), np.concatenate(sentences))
+        if packer:
+            yield packer.end()
 
     return run
 
@@ -240,11 +247,14 @@ def pack(
     worker, so that the ids need not travel.
     """
     run = pack_batches(tokenizer or tokens.default_tokenizer(), end_id, capacity)
-    schema = PIECES
+    pieces = PIECES
     if digest:
-        run, schema = digests(run), PIECES.replace("ids array<int>", "ids_crc32 long")
-    chosen = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", key)
+        run, pieces = digests(run), PIECES.replace("ids array<int>", "ids_crc32 long")
+    made = T.StructType.fromDDL(pieces)
+    if key in made.names:
+        raise ValueError(f"the key {key} is named like a column of the result")
+    chosen = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return chosen.mapInArrow(run, T.StructType([chosen.schema["id"], *made.fields])).withColumnRenamed("id", key)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

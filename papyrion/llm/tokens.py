@@ -15,10 +15,17 @@ piece of at most `KEY_BYTES` bytes is its own key, as two integers, in a hash ta
 pieces with known ids, and only new and longer pieces go to the library. A text in
 which other white space touches ASCII white space, or which holds the string of an
 added token, goes there whole, as does every text if the tokenizer is not of that kind.
+
+Sentences are found in the text, not in the tokens (`sentence_gaps`). A sentence ends
+with ``.``, ``!``, ``?`` or an ellipsis, closing signs behind it taken along, if white space
+follows and then no small ASCII letter; with a full stop of full width; or at a blank line. A single dot
+behind a digit, a single letter or a capitalised word of two or three letters ends none, since it
+may mark a number, an initial or a title.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +39,18 @@ KEY_BYTES = 15
 #: Bytes of text that are cut at once, about; a longer text is cut at a space.
 BLOCK_BYTES = 1 << 19
 
-_SENTENCE_ENDS = (".", "!", "?", "…", "。")
+_NO_LETTER = rb"[\x00-/:-@\[-`{-\x7f]"
+_CLOSING = rb"(?:[\"')\]}]|\xc2\xbb|\xe2\x80[\x99\x9d])*+"
+_SIGNS = rb"(?:[.!?]|\xe2\x80\xa6)*+"
+# The dot behind a single letter or a short capitalised word.
+_SHORT = b"".join(rb"(?<!" + before + word + rb"\.)" for before in (_NO_LETTER, rb"^") for word in (rb"[A-Za-z]", rb"[A-Z][a-z]", rb"[A-Z][a-z][a-z]"))
+# It begins with one class of bytes, so that the search passes over all others quickly.
+_SENTENCE_END = re.compile(
+    rb"[.!?\n\xe2\xe3](?:"
+    + rb"(?:(?<=\.)(?:(?=[.!?]|\xe2\x80\xa6)|(?<![0-9]\.)" + _SHORT + rb")|(?<=[!?])|(?<=\xe2)\x80\xa6)" + _SIGNS + _CLOSING + rb"(?P<space>[ \t-\r]++)(?![a-z])"
+    + rb"|(?<=\xe3)\x80\x82" + _CLOSING + rb"(?P<after>[ \t-\r]*+)"
+    + rb"|(?<=\n)[ \t\r]*+\n[ \t-\r]*+)"
+)
 
 _BYTES = np.arange(256)
 _SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
@@ -289,22 +307,28 @@ class Encoder:
         found = self.blocks(pa.array(texts, pa.large_string()))
         return [ids[a:b] for _, ids, bounds in found for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
-    def sentence_ends(self) -> np.ndarray:
-        """By id: does a sentence end with this token?"""
-        size = self.tokenizer.get_vocab_size()
-        ends = np.zeros(size, dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            text = self.tokenizer.decode([i], skip_special_tokens=False)
-            ends[i] = "\n" in text or text.rstrip("\"')]»”").endswith(_SENTENCE_ENDS)
-        return ends
+    def sentence_cuts(self, raw: bytes | memoryview, ids: np.ndarray) -> np.ndarray:
+        """The numbers of ids before the ends of sentences in a text, as UTF-8, where an id ends there; rising, the text's own end left out.
+
+        If ids do not stand for the bytes of the text one by one, no end is known.
+        """
+        gaps = sentence_gaps(raw)
+        if not len(gaps):
+            return np.empty(0, np.int64)
+        ends = np.cumsum(self.widths[ids])
+        if ends[-1] != len(raw):
+            return np.empty(0, np.int64)
+        at = np.searchsorted(ends, gaps[:, 0])
+        return np.unique(at[(ends[at] <= gaps[:, 1]) & (ends[at] < len(raw))] + 1)
+
+
+def sentence_gaps(raw: bytes | memoryview) -> np.ndarray:
+    """Of each sentence end in a text, as UTF-8, where the sentence ends and the next may begin (behind the white space)."""
+    # A blank line is no group.
+    return np.array([(end.start(end.lastgroup or 0), end.end()) for end in _SENTENCE_END.finditer(raw)], np.int64).reshape(-1, 2)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     return Encoder(path)
-
-
-@lru_cache(maxsize=2)
-def sentence_ends(path: str) -> np.ndarray:
-    return encoder(path).sentence_ends()

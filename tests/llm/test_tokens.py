@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -84,7 +85,23 @@ def test_cuts_cost_the_least_however_they_come(steps):
     assert made[0][-1] == pos[-1] and total == best(pos.tolist(), penalty.tolist(), 600)
 
 
-def cut_kinds(rows, want, is_end, capacity=2048):
+def ends_sentence(text, at):
+    """Does a sentence of ``text`` end at character ``at``, as a reader would say? A plain rule over the text."""
+    before, after = text[max(0, at - 80) : at], text[at : at + 80]
+    space = " \t\n\v\f\r"
+    gap = before[len(before.rstrip(space)) :] + after[: len(after) - len(after.lstrip(space))]
+    body, rest = before.rstrip(space).rstrip("\"')]}»’”"), after.lstrip(space)
+    if re.search(r"\n[ \t\r]*\n", gap):
+        return True
+    if body.endswith("。"):
+        return True
+    if not gap or not body or body[-1] not in ".!?…" or re.match("[a-z]", rest):
+        return False
+    word = re.search(r"[^\W_]*$", body[:-1])[0]
+    return body[-1] != "." or not (re.fullmatch("[A-Za-z]|[A-Z][a-z]{1,2}", word) or re.search("[0-9]$", word))
+
+
+def cut_kinds(rows, texts, want, widths, capacity=2048):
     """How many sequences end at the end of a document, of a sentence, and inside one that fits or that doesn't."""
     last = {}
     for r in rows:
@@ -92,17 +109,44 @@ def cut_kinds(rows, want, is_end, capacity=2048):
     kinds = dict.fromkeys(("document", "sentence", "inside", "inside long"), 0)
     for _, key, end in last.values():
         ids = np.array(want[key])
-        ends = np.concatenate([[0], np.flatnonzero(is_end[ids[:-1]]) + 1, [len(ids)]])
         if end == len(ids):
             kinds["document"] += 1
-        elif end in ends:
+            continue
+        text, raw = texts[key] or "", (texts[key] or "").encode()
+        at = np.cumsum(widths[ids[:-1]])
+        chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # characters begun up to each byte
+        is_end = [bool(b < len(raw) and raw[b] & 0xC0 != 0x80 and ends_sentence(text, int(chars[b - 1]))) for b in at.tolist()]
+        if is_end[end - 1]:
             kinds["sentence"] += 1
         else:
+            ends = np.concatenate([[0], np.flatnonzero(is_end) + 1, [len(ids)]])
             k = np.searchsorted(ends, end)
             kinds["inside long" if ends[k] - ends[k - 1] > capacity else "inside"] += 1
     return kinds
 
 
+@pytest.mark.parametrize(
+    "text, ends",
+    [
+        ("See www.example.com now. Then 3.14159, e.g. this. Write to a.b@c.org! Now", ["now.", "this.", "org!"]),
+        ("Dr. Smith and J. Doe met. They spoke.", ["met."]),
+        ("It is 3. 4 was last. Next", ["last."]),
+        ("He said \"go.\" She went (far!) Then... Off… On?! Yes", ['go."', "far!)", "Then...", "Off…", "On?!"]),
+        ("a wrapped\nline goes on.\nNew one\n\nand a paragraph", ["on.", "one"]),
+        ("no end, approx. half? yes it is", []),
+        ("一。二 había. Él", ["一。", "había."]),
+        ("", []),
+    ],
+)
+def test_sentence_ends(encoder, text, ends):
+    raw = text.encode()
+    found = [raw[:a].decode() for a, _ in tokens.sentence_gaps(raw)]
+    assert len(found) == len(ends) and all(f.endswith(e) for f, e in zip(found, ends))
+    ids = encoder.encode([text])[0]
+    at = np.cumsum(encoder.widths[ids])
+    assert all(ends_sentence(text, len(raw[: at[c - 1]].decode())) for c in encoder.sentence_cuts(raw, ids).tolist())
+
+
 def check_pieces(rows, want, capacity=2048):
     """Every id in one piece; sequences gapless from 0 and within capacity; little padding."""
     by_doc, by_sequence = {}, {}
@@ -135,7 +179,7 @@ def test_packing_query(spark, encoder):
     want = {d.doc_id: whole(encoder, d.text) + [1] for d in docs}
     rows = packing.op2_packing(spark, SF).collect()
     assert check_pieces(rows, want) < 0.02
-    kinds = cut_kinds(rows, want, encoder.sentence_ends())
+    kinds = cut_kinds(rows, {d.doc_id: d.text for d in docs}, want, encoder.widths)
     assert kinds["sentence"] > 0 and kinds["inside"] == 0, kinds
 
 
@@ -146,7 +190,7 @@ def test_packing_does_not_depend_on_batches_and_takes_odd_rows(spark, encoder, m
     got = packing.pack(docs, digest=True).collect()
     want = {k: whole(encoder, t) + [1] for k, t, _ in rows}
     check_pieces(got, want)
-    kinds = cut_kinds(got, want, encoder.sentence_ends())
+    kinds = cut_kinds(got, {k: t for k, t, _ in rows}, want, encoder.widths)
     assert kinds["inside"] == 0 and kinds["inside long"] >= 4, kinds
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     try:
@@ -159,6 +203,10 @@ def test_packing_does_not_depend_on_batches_and_takes_odd_rows(spark, encoder, m
     twice = packing.pack(docs.union(docs).where("doc_id = 1")).collect()
     assert sum(r.length for r in twice) == 2 * (len(whole(encoder, "One. Two.")) + 1)
     assert packing.pack(spark.createDataFrame([(None, "a")], "doc_id long, text string")).first().doc_id is None
+    named = packing.pack(spark.createDataFrame([("x-1", "a b. C d."), (None, "z")], "name string, text string"), key="name")
+    assert sorted((r["name"] or "", r.doc_tokens) for r in named.collect()) == [("", 2), ("x-1", 7)]
+    with pytest.raises(ValueError, match="named like"):
+        packing.pack(docs.withColumnRenamed("doc_id", "length"), key="length")
 
 
 def test_token_files_query(spark, encoder):
