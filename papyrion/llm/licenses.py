@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import words_of
+from papyrion.llm.common import number, words_of
 
 # Paragraphs of public licences and usual notices, by family.
 TEMPLATES = {
@@ -434,8 +434,8 @@ def _scan(shared):
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", fitted: Model | None = None) -> DataFrame:
     """One row per notice in which the classifier sees a licence family, confirmed by a template or not."""
+    chosen = docs.select(number(docs, key), F.col(f"`{text}`").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(fitted or model())
-    chosen = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"))
     return chosen.mapInArrow(_scan(shared), FOUND).withColumnRenamed("doc_id", key)
 
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import words_of
+from papyrion.llm.common import number, words_of
 from papyrion.llm.graph import connected_components
 from papyrion.session import stage
 
@@ -138,8 +138,17 @@ def _sign(width: int, bands: int, rows: int):
 
 
 def _sets(width: int):
+    """The sets of nodes; rows that are equal in key and text are the same node, which a task gives once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            new = []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             found = pa.array([shingles(v.as_py(), width).tobytes() for v in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], ["node", "component", "blocks", "shingles"])
 
@@ -285,7 +294,7 @@ def classes(
     """
     bands, rows = banding(threshold, recall)
     r, s = _row_hashes(key, text)
-    texts = docs.select(r.alias("r"), s.alias("s"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    texts = docs.select(r.alias("r"), s.alias("s"), number(docs, key).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = stage(texts.mapInArrow(_sign(width, bands, rows), _SIGNATURES), "signatures")
     # One document speaks for each node.
     spoken = F.min(F.struct("r", "s", "n", "bands")).alias("of")
@@ -304,8 +313,11 @@ def classes(
         F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     chosen = stage(chosen.join(sizes, "component").select("r", "s", "node", "component", "blocks"), "chosen-texts")
-    fetched = texts.select("r", "s", "text").join(chosen.hint("merge"), ["r", "s"]).select("node", "component", "blocks", "text")
+    # A written table: a short list is sent to the texts, for a long one both sides are dealt by hash, and hot rows split.
+    fetched = texts.select("r", "s", "text").join(chosen, ["r", "s"]).select("node", "component", "blocks", "text")
     grouped = stage(fetched.mapInArrow(_sets(width), "node long, component long, blocks int, shingles binary"), "shingle-sets")
+    if grouped.count() > chosen.count():  # the same row came to several tasks
+        grouped = grouped.dropDuplicates(["node"])
     links = stage(_confirmed(grouped, threshold), "confirmed-links")
     known = nodes.join(links, "node", "left").select(
         "node", "n_copies", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("class_node")

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.llm import tokens
+from papyrion.llm.common import number
 from papyrion.session import staging_path
 
 ROWS = "doc_id long, n_tokens long, shard int, shard_start long, ids array<int>"
@@ -79,7 +80,7 @@ def write_token_files(
 ) -> None:
     """Tokenise ``docs`` into Parquet files under ``path``; ``shards`` defaults to the session's shuffle partitions."""
     spark = docs.sparkSession
-    chosen = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    chosen = docs.select(number(docs, key).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = chosen.repartitionByRange(n, *order).sortWithinPartitions(*order)

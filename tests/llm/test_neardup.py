@@ -1,6 +1,9 @@
 import random
 
-from papyrion.llm import graph, neardup
+import pytest
+from pyspark.sql import functions as F
+
+from papyrion.llm import graph, licenses, neardup, tokenfiles, warc
 
 
 def brute(texts, threshold=0.8):
@@ -103,3 +106,27 @@ def test_few_long_texts_leave_blocks_empty(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 100)  # six blocks and more for two or three nodes
     got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.key: r.n_links for r in got} == {k: links for k, (_, links) in brute(dict(rows)).items()}
+
+
+def test_rows_equal_in_key_and_text_are_one_node(spark, monkeypatch):
+    random.seed(12)
+    text = " ".join(random.choices("abcdefghijklmnop", k=300))
+    near = text + " end"
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(16)
+    rows = rows.unionByName(spark.createDataFrame([(7, near)], "doc_id long, text string"))
+    held, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda grouped, threshold: (held.append(grouped.count()), confirmed(grouped, threshold))[1])
+    found = neardup.classes(rows)
+    assert held == [2]  # not one for each row
+    got = {tuple(r): n for *r, n in found.groupBy("key", "n_copies", "n_links").count().collect()}
+    assert got == {(None, 100_000, 1): 100_000, (7, 1, 1): 1}
+    assert found.select("class_node").distinct().count() == 1
+    kept = neardup.drop_near_copies(rows).collect()
+    assert [tuple(r) for r in kept] == [(7, near)]
+
+
+def test_ids_that_are_no_numbers_are_refused_before_a_job(spark):
+    rows = spark.createDataFrame([("x", "a b c")], "doc_id string, text string")
+    for use in (neardup.classes, licenses.scan_licenses, lambda r: tokenfiles.write_token_files(r, "nowhere"), lambda r: warc.captures(r, page="doc_id", url="text", html="text")):
+        with pytest.raises(TypeError, match="whole numbers"):
+            use(rows)
