@@ -36,3 +36,28 @@ def test_three_speakers_nulls_ties_and_windows(spark, tmp_path):
         assert (r.rendered, r.n_turns, r.char_start) == (want[k]["rendered"], want[k]["n_turns"], want[k]["char_start"])
         assert ",".join(f"{s.start}:{s.end}" for s in r.mask) == want[k]["mask"]
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_long_turns_are_dealt_into_parts(spark):
+    rows = [(1, i, f"s{i % 2}", "é" * 70 if i % 3 else "") for i in range(600)] + [(2, 0, "a", "x" * 5000), (2, 1, "b", "y"), (None, 0, "a", "z" * 300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = chat.rotate(turns, chars=1000).collect()
+    whole = {(r.conv_id, r.participant, r.window): r for r in chat.rotate(turns).collect()}
+    assert {r.part for r in whole.values()} == {0}
+    joined: dict[tuple, str] = {}
+    for r in sorted(got, key=lambda r: (r.conv_id or 0, r.participant, r.window, r.part)):
+        before = joined.setdefault((r.conv_id, r.participant), "")
+        assert r.char_start == len(before)
+        assert all(r.rendered[s.start : s.end].endswith("<|end|>") for s in r.mask)
+        assert sum(len(t) for t in r.rendered.split("\n")[1::2]) <= 1000 + 5000 + 7 * r.n_turns and r.n_turns <= 256
+        joined[r.conv_id, r.participant] += r.rendered
+    for key in joined:
+        assert joined[key] == "".join(r.rendered for k, r in sorted(whole.items(), key=lambda x: x[0][2]) if k[:2] == key)
+    assert len(got) > len(whole)
+
+
+def test_256_long_turns_within_the_limit_of_a_value(spark):
+    """256 turns of 1 MB would be one value of 256 MB."""
+    turns = spark.range(256).selectExpr("1L conv_id", "id turn", "concat('s', id % 2) role", "repeat('0123456789', 100000) text")
+    made = chat.rotate(turns).selectExpr("participant", "part", "length(rendered) n", "n_turns").collect()
+    assert max(r.n for r in made) < 6_000_000 and sum(r.n_turns for r in made) == 512
