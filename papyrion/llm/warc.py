@@ -4,8 +4,10 @@ Writing: each task sorts its captures by (URL key, time, page) and writes them a
 WARC records, each a gzip member of its own, so that a record can be read with its
 offset and length alone. Spark's text writer puts the members into files, with an empty
 member as line separator (which every reader of gzip passes over), so archives have
-Spark's commit protocol, and work on any store that Spark can write. An archive comes
-from one input split and has at most `ARCHIVE_RECORDS` records. Of records with equal
+Spark's commit protocol, and work on any store that Spark can write. A task closes an archive
+once its members have `ARCHIVE_BYTES` bytes, or at `ARCHIVE_RECORDS` records, and the archives of a
+number lie in a folder of theirs. So an archive that is read as one value stays far below the limit of a value,
+unless a single record exceeds it. Of records with equal
 payloads of at least `REVISIT_BYTES` bytes, that with the largest page id is the response
 and the others are revisits that refer to it.
 
@@ -15,7 +17,8 @@ digests are computed anew and must agree.
 Index: each archive is a run of captures in order. Captures are dealt out by
 ranges of (URL key, time, page), and each task merges the pieces of the k runs
 that fall into its range with a loser tree. It holds one range, of about `RANGE_ROWS`
-captures, as the number of ranges grows with that of captures. Ranges follow each other, so the positions of all captures in the global order are those
+captures, as the number of ranges grows with that of captures; captures equal in all three are dealt
+out by their place in the archives, so they spread as well. Ranges follow each other, so the positions of all captures in the global order are those
 in their range plus the sizes of the ranges before: capture histories, one after
 the other. A URL with very many captures spreads over ranges by time and page.
 
@@ -23,7 +26,7 @@ URL key: the labels of the host, last first, joined by commas, then ``)`` and wh
 follows the host without fragment. Times are written in UTC, whatever the session's time
 zone. Without a column of capture times, time is 2024-01-01 plus page_id seconds (modulo ten years).
 
-Defined results: null html is an empty payload; null url has an empty key and no
+Defined results: page ids must be whole numbers; null html is an empty payload; null url has an empty key and no
 target; characters in a url that would end its header line are percent-encoded;
 a null page id is the smallest, and is never referred to unless all copies have
 none (then all of them are responses); rows equal in id and payload are all
@@ -45,12 +48,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrion.llm.common import number
 from papyrion.llm.urls import host_and_path
 from papyrion.session import stage, staging_path
 
 REVISIT_BYTES = 1000
 #: Records in one archive, at most.
 ARCHIVE_RECORDS = 20_000
+#: Bytes of an archive, about: the next record begins another one.
+ARCHIVE_BYTES = 1 << 26
 #: Captures of one range of the merge, about.
 RANGE_ROWS = 200_000
 _BASE_SECOND = 1_704_067_200  # 2024-01-01
@@ -76,9 +82,9 @@ def url_key(url: Column) -> Column:
 
 def captures(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", time: str | None = None) -> DataFrame:
     """One row per page: what its record will say."""
-    default = F.timestamp_seconds(F.lit(_BASE_SECOND) + F.pmod(F.coalesce(F.col(f"`{page}`").cast("long"), F.lit(0)), F.lit(_TEN_YEARS)))
+    default = F.timestamp_seconds(F.lit(_BASE_SECOND) + F.pmod(F.coalesce(number(pages, page), F.lit(0)), F.lit(_TEN_YEARS)))
     df = pages.select(
-        F.col(f"`{page}`").cast("long").alias("page_id"),
+        number(pages, page).alias("page_id"),
         safe_url(F.col(f"`{url}`").cast("string")).alias("url"),
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
         F.unix_seconds(default if time is None else F.coalesce(F.col(f"`{time}`").cast("timestamp"), default)).alias("second"),
@@ -123,16 +129,32 @@ def _record() -> Column:
     )
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(r.as_buffer(), 6, 31) for r in batch.column(0)], pa.binary())], ["value"])
+def _members(limit: int):
+    """Members, each with the number of its archive and its own in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, size, n = 0, 0, 0
+        for batch in batches:
+            made, archives = [], []
+            for record in batch.column(0):
+                made.append(zlib.compress(record.as_buffer(), 6, 31))
+                if size and size + len(made[-1]) > limit:
+                    archive, size = archive + 1, 0
+                archives.append(archive)
+                size += len(made[-1]) + len(_EMPTY)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(archives, pa.int32()), pa.array(range(n, n + len(made)), pa.int64())], ["value", "archive", "n"])
+            n += len(made)
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, **columns) -> None:
     """Archives under ``path``, each a run sorted by (URL key, time, page)."""
     made = captures(pages, **columns).sortWithinPartitions("url_key", "time", "page_id").select(_record().alias("value"))
+    # In this order already, but the writer has to know it.
+    members = made.mapInArrow(_members(ARCHIVE_BYTES), "value binary, archive int, n long").sortWithinPartitions("archive", "n")
     # The text writer takes the bytes as they are.
-    made.mapInArrow(_members, "value binary").select(F.col("value").cast("string")).write.options(
+    members.select(F.col("value").cast("string"), "archive").write.partitionBy("archive").options(
         encoding="ISO-8859-1", lineSep=_EMPTY.decode("latin-1"), maxRecordsPerFile=str(ARCHIVE_RECORDS)
     ).text(path)
 
@@ -259,7 +281,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held is None or not held.num_rows:
         return
     none = -(2**63)
-    keys = list(zip(held.column("url_key").to_pylist(), held.column("time").to_pylist(), [none if p is None else p for p in held.column("page_id").to_pylist()]))
+    pages = [none if p is None else p for p in held.column("page_id").to_pylist()]
+    keys = list(zip(*[held.column(c).to_pylist() for c in ("url_key", "time")], pages, *[held.column(c).to_pylist() for c in ("run", "offset")]))
     runs: dict[str, list[int]] = {}
     for i, run in enumerate(held.column("run").to_pylist()):
         runs.setdefault(run, []).append(i)
@@ -279,7 +302,7 @@ def merge_index(captured: DataFrame, ranges: int | None = None) -> DataFrame:
     """The captures with ``position``, their place in the order of (URL key, time, page). ``captured`` is read three times."""
     spark = captured.sparkSession
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(captured.count() / RANGE_ROWS))
-    order = [F.col("url_key"), F.col("time"), F.col("page_id").asc_nulls_first()]
+    order = [F.col("url_key"), F.col("time"), F.col("page_id").asc_nulls_first(), F.col("run"), F.col("offset")]
     merged = captured.repartitionByRange(n, *order).mapInArrow(_merge, INDEX + ", url_key string, range int, at long")
     merged = stage(merged, "capture-index")
     # One row per range, so the window over all of them is small.

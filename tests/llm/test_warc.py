@@ -78,3 +78,40 @@ def test_damaged_archives_are_noticed():
             list(warc.read_members(memoryview(bad)))
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\n")))
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    random.seed(7)
+    rows = [(i, f"http://h.org/{i % 5}", "".join(random.choices("abcdefghij", k=random.choice([10, 400, 9000])))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages, path)
+    captured = warc.read_captures(spark, path).collect()
+    assert sorted(r.page_id for r in captured) == list(range(60))
+    by_run = {}
+    for r in captured:
+        by_run.setdefault(r.run, []).append(r)
+    assert len(by_run) > 10
+    for found in by_run.values():
+        found.sort(key=lambda r: r.offset)
+        assert len(found) == 1 or sum(r.length for r in found) <= 3000
+        keys = [(r.url_key, r.time, r.page_id) for r in found]
+        assert keys == sorted(keys)  # each archive is a run in order
+    merged = sorted(warc.merge_index(warc.read_captures(spark, path), ranges=3).collect(), key=lambda r: r.position)
+    assert [r.position for r in merged] == list(range(60))
+    assert [(r.url_key, r.time, r.page_id) for r in merged] == sorted((r.url_key, r.time, r.page_id) for r in merged)
+
+
+def test_captures_equal_in_every_key_spread_over_ranges(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr(
+        "concat('run', id % 7) run", "cast(null as long) page_id", "'' url", "'2024-01-01T00:00:00Z' time", "'response' record_type", "cast(null as long) refers_to",
+        "0L payload_bytes", "'' payload_digest", "id offset", "1L length", "'' url_key",
+    )
+    sizes, merge = [], warc.stage
+    monkeypatch.setattr(warc, "stage", lambda df, name: (out := merge(df, name), sizes.extend(r["count"] for r in out.groupBy("range").count().collect()))[0])
+    merged = warc.merge_index(rows.repartition(5), ranges=10)
+    assert len(sizes) == 10 and max(sizes) < 6000
+    got = merged.orderBy("position").select("position", "run", "offset").collect()
+    assert [r.position for r in got] == list(range(20_000))
+    assert [(r.run, r.offset) for r in got] == sorted((r.run, r.offset) for r in got)
