@@ -47,6 +47,20 @@ BLOCK_BYTES = 1 << 22
 DECODE_IDS = 1 << 18
 
 _SPACE = re.compile(rb"[ \t-\r]")
+# The rules of the file that the query uses, under which a stretch of plain letters, signs
+# behind them, is two words (an apostrophe may go with the letters behind it, so it is no such sign).
+_PLAIN_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Letters of Latin-1, which NFC leaves as they are, and signs of ASCII.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -65,14 +79,13 @@ class Rules:
             raise ValueError(f"not a plain BPE model: {model['type']}, {odd}")
         self.ids, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.pairs: list[tuple[int, int, int]] = []  # by rank: left, right, what they become
-        made: dict[int, int] = {}
-        for rank, pair in enumerate(model["merges"]):
+        for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            left, right, whole = self.ids[a], self.ids[b], self.ids[a + b]
-            made.setdefault(whole, rank)
-            if made.get(left, -1) >= rank or made.get(right, -1) >= rank or made[whole] < rank:
-                raise ValueError(f"the pair of rank {rank} takes part in merges before it is made")
-            self.pairs.append((left, right, whole))
+            self.pairs.append((self.ids[a], self.ids[b], self.ids[a + b]))
+        made = {whole: rank for rank, (_, _, whole) in enumerate(self.pairs)}  # the last rank that makes it
+        for rank, (left, right, _) in enumerate(self.pairs):
+            if max(made.get(left, -1), made.get(right, -1)) >= rank:
+                raise ValueError(f"what takes part in the pair of rank {rank} may be made after it")
         self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(self.pairs)}
 
     def symbols(self, word: str) -> list[int]:
@@ -172,6 +185,9 @@ class Codec:
         added = described["added_tokens"]
         if described.get("decoder") or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or _SPACE.search(t["content"].encode()) for t in added):
             raise ValueError("decoders, and added tokens that touch white space or are normalized, are not known here")
+        self.plain = (described["normalizer"], described["pre_tokenizer"]) == _PLAIN_RULES
+        # The characters that stand for the bytes of a letter, as the pre-tokenizer has them.
+        self.letters = {ord(c): self.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"} if self.plain else {}
         self.added = {t["content"]: t["id"] for t in added}
         longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(longest_first)})") if longest_first else re.compile("(?!)")
@@ -195,8 +211,15 @@ class Codec:
         """Ids of the stretches that wait, by way of their words."""
         number, numbers, counts = self.words.__getitem__, [], []
         for stretch in self.known.new:
-            start = len(numbers)
-            for k, text in enumerate(self.cut.split(stretch.decode())):
+            start, whole = len(numbers), stretch.decode()
+            if self.plain and (found := _PLAIN.fullmatch(whole)):
+                letters, signs = found.groups()
+                numbers.append(number(letters.lower().translate(self.letters)))
+                if signs:
+                    numbers.append(number(signs))
+                counts.append(len(numbers) - start)
+                continue
+            for k, text in enumerate(self.cut.split(whole)):
                 if k % 2:
                     numbers.append(number(self.added[text]))
                 elif text:
