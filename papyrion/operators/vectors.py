@@ -106,13 +106,16 @@ def _packed(rows: DataFrame, key: str, vector: str, block: int, prefix: str) ->
     return chosen.mapInArrow(run, f"{prefix}_ids binary, {prefix}_data binary")
 
 
-def _nearest(k: int, metric: str):
+def nearest_in_blocks(k: int, metric: str):
+    """The ``k`` nearest of each pair of blocks (v_ids, v_data, q_ids, q_data), and what else comes in front of these, as it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for vi, vd, qi, qd in zip(*[batch.column(c) for c in ("v_ids", "v_data", "q_ids", "q_data")]):
-                ids, asked = np.frombuffer(vi.as_py(), np.int64), np.frombuffer(qi.as_py(), np.int64)
-                v = np.frombuffer(vd.as_py(), np.float64).reshape(len(ids), -1)
-                q = np.frombuffer(qd.as_py(), np.float64).reshape(len(asked), -1)
+            carried = batch.schema.names[:-4]
+            for row, (vi, vd, qi, qd) in enumerate(zip(*[batch.column(c) for c in ("v_ids", "v_data", "q_ids", "q_data")])):
+                ids, asked = np.frombuffer(vi.as_buffer(), np.int64), np.frombuffer(qi.as_buffer(), np.int64)
+                v = np.frombuffer(vd.as_buffer(), np.float64).reshape(len(ids), -1)
+                q = np.frombuffer(qd.as_buffer(), np.float64).reshape(len(asked), -1)
                 dots, vv, qq = q @ v.T, (v * v).sum(axis=1), (q * q).sum(axis=1)
                 if metric == "l2":
                     d = qq[:, None] + vv[None, :] - 2 * dots
@@ -125,16 +128,69 @@ def _nearest(k: int, metric: str):
                     near = np.flatnonzero(d[i] <= least)
                     near = near[np.lexsort((ids[near], d[i][near]))][:k]
                     rows.append((np.full(len(near), asked[i]), ids[near], d[i][near]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["query_id", "vec_id", "distance"])
+                found = [pa.array(np.concatenate(c)) for c in zip(*rows)]
+                same = [batch.column(c).take(pa.array(np.full(len(found[0]), row))) for c in carried]
+                yield pa.RecordBatch.from_arrays([*same, *found], [*carried, "query_id", "vec_id", "distance"])
 
     return run
 
 
+def _packed_by(rows: DataFrame, batch: str, key: str, vector: str, block: int, prefix: str) -> DataFrame:
+    """Blocks of rows of one batch: dealt by ranges of (batch, hash of the id), so a batch with a third of all rows is in many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def emit() -> pa.RecordBatch:
+            ids = np.concatenate([h.column(1).to_numpy() for h in held])
+            data = np.concatenate([np.asarray(h.column(2).flatten().to_numpy(zero_copy_only=False), np.float64) for h in held])
+            return pa.RecordBatch.from_arrays([held[0].column(0).slice(0, 1), pa.array([ids.tobytes()]), pa.array([data.tobytes()])], ["batch", f"{prefix}_ids", f"{prefix}_data"])
+
+        for found in batches:
+            names = found.column(0).to_pylist()
+            starts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)] if names else [0]
+            for a, b in zip(starts, starts[1:]):
+                for low in range(a, b, block):
+                    part = found.slice(low, min(b, low + block) - low)
+                    if held and (held[0].column(0)[0].as_py() != names[low] or size + part.num_rows > block):
+                        yield emit()
+                        held, size = [], 0
+                    held.append(part)
+                    size += part.num_rows
+        if held:
+            yield emit()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    chosen = there.select(F.col(batch).alias("batch"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    dealt = chosen.repartitionByRange(n, F.col("batch").asc_nulls_first(), F.xxhash64("key")).sortWithinPartitions(F.col("batch").asc_nulls_first(), "key")
+    blocks = T.StructType([chosen.schema["batch"], *[T.StructField(f"{prefix}_{c}", T.BinaryType()) for c in ("ids", "data")]])
+    return dealt.mapInArrow(run, blocks)
+
+
+def top_k_in_batches(
+    vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), batch: str = "batch_id", key: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
+    """(batch, query_id, rank from 1, vec_id, distance): the nearest of ``vectors`` that are in the query's own batch.
+
+    Blocks of vectors and of queries are joined by batch, so a query never meets another batch; a null batch is a batch.
+    An id may ask in several batches, and is answered in each.
+    """
+    v = _packed_by(vectors, batch, key, vector, config.block, "v")
+    q = _packed_by(queries, batch, key, vector, QUERY_BLOCK, "q").withColumnRenamed("batch", "__batch")
+    met = v.join(q, F.col("batch").eqNullSafe(F.col("__batch"))).select("batch", "v_ids", "v_data", "q_ids", "q_data")
+    near = met.mapInArrow(nearest_in_blocks(config.k, config.metric), T.StructType([met.schema["batch"], *T.StructType.fromDDL("query_id long, vec_id long, distance double").fields]))
+    ranked = Window.partitionBy("batch", "query_id").orderBy("distance", "vec_id")
+    best = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= config.k)
+    return best.select(F.col("batch").alias(batch), "query_id", "rank", "vec_id", "distance")
+
+
 def top_k_batch(
     vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, distance) of the nearest rows of ``vectors`` to each row of ``queries``."""
     blocks = _packed(vectors, key, vector, config.block, "v").crossJoin(_packed(queries, key, vector, QUERY_BLOCK, "q"))
-    near = blocks.mapInArrow(_nearest(config.k, config.metric), "query_id long, vec_id long, distance double")
+    near = blocks.select("v_ids", "v_data", "q_ids", "q_data").mapInArrow(nearest_in_blocks(config.k, config.metric), "query_id long, vec_id long, distance double")
     ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= config.k).select("query_id", "rank", "vec_id", "distance")

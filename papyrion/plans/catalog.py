@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrion.config import STRATEGIES, ChunkConfig
 from papyrion.functions import text as T
-from papyrion.operators import chat, sizing, split, vectors
+from papyrion.operators import chat, sizing, split, vector_index, vectors
 from papyrion.operators.order import in_order, numbered
 from papyrion.plans import oracles, pipeline
 from papyrion.session import stage, staging_path
@@ -277,8 +277,8 @@ def embed_chunks(spark, sf_dir):
 def vector_topk(spark, sf_dir):
     """The nearest to the vector with the least id."""
     found = table(spark, sf_dir, "embeddings")
-    asked = found.orderBy("vec_id").limit(1).first()["embedding"]
-    return vectors.top_k(found, asked).select("vec_id", F.round("distance", 6).alias("distance"))
+    asked = found.where("embedding IS NOT NULL").orderBy("vec_id").limit(1).first()
+    return vectors.top_k(found, asked["embedding"] if asked else []).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 def _asked(found):
@@ -292,6 +292,30 @@ def vector_topk_batch(spark, sf_dir):
     return near.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query
+def vector_topk_ann(spark, sf_dir):
+    """The same by way of an index, which reads as many cells as give a recall of 0.95 on a sample."""
+    found = table(spark, sf_dir, "embeddings")
+    near = vector_index.search(vector_index.build_index(found), _asked(found))
+    return near.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def vector_topk_indexed(spark, sf_dir):
+    """The same by way of an index, which also reads all cells that may hold a nearer vector."""
+    found = table(spark, sf_dir, "embeddings")
+    near = vector_index.search(vector_index.build_index(found), _asked(found), exact=True)
+    return near.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def vector_topk_in_batch(spark, sf_dir):
+    """The nearest among the vectors with the query's own label."""
+    found = table(spark, sf_dir, "embeddings")
+    near = vectors.top_k_in_batches(found, _asked(found), batch="label")
+    return near.select(F.col("label").cast("long").alias("label"), "query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
 def _retrieved(spark, sf_dir):
     """Neighbours among the vectors that have a document, and the documents."""
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
@@ -331,6 +355,15 @@ def answers(spark, sf_dir):
     return pipeline.answer(questions, passages, split.HashEmbedder(), _said_length)
 
 
+@query
+def answers_in_batch(spark, sf_dir):
+    """The same questions, each answered from the documents of its own document's source."""
+    docs = _docs(spark, sf_dir)
+    questions = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), T.title(F.col("text")).alias("question"), "source")
+    passages = docs.select(F.col("doc_id").alias("vec_id"), "text", "source")
+    return pipeline.answer(questions, passages, split.HashEmbedder(), _said_length, scope="source")
+
+
 def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations")
 

@@ -121,6 +121,22 @@ made AS (SELECT f.key, f.c, string_agg(x.t, ' ' ORDER BY x.g) AS text FROM fold
 SELECT key AS doc_id, (c - 1)::BIGINT AS piece,
        coalesce(sum(length(text)) OVER (PARTITION BY key ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_index, text FROM made"""
 
+
+def _answers(scope: str) -> str:
+    """Answers from the documents that fit ``scope``."""
+    return rf"""WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token, false AS asked FROM documents
+          UNION ALL SELECT doc_id, unnest(regexp_split_to_array({_TITLE.format('text')}, '\s+')), true FROM documents WHERE doc_id % 100 = 0),
+        b AS (SELECT doc_id, asked, {_BUCKET} AS bucket, count(*) AS n FROM tok WHERE token <> '' GROUP BY ALL),
+        v AS (SELECT doc_id, text, source, coalesce((SELECT sum(n * n) FROM b WHERE b.doc_id = documents.doc_id AND NOT asked), 0) AS sq FROM documents),
+        dot AS (SELECT q.doc_id AS query_id, b.doc_id, sum(q.n * b.n) AS p FROM b q JOIN b USING (bucket) WHERE q.asked AND NOT b.asked GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM (
+          SELECT q.doc_id AS query_id, v.doc_id, v.text, v.sq - 2 * coalesce(p, 0) AS d FROM (SELECT doc_id, source FROM documents WHERE doc_id % 100 = 0) q JOIN v ON {scope}
+          LEFT JOIN dot ON dot.query_id = q.doc_id AND dot.doc_id = v.doc_id)),
+        context AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY query_id),
+        c AS (SELECT query_id, context, {_TITLE.format('text')} AS question FROM context JOIN documents ON doc_id = query_id)
+        SELECT query_id, question, context, (length('Use only the passages below. If they do not hold the answer, say that you do not know.') + 12 + length(context) + 12 + length(question) + 9) || ' characters.' AS answer FROM c"""
+
+
 ORACLES = {
     "scan_pages": "SELECT source AS batch_id, doc_id AS page_no, length(text)::BIGINT AS n_chars FROM documents",
     "batch_text": "SELECT doc_id AS batch_id, len(string_split(text, chr(10)))::BIGINT AS n_pages, text FROM documents",
@@ -185,22 +201,19 @@ ORACLES = {
         SELECT v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)), 9) AS d
         FROM embeddings v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY d, v.vec_id LIMIT 5)""",
     "vector_topk_batch": f"{_ALL} SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM ranked",
+    "vector_topk_indexed": f"{_ALL} SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM ranked",
+    "vector_topk_in_batch": """WITH near AS (
+        SELECT q.label, q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)), 9) AS d
+        FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.label IS NOT DISTINCT FROM v.label)
+        SELECT label::BIGINT AS label, query_id, rank, vec_id, round(d, 6) AS distance
+        FROM (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY d, vec_id) AS rank FROM near) WHERE rank <= 5""",
     "retrieve_context": f"{_WITH_DOC} SELECT query_id, rank, vec_id, text FROM ranked JOIN documents ON doc_id = vec_id",
     "build_context": f"{_WITH_DOC}, {_CONTEXT} SELECT query_id, context FROM context",
     "build_prompt": f"""{_WITH_DOC}, {_CONTEXT} SELECT query_id,
         'Use only the passages below. If they do not hold the answer, say that you do not know.' || chr(10) || chr(10) || 'Passages:' || chr(10) || context
         || chr(10) || chr(10) || 'Question: ' || {_TITLE.format('text')} || chr(10) || chr(10) || 'Answer:' AS prompt FROM context JOIN documents ON doc_id = query_id""",
-    "answers": rf"""WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token, false AS asked FROM documents
-          UNION ALL SELECT doc_id, unnest(regexp_split_to_array({_TITLE.format('text')}, '\s+')), true FROM documents WHERE doc_id % 100 = 0),
-        b AS (SELECT doc_id, asked, {_BUCKET} AS bucket, count(*) AS n FROM tok WHERE token <> '' GROUP BY ALL),
-        v AS (SELECT doc_id, text, coalesce((SELECT sum(n * n) FROM b WHERE b.doc_id = documents.doc_id AND NOT asked), 0) AS sq FROM documents),
-        dot AS (SELECT q.doc_id AS query_id, b.doc_id, sum(q.n * b.n) AS p FROM b q JOIN b USING (bucket) WHERE q.asked AND NOT b.asked GROUP BY ALL),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM (
-          SELECT q.doc_id AS query_id, v.doc_id, v.text, v.sq - 2 * coalesce(p, 0) AS d FROM (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) q CROSS JOIN v
-          LEFT JOIN dot ON dot.query_id = q.doc_id AND dot.doc_id = v.doc_id)),
-        context AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY query_id),
-        c AS (SELECT query_id, context, {_TITLE.format('text')} AS question FROM context JOIN documents ON doc_id = query_id)
-        SELECT query_id, question, context, (length('Use only the passages below. If they do not hold the answer, say that you do not know.') + 12 + length(context) + 12 + length(question) + 9) || ' characters.' AS answer FROM c""",
+    "answers": _answers("true"),
+    "answers_in_batch": _answers("q.source IS NOT DISTINCT FROM v.source"),
     "extract_answer": """SELECT conv_id, turn, trim(string_split(CASE WHEN role = 'assistant' THEN 'Answer: no. Answer: ' || chr(10) || text || ' ' || chr(10) ELSE text END, 'Answer:')[-1],
         ' ' || chr(10) || chr(9) || chr(13)) AS answer FROM conversations""",
     "conversation_messages": "SELECT conv_id, turn, role, text AS content, role = 'assistant' AND coalesce(starts_with(text, 'Error:'), false) AS is_error FROM conversations",

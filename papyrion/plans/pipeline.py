@@ -14,7 +14,7 @@ from papyrion.functions.text import build_prompt, extract_answer, short_hash, ti
 from papyrion.operators.order import in_order, numbered
 from papyrion.operators.sizing import add_overlap, bound_sizes
 from papyrion.operators.split import Embedder, route, split_pages
-from papyrion.operators.vectors import embed_texts, top_k_batch
+from papyrion.operators.vectors import embed_texts, top_k_batch, top_k_in_batches
 from papyrion.session import stage
 from papyrion.sources.cache import KEY, ChunkCache, batch_keys, misses
 
@@ -166,11 +166,17 @@ def generate_texts(prompts: DataFrame, generate: Generator) -> DataFrame:
     return prompts.mapInArrow(run, T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())]))
 
 
-def answer(questions: DataFrame, passages: DataFrame, embed: Embedder, generate: Generator, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """(query_id, question, context, answer) for ``questions`` (query_id, question) over ``passages`` (vec_id, text)."""
-    index = stage(embed_texts(passages.select("vec_id", "text"), embed), "passage-vectors")
-    asked = embed_texts(questions.select(F.col("query_id").alias("vec_id"), "question"), embed, text="question")
-    ranked = top_k_batch(index, asked, config)
+def answer(
+    questions: DataFrame, passages: DataFrame, embed: Embedder, generate: Generator, config: RetrievalConfig = RetrievalConfig(), scope: str | None = None
+) -> DataFrame:
+    """(query_id, question, context, answer) for ``questions`` (query_id, question) over ``passages`` (vec_id, text).
+
+    With ``scope``, a column of both, a question is answered from the passages with its own value of it (a batch, say) alone.
+    """
+    of = [scope] if scope else []
+    index = stage(embed_texts(passages.select("vec_id", "text", *of), embed), "passage-vectors")
+    asked = embed_texts(questions.select(F.col("query_id").alias("vec_id"), "question", *of), embed, text="question")
+    ranked = top_k_in_batches(index, asked, config, scope) if scope else top_k_batch(index, asked, config)
     joined = questions.join(contexts(ranked, index), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
     prompted = joined.withColumn("prompt", build_prompt(F.col("context"), F.col("question")))
     return generate_texts(prompted, generate).select("query_id", "question", "context", extract_answer(F.col("reply")).alias("answer"))
