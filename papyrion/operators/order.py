@@ -4,17 +4,28 @@ Rows are dealt out by ranges of their sort key and sorted inside each task; thei
 place is the number of rows in the tasks before plus their place in the task. A
 batch with a third of all rows spreads over a third of the tasks, and whatever
 needs its neighbours finds them by place, not by gathering the batch.
+
+Rows with a text also get the number of their block: a run of rows with about `BLOCK_BYTES`
+bytes of text, whatever the tasks were (see `sizing`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrion.session import stage
 
-#: Rows of one block of neighbours, as a power of two.
-BLOCK_BITS = 12
+#: Bytes of text in a block of rows, about; a row counts as `ROW_BYTES` besides its text.
+BLOCK_BYTES = 4 << 20
+ROW_BYTES = 64
+#: What `measured` adds: the size of a row, of the row before, and of all rows before in the task.
+MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in ("__size", "__size_before", "__before")])
 
 
 def in_order(df: DataFrame, *order: Column, ranges: int | None = None) -> DataFrame:
@@ -23,40 +34,61 @@ def in_order(df: DataFrame, *order: Column, ranges: int | None = None) -> DataFr
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
-def numbered(df: DataFrame, batch: str = "batch_id", name: str = "numbered") -> DataFrame:
-    """``df``, whose rows are in global order, with ``place``, and of its batch ``first_place`` and ``batch_rows``.
+def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with `MEASURES` of their column ``text``; a task's first row has no size before."""
+    so_far, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("text").cast(pa.large_binary())
+        sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]) + ROW_BYTES
+        ends = so_far + np.cumsum(sizes)
+        before = pa.array([last, *sizes[:-1].tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), before, pa.array(ends - sizes)], [*batch.schema.names, *MEASURES.names])
+        so_far, last = int(ends[-1]), int(sizes[-1])
+
 
-    The rows are written to the shared folder. A null batch is a batch.
+def numbered(df: DataFrame, batch: str = "batch_id", name: str = "numbered", counted: bool = True) -> DataFrame:
+    """``df``, whose rows are in global order, with ``place`` and, if ``counted``, of its batch ``first_place`` and ``batch_rows``.
+
+    If there is a column ``text``, also with ``block``, ``block_before`` and ``block_after``, the blocks of the row and
+    of those beside it. The rows are written to the shared folder. A null batch is a batch.
     """
+    sized = "text" in df.columns
+    if sized and "__size" not in df.columns:
+        df = df.mapInArrow(measured, T.StructType([*df.schema.fields, *MEASURES.fields]))
     held = stage(df.withColumn("__at", F.monotonically_increasing_id()), name)
     part = F.shiftright("__at", 33)
     # One row per task, so the window over all of them is small, and so is what is sent out.
-    sizes = held.groupBy(part.alias("__part")).agg(F.count("*").alias("size"))
+    sizes = held.groupBy(part.alias("__part")).agg(
+        F.count("*").alias("size"), *([F.sum("__size").alias("bytes"), F.max_by("__size", "__at").alias("last")] if sized else [])
+    )
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("__part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__base"))
+    bases = sizes.select(
+        "__part",
+        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__base"),
+        *([F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("__bytes"), F.lag("last").over(Window.orderBy("__part")).alias("__last")] if sized else []),
+    )
     placed = held.withColumn("__part", part).join(F.broadcast(bases), "__part")
-    place = F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumn("place", place).drop("__base", "__at")
+    placed = placed.withColumn("place", F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    if sized:
+        start = F.col("__bytes") + F.col("__before")
+        block = lambda at: F.floor(at / BLOCK_BYTES)
+        placed = placed.withColumns(
+            {
+                "block": block(start),
+                "block_before": block(start - F.coalesce("__size_before", "__last")),
+                "block_after": block(start + F.col("__size")),
+            }
+        ).drop("__bytes", "__last", *MEASURES.names)
+    placed = placed.drop("__base", "__at").withColumnRenamed("__part", "part")
+    return with_counts(placed, placed, batch) if counted else placed
+
+
+def with_counts(rows: DataFrame, placed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """``rows`` with ``first_place`` and ``batch_rows`` of their batches in ``placed``."""
     about = placed.groupBy(F.col(batch).alias("__batch")).agg(F.min("place").alias("first_place"), F.count("*").alias("batch_rows"))
-    return placed.join(about, F.col(batch).eqNullSafe(F.col("__batch")), "inner").drop("__batch").withColumnRenamed("__part", "part")
-
-
-def with_neighbours(placed: DataFrame, value: str, before: str, after: str) -> DataFrame:
-    """Add ``value`` of the rows before and after in the batch; null at its ends.
-
-    Rows are dealt out in blocks of places; the first and the last row of a block
-    are sent to the blocks beside it as well.
-    """
-    block, at = F.shiftright("place", BLOCK_BITS), F.col("place").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    homes = F.array(block, F.when(at == 0, block - 1), F.when(at == (1 << BLOCK_BITS) - 1, block + 1))
-    spread = placed.select("*", block.alias("__block"), F.explode(F.array_compact(homes)).alias("__home"))
-    beside = Window.partitionBy("__home").orderBy("place")
-    known = spread.select(
-        "*",
-        F.when(F.col("place") > F.col("first_place"), F.lag(value).over(beside)).alias(before),
-        F.when(F.col("place") < F.col("first_place") + F.col("batch_rows") - 1, F.lead(value).over(beside)).alias(after),
-    )
-    return known.where("__home = __block").drop("__home", "__block")
+    return rows.join(about, F.col(batch).eqNullSafe(F.col("__batch")), "inner").drop("__batch")
 
 
 def last_place(placed: DataFrame, flag: Column) -> Column:

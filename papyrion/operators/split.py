@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrion.config import ChunkConfig
+from papyrion.operators.order import MEASURES, measured
 
 # Separators, from strong to weak; between any two characters after that.
 SEPARATORS = ("\n\n", "\n", " ")
@@ -183,13 +184,13 @@ def semantic_chunks(text: str, embed: Embedder, config: ChunkConfig) -> list[tup
 EMBED_PAGES = 64
 
 
-def split_pages(pages: DataFrame, config: ChunkConfig, embed: Embedder | None = None) -> DataFrame:
+def split_pages(pages: DataFrame, config: ChunkConfig, embed: Embedder | None = None, measure: bool = False) -> DataFrame:
     """(batch_id, page_no, piece, start_index, failed, text) of each chunk, in the order of the pages.
 
     ``pages``: (batch_id, page_no, text) and, from `route`, ``strategy_executed``;
     without that column, the strategy of ``config`` holds for all. By meaning only
     if there is an embedder; a page that the embedder fails on gets fixed chunks, marked
-    ``failed``.
+    ``failed``. With ``measure``, also with what `order.measured` adds, for `order.numbered`.
     """
     chosen = F.col("strategy_executed") if "strategy_executed" in pages.columns else F.lit(executed(config.strategy, embed))
     rows = pages.select("batch_id", "page_no", F.col("text").cast("string").alias("text"), chosen.alias("strategy"))
@@ -226,6 +227,8 @@ def split_pages(pages: DataFrame, config: ChunkConfig, embed: Embedder | None =
         T.StructField("failed", T.BooleanType()),
         T.StructField("text", T.StringType()),
     ]
+    if measure:
+        return rows.mapInArrow(lambda batches: measured(run(batches)), T.StructType([*made, *MEASURES.fields]))
     return rows.mapInArrow(run, T.StructType(made))
 
 

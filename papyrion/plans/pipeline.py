@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from papyrion.config import ChunkConfig, RetrievalConfig
 from papyrion.functions.text import build_prompt, extract_answer, short_hash, time_label
 from papyrion.operators.order import in_order, numbered
-from papyrion.operators.sizing import add_overlap, bound_sizes
+from papyrion.operators.sizing import overlap_and_bound
 from papyrion.operators.split import Embedder, route, split_pages
 from papyrion.operators.vectors import embed_texts, top_k_batch, top_k_in_batches
 from papyrion.session import stage
@@ -28,7 +28,7 @@ def placed_chunks(pages: DataFrame, config: ChunkConfig, embed: Embedder | None
     """
     routed = route(pages, config, embed)
     order = [F.col("batch_id").asc_nulls_first(), F.col("page_no").asc_nulls_first()]
-    made = numbered(split_pages(in_order(routed, *order), config, embed), name="chunks")
+    made = numbered(split_pages(in_order(routed, *order), config, embed, measure=True), name="chunks", counted=False)
     if embed is None or config.strategy not in ("hybrid", "semantic"):
         return made.drop("failed")
     failed = stage(made.where("failed").select(F.col("batch_id").alias("__batch"), F.lit(True).alias("__failed")).distinct(), "failed-batches")
@@ -36,12 +36,12 @@ def placed_chunks(pages: DataFrame, config: ChunkConfig, embed: Embedder | None
         return made.drop("failed")
     marked = routed.join(failed, F.col("batch_id").eqNullSafe(F.col("__batch")), "left")
     again = marked.withColumn("strategy_executed", F.when(F.col("__failed"), "fixed").otherwise(F.col("strategy_executed"))).drop("__batch", "__failed")
-    return numbered(split_pages(in_order(again, *order), config, embed), name="chunks").drop("failed")
+    return numbered(split_pages(in_order(again, *order), config, embed, measure=True), name="chunks", counted=False).drop("failed")
 
 
 def chunk(pages: DataFrame, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None) -> DataFrame:
     """(batch_id, ord, sub, page_no, start_index, chunk_index, total_chunks, enhanced, text): split, overlapped, within bounds."""
-    made = bound_sizes(add_overlap(placed_chunks(pages, config, embed), config), config)
+    made = overlap_and_bound(placed_chunks(pages, config, embed), config)
     return made.select(
         "batch_id", (F.col("place") - F.col("first_place")).alias("ord"), "sub", "page_no", "start_index", "chunk_index", "total_chunks", "enhanced", "text"
     )
