@@ -313,8 +313,8 @@ def classes(
         F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     chosen = stage(chosen.join(sizes, "component").select("r", "s", "node", "component", "blocks"), "chosen-texts")
-    # A written table: a short list is sent to the texts, for a long one both sides are dealt by hash, and hot rows split.
-    fetched = texts.select("r", "s", "text").join(chosen, ["r", "s"]).select("node", "component", "blocks", "text")
+    # Dealt by hash at every size, so that the plan does not turn with the length of the list; hot rows split, as the list is a written table.
+    fetched = texts.select("r", "s", "text").join(chosen.hint("merge"), ["r", "s"]).select("node", "component", "blocks", "text")
     grouped = stage(fetched.mapInArrow(_sets(width), "node long, component long, blocks int, shingles binary"), "shingle-sets")
     if grouped.count() > chosen.count():  # the same row came to several tasks
         grouped = grouped.dropDuplicates(["node"])
