@@ -253,6 +253,21 @@ def cache_clear(spark, sf_dir):
     return reduce(DataFrame.unionByName, states)
 
 
+@query
+def cache_evicted(spark, sf_dir):
+    """What is taken out of a cache that got the documents language by language, and saw every tenth one used since.
+
+    First what has been idle for too long goes, then, from what was used longest ago, what is above a megabyte of text.
+    """
+    held = cache.ChunkCache(spark, staging_path(spark, "cache"))
+    texts = _docs(spark, sf_dir).select("doc_id", "lang", "text", T.content_fingerprint(F.col("text")).alias("content_fp"), cache.config_key(FIXED, "compat").alias("config_fp"))
+    for i, lang in enumerate(("de", "en", "es", "fr"), 1):
+        held.append(texts.where(F.col("lang") == lang).groupBy(*cache.KEY).agg(F.min_by("text", "doc_id").alias("text")), now=1000 * i)
+    held.touch(texts.where(F.col("doc_id") % 10 == 0), now=5000)
+    gone = held.evict(max_age=3500, max_bytes=1_000_000, now=6000)
+    return gone.select("content_fp", "bytes", F.unix_seconds("last_used").alias("last_used"), "reason")
+
+
 @query
 def size_labels(spark, sf_dir):
     n = F.octet_length("text")

@@ -189,6 +189,13 @@ ORACLES = {
     "cache_clear": f"""WITH held AS (SELECT count(*) AS cache_files, round(sum(n) / 1048576, 6) AS total_size_mb
           FROM (SELECT {_FP.format('text')} AS fp, arg_min(octet_length(encode(text)), doc_id) AS n FROM documents GROUP BY fp))
         SELECT step, CASE WHEN step IN (1, 2) THEN cache_files ELSE 0 END AS cache_files, CASE WHEN step IN (1, 2) THEN total_size_mb ELSE 0 END AS total_size_mb, true AS same_dir FROM held, range(0, 4) a(step)""",
+    "cache_evicted": f"""WITH k AS (SELECT doc_id, lang, text, {_FP.format('text')} AS fp FROM documents),
+        put AS (SELECT fp, CASE lang WHEN 'de' THEN 1000 WHEN 'en' THEN 2000 WHEN 'es' THEN 3000 WHEN 'fr' THEN 4000 END AS made, octet_length(encode(arg_min(text, doc_id)))::BIGINT AS n
+                FROM k WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY fp, lang),
+        entry AS (SELECT fp, min(made) AS made, arg_min(n, made) AS n FROM put GROUP BY fp),
+        used AS (SELECT entry.*, greatest(made, CASE WHEN fp IN (SELECT fp FROM k WHERE doc_id % 10 = 0) THEN 5000 ELSE 0 END) AS last_used FROM entry),
+        summed AS (SELECT *, last_used < 2500 AS old, sum(CASE WHEN last_used < 2500 THEN 0 ELSE n END) OVER (ORDER BY last_used DESC, fp) AS total FROM used)
+        SELECT fp AS content_fp, n AS bytes, last_used::BIGINT AS last_used, CASE WHEN old THEN 'age' ELSE 'size' END AS reason FROM summed WHERE old OR total > 1000000""",
     "size_labels": """SELECT doc_id, ((37 * n * 10 + 524288) // 1048576 // 10) || '.' || ((37 * n * 10 + 524288) // 1048576 % 10) || ' MB' AS size,
         ((n + 50) // 100 // 10) || '.' || ((n + 50) // 100 % 10) || 's' AS time FROM (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents)""",
     "hash_embed": rf"""SELECT doc_id, {_BUCKET}::BIGINT AS bucket, count(*) AS n

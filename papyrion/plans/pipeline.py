@@ -16,7 +16,7 @@ from papyrion.operators.sizing import overlap_and_bound
 from papyrion.operators.split import Embedder, route, split_pages
 from papyrion.operators.vectors import embed_texts, top_k_batch, top_k_in_batches
 from papyrion.session import stage
-from papyrion.sources.cache import KEY, ChunkCache, batch_keys, misses
+from papyrion.sources.cache import KEY, ChunkCache, batch_keys
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -67,18 +67,27 @@ def chunk_or_plain(
 
 
 def cached_chunks(pages: DataFrame, cache: ChunkCache, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None, mode: str = "strict") -> DataFrame:
-    """`chunk`, but batches whose content and settings are in ``cache`` are read from it, and others put into it."""
+    """`chunk`, but batches whose content and settings are in ``cache`` are read from it, and others put into it.
+
+    An entry that turns out to be damaged as it is read is made again.
+    """
     keys = stage(batch_keys(pages, config, mode, embed), "batch-keys")
-    there = cache.read()
-    new = keys if there is None else stage(misses(keys, there), "cache-misses")
-    # Of batches with equal keys, one is chunked and stands for all.
-    first = new.groupBy(*KEY).agg(F.min("batch_id").alias("batch_id"))
-    chosen = first.select(F.col("batch_id").alias("__batch"), *KEY)
-    wanted = pages.join(chosen.select("__batch"), F.col("batch_id").eqNullSafe(F.col("__batch")), "left_semi")
-    made = chunk(wanted, config, embed).join(chosen, F.col("batch_id").eqNullSafe(F.col("__batch"))).drop("batch_id", "__batch")
-    cache.append(made)
-    found = keys.join(cache.read(), KEY)
-    return found.select("batch_id", "ord", "sub", "page_no", "start_index", "chunk_index", "total_chunks", "enhanced", "text")
+    columns = ["batch_id", "ord", "sub", "page_no", "start_index", "chunk_index", "total_chunks", "enhanced", "text"]
+    for _ in range(2):
+        new = stage(cache.misses(keys), "cache-misses")
+        if not new.isEmpty():
+            # Of batches with equal keys, one is chunked and stands for all.
+            chosen = new.groupBy(*KEY).agg(F.min("batch_id").alias("__batch"))
+            wanted = pages.join(chosen.select("__batch"), F.col("batch_id").eqNullSafe(F.col("__batch")), "left_semi")
+            cache.append(chunk(wanted, config, embed).join(chosen, F.col("batch_id").eqNullSafe(F.col("__batch"))).drop("batch_id", "__batch"))
+        found = cache.read(keys)
+        if found is None:
+            return chunk(pages.limit(0), config, embed).select(*columns)
+        # A batch that gives no chunks has no entry; one that had one, and has no more, was damaged.
+        if cache.misses(keys).join(new, KEY, "left_anti").isEmpty():
+            break
+    cache.touch(keys)
+    return keys.join(found, KEY).select(*columns)
 
 
 #: What a batch that comes from the cache is said to have taken, in milliseconds.

@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,18 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-_scratch: list[str] = []
+#: The folders that the running block of work stages in; a thread of its own (such as that of a micro-batch) begins outside of any.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    return "/".join([shared_dir(spark), "papyrion", *_scratch, f"{name}-{uuid.uuid4().hex}"])
+    return "/".join([shared_dir(spark), "papyrion", *_scratch.get(), f"{name}-{uuid.uuid4().hex}"])
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """What is staged inside is deleted in the end, but for what is staged with the function that this gives."""
-    outer = list(_scratch)
-    _scratch.append(f"scratch-{uuid.uuid4().hex}")
+    outer = _scratch.get()
+    inner = (*outer, f"scratch-{uuid.uuid4().hex}")
+    token = _scratch.set(inner)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         return stage(df, name, path="/".join([shared_dir(spark), "papyrion", *outer, f"{name}-{uuid.uuid4().hex}"]))
@@ -73,9 +76,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     try:
         yield keep
     finally:
-        own = "/".join([shared_dir(spark), "papyrion", *_scratch])
-        _scratch[:] = outer
-        _delete(spark, own)
+        _scratch.reset(token)
+        _delete(spark, "/".join([shared_dir(spark), "papyrion", *inner]))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
