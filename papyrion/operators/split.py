@@ -1,7 +1,8 @@
 """Pages to chunks: by separators and size, or by meaning.
 
 Both work on one page at a time, so there is no shuffle: Arrow batches of pages
-become Arrow batches of chunks, and the rows stay in order.
+become Arrow batches of chunks, and the rows stay in order. (`long_pages` splits a very long page by
+meaning in many tasks.)
 
 Fixed chunks: a page is cut at the first separator of `SEPARATORS` that it has,
 which stays at the head of what follows it. Pieces of at least ``size`` are cut
@@ -137,6 +138,11 @@ def cosine_distances(vectors: np.ndarray) -> np.ndarray:
     return np.where(norms > 0, 1 - dots / np.where(norms > 0, norms, 1), 1.0).round(9)
 
 
+def sentences_of(text: str) -> list[str]:
+    """A text cut at the white space behind the signs that end a sentence; an empty text is one empty sentence."""
+    return _SENTENCE.split(text)
+
+
 def _windows(sentences: list[str], buffer: int) -> list[str]:
     """Each sentence with its neighbours; none if there is nothing to compare."""
     return [" ".join(sentences[max(0, i - buffer) : i + buffer + 1]) for i in range(len(sentences))] if len(sentences) > 1 else []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrion.config import STRATEGIES, ChunkConfig
 from papyrion.functions import text as T
-from papyrion.operators import chat, sizing, split, vector_index, vectors
+from papyrion.operators import chat, long_pages, sizing, split, vector_index, vectors
 from papyrion.operators.order import in_order, numbered
 from papyrion.plans import oracles, pipeline
 from papyrion.session import stage, staging_path
@@ -59,9 +59,10 @@ def scan_uploads(spark, sf_dir):
     path = staging_path(spark, "uploads")
     texts = _docs(spark, sf_dir).where("text <> ''").select("source", "text")
     texts.write.partitionBy("source").option("lineSep", "\f").text(path)
-    found = pages.scan_files(spark, path, pages.text_parser, "*.txt").where("text <> '' AND error IS NULL")
+    # A file ends with a form feed, behind which there is an empty page; a file that cannot be parsed shows by its error.
+    found = pages.scan_files(spark, path, pages.text_parser, "*.txt").where("text <> '' OR error IS NOT NULL")
     source = F.regexp_extract("batch_id", "source=([^/]*)/", 1)
-    return found.select(source.alias("source"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return found.select(source.alias("source"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "error")
 
 
 @query
@@ -76,11 +77,10 @@ def content_fingerprint(spark, sf_dir):
 
 @query
 def config_fingerprint(spark, sf_dir):
-    """Every setting that the sliders reach, and those between them."""
-    strategy = F.explode(F.array(*map(F.lit, STRATEGIES))).alias("strategy")
-    sizes = spark.range(500, 2001, 10).select(F.col("id").alias("size"), strategy)
-    grid = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(300).cast("long"), F.lit(5).cast("long"))).alias("overlap"))
-    return grid.select("strategy", "size", "overlap", T.config_fingerprint(F.col("strategy"), F.col("size"), F.col("overlap"), F.lit(85)).alias("config_fp"))
+    """Settings that the numbers of each line item stand for, over the whole reach of the sliders."""
+    strategy = F.element_at(F.array(*map(F.lit, STRATEGIES)), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    size, overlap, threshold = 500 + F.col("l_partkey") % 1501, F.col("l_suppkey") % 301, 50 + F.col("l_orderkey") % 50
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.config_fingerprint(strategy, size, overlap, threshold).alias("config_fp"))
 
 
 @query
@@ -100,6 +100,13 @@ def semantic_chunks(spark, sf_dir):
     return made.select(F.col("batch_id").alias("doc_id"), F.col("piece").cast("long").alias("piece"), F.col("start_index").cast("long").alias("start_index"), "text")
 
 
+@query
+def semantic_chunks_by_sentence(spark, sf_dir):
+    """The same chunks, made from sentences as rows, as a page too long for one task would be."""
+    made = long_pages.semantic_chunks_of(_doc_pages(spark, sf_dir), SEMANTIC, split.HashEmbedder())
+    return made.select(F.col("batch_id").alias("doc_id"), F.col("piece").cast("long").alias("piece"), F.col("start_index").cast("long").alias("start_index"), "text")
+
+
 class FailingEmbedder(split.HashEmbedder):
     """Fails on texts with a letter that it does not know."""
 
@@ -188,6 +195,17 @@ def chunk_stats(spark, sf_dir):
     )
 
 
+@query
+def empty_batches(spark, sf_dir):
+    """Batches that a cache of all chunks misses, since they have none: every tenth document without its text, and those that have none."""
+    docs = _docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 10 > 0, F.col("text")))
+    rows = pages.document_pages(docs)
+    held = cache.ChunkCache(spark, staging_path(spark, "cache"))
+    pipeline.cached_chunks(rows, held, FIXED, mode="compat")
+    keys = cache.batch_keys(rows, FIXED, "compat")
+    return held.misses(keys).select(F.col("batch_id").alias("doc_id"), "content_fp")
+
+
 @query
 def run_report(spark, sf_dir):
     return pipeline.report(_doc_pages(spark, sf_dir), _doc_chunks(spark, sf_dir), FIXED, mode="compat", took_ms=1250)

@@ -141,16 +141,19 @@ ORACLES = {
     "scan_pages": "SELECT source AS batch_id, doc_id AS page_no, length(text)::BIGINT AS n_chars FROM documents",
     "batch_text": "SELECT doc_id AS batch_id, len(string_split(text, chr(10)))::BIGINT AS n_pages, text FROM documents",
     "content_fingerprint": f"SELECT doc_id, {_FP.format('text')} AS content_fp FROM documents",
-    "config_fingerprint": f"""SELECT strategy, size, overlap, {_CFG.format('strategy', 'size', 'overlap')} AS config_fp
-        FROM (VALUES ('hybrid'), ('semantic'), ('fixed')) a(strategy), range(500, 2001, 10) b(size), range(0, 301, 5) c(overlap)""",
+    "config_fingerprint": f"""SELECT l_orderkey, l_linenumber, md5(['hybrid', 'semantic', 'fixed'][l_linenumber % 3 + 1] || '_' || (round_even((500 + l_partkey % 1501) / 100.0, 0) * 100)::BIGINT
+        || '_' || (round_even((l_suppkey % 301) / 25.0, 0) * 25)::BIGINT || '_' || (50 + l_orderkey % 50)) AS config_fp FROM lineitem""",
+    "empty_batches": f"""SELECT doc_id, content_fp FROM (SELECT doc_id, text, {_FP.format("CASE WHEN doc_id % 10 > 0 THEN text END")} AS content_fp FROM documents)
+        WHERE content_fp = md5('')""",
     "chunk_sizes": "SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents",
     "fixed_chunks": f"WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, start_index, text FROM chunk",
     "semantic_chunks": _SEMANTIC,
+    "semantic_chunks_by_sentence": _SEMANTIC,
     "semantic_fallback": f"""SELECT * FROM ({_SEMANTIC}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE text LIKE '%ß%' AND regexp_matches(text, '[.?!]\\s'))
         UNION ALL SELECT * FROM (WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, start_index, text FROM chunk)
         WHERE doc_id IN (SELECT doc_id FROM documents WHERE text LIKE '%ß%' AND regexp_matches(text, '[.?!]\\s'))""",
     "emergency_chunks": f"WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, text, 'RuntimeError: no chunks today' AS error FROM chunk",
-    "scan_uploads": "SELECT source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents WHERE text <> ''",
+    "scan_uploads": "SELECT source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, NULL::VARCHAR AS error FROM documents WHERE text <> ''",
     "hybrid_route": """SELECT doc_id, 'hybrid' AS strategy_requested, s AS strategy_executed, s AS strategy_reported, n AS n_pages
         FROM (SELECT doc_id, n, CASE WHEN n <= 5 THEN 'semantic' ELSE 'fixed' END AS s FROM (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents))""",
     **{

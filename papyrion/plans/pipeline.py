@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from papyrion.config import ChunkConfig, RetrievalConfig
 from papyrion.functions.text import build_prompt, extract_answer, short_hash, time_label
+from papyrion.operators.long_pages import semantic_chunks_of
 from papyrion.operators.order import in_order, numbered
 from papyrion.operators.sizing import overlap_and_bound
 from papyrion.operators.split import Embedder, route, split_pages
@@ -28,7 +29,7 @@ def placed_chunks(pages: DataFrame, config: ChunkConfig, embed: Embedder | None
     """
     routed = route(pages, config, embed)
     order = [F.col("batch_id").asc_nulls_first(), F.col("page_no").asc_nulls_first()]
-    made = numbered(split_pages(in_order(routed, *order), config, embed, measure=True), name="chunks", counted=False)
+    made = _split_in_order(routed, order, config, embed)
     if embed is None or config.strategy not in ("hybrid", "semantic"):
         return made.drop("failed")
     failed = stage(made.where("failed").select(F.col("batch_id").alias("__batch"), F.lit(True).alias("__failed")).distinct(), "failed-batches")
@@ -36,7 +37,20 @@ def placed_chunks(pages: DataFrame, config: ChunkConfig, embed: Embedder | None
         return made.drop("failed")
     marked = routed.join(failed, F.col("batch_id").eqNullSafe(F.col("__batch")), "left")
     again = marked.withColumn("strategy_executed", F.when(F.col("__failed"), "fixed").otherwise(F.col("strategy_executed"))).drop("__batch", "__failed")
-    return numbered(split_pages(in_order(again, *order), config, embed, measure=True), name="chunks", counted=False).drop("failed")
+    return _split_in_order(again, order, config, embed).drop("failed")
+
+
+#: A page with more characters is split by meaning in many tasks.
+LONG_PAGE = 1 << 22
+
+
+def _split_in_order(routed: DataFrame, order: list, config: ChunkConfig, embed: Embedder | None) -> DataFrame:
+    is_long = (F.col("strategy_executed") == "semantic") & (F.coalesce(F.length("text"), F.lit(0)) > LONG_PAGE)
+    if embed is None or routed.where(is_long).isEmpty():
+        return numbered(split_pages(in_order(routed, *order), config, embed, measure=True), name="chunks", counted=False)
+    # Their chunks come in any order, so chunks are put in order in the place of pages.
+    pieces = split_pages(routed.where(~is_long), config, embed).unionByName(semantic_chunks_of(routed.where(is_long), config, embed))
+    return numbered(in_order(pieces, *order, F.col("piece")), name="chunks", counted=False)
 
 
 def chunk(pages: DataFrame, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None) -> DataFrame:

@@ -222,3 +222,52 @@ def test_scratch_deletes_what_was_staged_on_the_way(spark):
 def test_the_package_can_be_shipped(spark):
     ship_package(spark)
     assert spark.range(1).mapInArrow(lambda batches: batches, "id long").count() == 1
+
+
+@pytest.mark.parametrize("name, executed", [("hybrid", "semantic"), ("semantic", "semantic"), ("fixed", "fixed"), ("something else", "fixed"), (None, "fixed")])
+def test_a_configuration_by_name(name, executed):
+    from papyrion.config import chunk_config
+    from papyrion.operators.split import executed as executed_of
+
+    config = chunk_config(name, size=300, overlap=20)
+    assert (config.strategy, config.size, config.overlap, config.min_size) == (name, 300, 20, 200)
+    if name != "hybrid":  # hybrid goes by pages
+        assert executed_of(config.strategy, HashEmbedder()) == executed
+    with pytest.raises(ValueError):
+        chunk_config(name, size=10, overlap=10)
+
+
+def test_a_load_of_a_conversation_that_is_not_there_gives_nothing(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (2, 0, "user", "ho"), (None, 0, "user", "no name")], "conv_id long, turn long, role string, text string")
+    wanted = spark.createDataFrame([(2,), (7,), (-1,), (2,)], "conv_id long")
+    assert [r.content for r in chat.load(turns, wanted).collect()] == ["ho"]
+    assert chat.load(turns, wanted.limit(0)).count() == 0
+
+
+class LazyModel:
+    """Makes its model at the first call in a worker, and counts how often."""
+
+    made = 0
+
+    def __call__(self, prompts):
+        if "model" not in self.__dict__:
+            LazyModel.made += 1
+            self.model = LazyModel.made
+        return [f"{self.model}" for _ in prompts]
+
+
+def test_a_generator_is_made_once_in_a_worker(spark):
+    prompts = spark.range(500).selectExpr("cast(id as string) prompt").repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        assert {r.reply for r in pipeline.generate_texts(prompts, LazyModel()).collect()} == {"1"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_an_entry_without_chunks_is_a_miss(spark, tmp_path):
+    held = cache.ChunkCache(spark, f"file://{tmp_path}/cache")
+    rows = spark.createDataFrame([("a", 0, "text"), ("b", 0, ""), ("c", 0, None)], "batch_id string, page_no long, text string")
+    config = ChunkConfig(strategy="fixed")
+    assert {r.batch_id for r in pipeline.cached_chunks(rows, held, config).collect()} == {"a"}
+    assert {r.batch_id for r in held.misses(cache.batch_keys(rows, config)).collect()} == {"b", "c"}
