@@ -2,11 +2,14 @@
 
 A log has (session_id, seq, kind, conv_id). Kinds: ``message``, ``error``, ``save``
 (puts the conversation into the history, or overwrites its place there), ``load``
-(makes a conversation of the history the current one), ``new`` and ``ingest`` (a new chat,
+(saves the conversation that is current, if any, and makes one of the history the current one; a load of one that is not
+there does nothing), ``new`` and ``ingest`` (a new chat,
 or a new file: save the conversation they name, if any, and then nothing is current),
 ``discard`` (nothing is current; what was saved stays), ``delete`` (takes one out of the
 history), ``clear`` (empties it).
 
+A chat that was never saved has no name, so it is not current in this sense: its client logs a save before the load.
+
 The history is aggregated from the log before it is shuffled; positions in it
 come from a global order of its rows. So a session with a third of all events is
 spread over the tasks.
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from papyrion.functions.text import title
 from papyrion.operators.order import anchored, in_order, numbered
+from papyrion.session import stage
 
 ERROR_PREFIX = "Error:"
 
@@ -90,12 +94,17 @@ def with_last_clear(log: DataFrame) -> DataFrame:
     return marked.join(clears, "__place", "left").select(*log.columns, "last_clear")
 
 
-def history(log: DataFrame) -> DataFrame:
-    """(session_id, conv_id, first_seq, last_seq): saved conversations that are still there."""
+def history(log: DataFrame, by_loads: bool = True) -> DataFrame:
+    """(session_id, conv_id, first_seq, last_seq): saved conversations that are still there.
+
+    ``last_seq`` is that of the last save, also one that a load began with, unless ``by_loads`` is false, which saves finding those.
+    """
     by = ["session_id", "conv_id"]
     gone = log.groupBy("session_id").agg(F.max(F.when(F.col("kind") == "clear", F.col("seq"))).alias("cleared"))
     deleted = log.where("kind = 'delete'").groupBy(*by).agg(F.max("seq").alias("deleted"))
-    saves = log.where(_saves()).groupBy(*by, "seq").agg(F.lit(1).alias("one"))
+    put = log.where(_saves()).select(*by, "seq")
+    # A conversation that a load saves is in the history, so its first save is another one.
+    saves = (put.unionByName(saved_by_loads(log)) if by_loads else put).groupBy(*by, "seq").agg(F.lit(1).alias("one"))
     same = lambda other, names: [F.col(n).eqNullSafe(other[f"__{n}"]) for n in names]
     renamed = lambda df, names: df.withColumnsRenamed({n: f"__{n}" for n in names})
     d, g = renamed(deleted, by), renamed(gone, by[:1])
@@ -105,6 +114,26 @@ def history(log: DataFrame) -> DataFrame:
     return alive.groupBy(*by).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def saved_by_loads(log: DataFrame) -> DataFrame:
+    """(session_id, conv_id, seq): the conversation that is current when another is loaded, and when that is."""
+    ends = log.where("kind in ('new', 'ingest', 'discard', 'clear')").select("session_id", "seq", "conv_id", F.lit("end").alias("what"))
+    deletes = log.where("kind = 'delete'").select("session_id", "seq", "conv_id", F.lit("delete").alias("what"))
+    sets = settings(log).select("session_id", "seq", "conv_id", F.col("kind").alias("what"))
+    marks = sets.unionByName(ends).unionByName(deletes)
+    placed = numbered(in_order(marks, *[F.col(c).asc_nulls_first() for c in ("session_id", "seq")]), "session_id", "current-log")
+    is_set = F.col("what").isin("save", "load")
+    # What was set or ended last before each mark: the row before says it, if it is of the same session.
+    before = anchored(placed, is_set | (F.col("what") == "end"), "__anchor").select((F.col("place") + 1).alias("__next"), "__anchor")
+    behind = placed.where(F.col("place") > F.col("first_place")).join(before, F.col("place") == F.col("__next"))
+    now = placed.where(is_set).select(F.col("place").alias("__set"), F.col("conv_id").alias("now"))
+    known = behind.where("what in ('load', 'delete')").join(now, F.col("__anchor") == F.col("__set")).select("session_id", "seq", "conv_id", "what", "__set", "now")
+    known = stage(known, "loads-and-deletes")
+    # A delete of what is current ends it, up to the next set.
+    ended = known.where("what = 'delete'").where(F.col("conv_id").eqNullSafe(F.col("now"))).groupBy(F.col("__set").alias("__of")).agg(F.min("seq").alias("ended"))
+    loads = known.where("what = 'load'").join(ended, F.col("__set") == F.col("__of"), "left")
+    return loads.where(F.col("ended").isNull() | (F.col("ended") > F.col("seq"))).select("session_id", F.col("now").alias("conv_id"), "seq")
+
+
 def positions(saved: DataFrame) -> DataFrame:
     """The history with ``position`` in its session, from 0, as the list of saves would have it."""
     order = [F.col(c).asc_nulls_first() for c in ("session_id", "first_seq", "conv_id")]
@@ -118,11 +147,8 @@ def _join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner
     return left.join(other, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], how).drop(*[f"__{n}" for n in names])
 
 
-def current(log: DataFrame) -> DataFrame:
-    """(session_id, conv_id): the current conversation of each session that has one.
-
-    A save makes its conversation the current one, as does a load of one that is in the history.
-    """
+def settings(log: DataFrame) -> DataFrame:
+    """The events that make a conversation the current one: saves, and loads of what is in the history."""
     known = with_last_clear(log).where("kind in ('save', 'load', 'delete', 'new', 'ingest')")
     # In the order of each conversation's events, the last save or delete says whether it is in the history.
     name = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("session_id", "conv_id")])
@@ -132,9 +158,15 @@ def current(log: DataFrame) -> DataFrame:
     puts = placed.where(_saves()).select(F.col("place").alias("__place"), F.col("seq").alias("saved"))
     seen = marked.join(puts, "__place", "left")
     there = F.col("saved").isNotNull() & (F.coalesce("last_clear", F.lit(-1)) < F.col("saved"))
-    sets = seen.where("kind in ('save', 'load')").where(there).groupBy("session_id").agg(
-        F.max("seq").alias("set_seq"), F.max_by("conv_id", "seq").alias("conv_id")
-    )
+    return seen.where("kind in ('save', 'load')").where(there).select("session_id", "seq", "conv_id", "kind")
+
+
+def current(log: DataFrame) -> DataFrame:
+    """(session_id, conv_id): the current conversation of each session that has one.
+
+    A save makes its conversation the current one, as does a load of one that is in the history.
+    """
+    sets = settings(log).groupBy("session_id").agg(F.max("seq").alias("set_seq"), F.max_by("conv_id", "seq").alias("conv_id"))
     # A delete of another conversation only shifts positions, which are not kept here.
     deletes = log.where("kind = 'delete'").groupBy("session_id", "conv_id").agg(F.max("seq").alias("deleted_seq"))
     ends = log.where("kind in ('new', 'ingest', 'discard', 'clear')").groupBy("session_id").agg(F.max("seq").alias("end_seq"))
@@ -171,6 +203,6 @@ def errors(log: DataFrame) -> DataFrame:
 def state(log: DataFrame) -> DataFrame:
     """By session: messages, size of the history, current conversation (or null)."""
     counts = log.groupBy("session_id").agg(F.count_if(F.col("kind") == "message").alias("n_messages"))
-    saved = history(log).groupBy("session_id").agg(F.count("*").alias("n_saved"))
+    saved = history(log, by_loads=False).groupBy("session_id").agg(F.count("*").alias("n_saved"))
     joined = _join(_join(counts, saved, ["session_id"], "left"), current(log), ["session_id"], "left")
     return joined.select("session_id", "n_messages", F.coalesce("n_saved", F.lit(0)).alias("n_saved"), "conv_id")

@@ -425,7 +425,7 @@ def conversation_snapshot(spark, sf_dir):
 @query
 def load_conversation(spark, sf_dir):
     """The conversations that some session has in its history."""
-    return chat.load(_turns(spark, sf_dir), chat.history(_log(spark, sf_dir)))
+    return chat.load(_turns(spark, sf_dir), chat.history(_log(spark, sf_dir), by_loads=False))
 
 
 # What each kind of event stands for in the log; the conversation is the number in its properties.
@@ -474,7 +474,7 @@ def clear_history(spark, sf_dir):
 @query
 def recent_conversations(spark, sf_dir):
     log = _log(spark, sf_dir)
-    made = chat.recent(chat.history(log), now=chat.current(log))
+    made = chat.recent(chat.history(log, by_loads=False), now=chat.current(log))
     return made.withColumn("shown", F.col("shown").cast("long"))
 
 

@@ -74,10 +74,20 @@ _KINDS = "CASE event_type WHEN 'click' THEN 'message' WHEN 'purchase' THEN 'save
 
 def _log(signup: str = "delete") -> str:
     return f"""log AS (SELECT user_id AS session_id, event_id AS seq, {_KINDS.format(signup)} AS kind, (props->>'$.k')::BIGINT AS conv_id FROM events),
+done AS (
+  SELECT *, lag(seq) OVER w AS set_seq, lag(conv_id) OVER w AS now FROM log l
+  WHERE kind = 'save' OR kind = 'load' AND EXISTS (
+    SELECT 1 FROM log s WHERE s.session_id = l.session_id AND s.conv_id = l.conv_id AND s.kind = 'save' AND s.seq < l.seq AND NOT EXISTS (
+      SELECT 1 FROM log x WHERE x.session_id = l.session_id AND x.seq > s.seq AND x.seq < l.seq AND (x.kind = 'clear' OR x.kind = 'delete' AND x.conv_id = s.conv_id)))
+  WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+put AS (
+  SELECT session_id, conv_id, seq FROM log WHERE kind = 'save' UNION ALL
+  SELECT session_id, now, seq FROM done d WHERE kind = 'load' AND set_seq IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM log x WHERE x.session_id = d.session_id AND x.seq > d.set_seq AND x.seq < d.seq AND (x.kind = 'clear' OR x.kind = 'delete' AND x.conv_id = d.now))),
 history AS (
-  SELECT s.session_id, s.conv_id, min(s.seq) AS first_seq, max(s.seq) AS last_seq FROM log s
-  WHERE s.kind = 'save' AND NOT EXISTS (SELECT 1 FROM log x WHERE x.session_id = s.session_id AND x.seq > s.seq
-                                        AND (x.kind = 'clear' OR x.kind = 'delete' AND x.conv_id = s.conv_id))
+  SELECT s.session_id, s.conv_id, min(s.seq) AS first_seq, max(s.seq) AS last_seq FROM put s
+  WHERE NOT EXISTS (SELECT 1 FROM log x WHERE x.session_id = s.session_id AND x.seq > s.seq
+                    AND (x.kind = 'clear' OR x.kind = 'delete' AND x.conv_id = s.conv_id))
   GROUP BY s.session_id, s.conv_id)"""
 
 
@@ -234,9 +244,6 @@ ORACLES = {
     "load_conversation": f"""WITH {_log()} SELECT conv_id, turn, role, text AS content, role = 'assistant' AND coalesce(starts_with(text, 'Error:'), false) AS is_error
         FROM conversations WHERE conv_id IN (SELECT conv_id FROM history)""",
     "conversation_state": f"""WITH {_log('clear')},
-        done AS (SELECT l.session_id, l.seq, l.conv_id FROM log l WHERE l.kind = 'save' OR l.kind = 'load' AND EXISTS (
-          SELECT 1 FROM log s WHERE s.session_id = l.session_id AND s.conv_id = l.conv_id AND s.kind = 'save' AND s.seq < l.seq
-          AND NOT EXISTS (SELECT 1 FROM log c WHERE c.session_id = l.session_id AND c.kind = 'clear' AND c.seq > s.seq AND c.seq < l.seq))),
         cur AS (SELECT session_id, arg_max(conv_id, seq) AS conv_id, max(seq) AS seq FROM done GROUP BY session_id),
         m AS (SELECT session_id, count(*) FILTER (kind = 'message') AS n_messages, max(seq) FILTER (kind = 'clear') AS cleared FROM log GROUP BY session_id)
         SELECT m.session_id, n_messages, (SELECT count(*) FROM history h WHERE h.session_id = m.session_id) AS n_saved,
@@ -245,9 +252,7 @@ ORACLES = {
         count(*) OVER (PARTITION BY session_id) AS n_saved FROM history""",
     "clear_history": f"WITH {_log('clear')} SELECT * FROM history",
     "recent_conversations": f"""WITH {_log()}, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_seq) AS pos, count(*) OVER (PARTITION BY session_id) AS n_saved FROM history),
-        cur AS (SELECT session_id, arg_max(conv_id, seq) AS conv_id, max(seq) AS seq FROM log l WHERE kind = 'save' OR kind = 'load' AND EXISTS (
-          SELECT 1 FROM log s WHERE s.session_id = l.session_id AND s.conv_id = l.conv_id AND s.kind = 'save' AND s.seq < l.seq
-          AND NOT EXISTS (SELECT 1 FROM log c WHERE c.session_id = l.session_id AND c.conv_id = l.conv_id AND c.kind = 'delete' AND c.seq > s.seq AND c.seq < l.seq)) GROUP BY session_id)
+        cur AS (SELECT session_id, arg_max(conv_id, seq) AS conv_id, max(seq) AS seq FROM done GROUP BY session_id)
         SELECT p.session_id, p.conv_id, pos - greatest(n_saved - 5, 0) AS shown, n_saved, coalesce(cur.conv_id = p.conv_id AND NOT EXISTS (
           SELECT 1 FROM log x WHERE x.session_id = p.session_id AND x.conv_id = p.conv_id AND x.kind = 'delete' AND x.seq > cur.seq), false) AS is_current
         FROM p LEFT JOIN cur ON cur.session_id = p.session_id WHERE pos > n_saved - 5""",

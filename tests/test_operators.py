@@ -146,15 +146,18 @@ class Session:
 
     def __init__(self):
         self.history, self.now, self.messages = [], None, 0
+        self.saved_at = {}
 
-    def on(self, kind, conv):
+    def on(self, kind, conv, seq=0):
         if kind == "message":
             self.messages += 1
         elif kind == "save" or kind in ("new", "ingest") and conv is not None:
             if conv not in self.history:
                 self.history.append(conv)
-            self.now = conv
+            self.now, self.saved_at[conv] = conv, seq
         elif kind == "load" and conv in self.history:
+            if self.now is not None:  # what is current is saved before another is shown
+                self.saved_at[self.now] = seq
             self.now = conv
         elif kind == "delete" and conv in self.history:
             self.history.remove(conv)
@@ -176,8 +179,10 @@ def test_sessions_against_event_by_event(spark):
             rows.append((session, seq, kind, conv))
     log = spark.createDataFrame(rows, "session_id long, seq long, kind string, conv_id long")
     want = {}
-    for session, _, kind, conv in rows:
-        want.setdefault(session, Session()).on(kind, conv)
+    for session, seq, kind, conv in rows:
+        want.setdefault(session, Session()).on(kind, conv, seq)
+    last = {(r.session_id, r.conv_id): r.last_seq for r in chat.history(log).collect()}
+    assert last == {(k, c): s.saved_at[c] for k, s in want.items() for c in s.history}
     saved = {}
     for r in chat.positions(chat.history(log)).orderBy("position").collect():
         saved.setdefault(r.session_id, []).append(r.conv_id)
