@@ -410,7 +410,8 @@ def scan_text(fitted: Model, text: str | None) -> list[tuple]:
                     a, b = shared[0], shared[-1] + 2
                 found = (a, b, family, p, like)
                 if best and best[-1][2] == family and best[-1][1] > a:  # windows that overlap are about one notice
-                    best[-1] = max(best[-1], found, key=lambda x: (x[4], x[3], -x[0]))
+                    # Probabilities count as they are given, so that the last bits of a sum decide nothing.
+                    best[-1] = max(best[-1], found, key=lambda x: (x[4], round(x[3], 4), -x[0]))
                 else:
                     best.append(found)
             for a, b, family, p, like in best:

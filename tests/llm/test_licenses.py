@@ -111,3 +111,120 @@ def test_odd_rows(spark):
     got = [(r.doc_id, r.paragraph, r.start) for r in L.scan_licenses(docs).collect()]
     assert sorted(got) == [(1, 0, 0), (1, 1, 3)]
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+class Plain:
+    """The whole scan once more, from the weights by name and plain loops over every word: no sparse rows, no look-up of words first."""
+
+    def __init__(self, fitted):
+        self.fitted = fitted
+        self.weights = {g.decode(): fitted.weights[i].tolist() for g, i in fitted.vocabulary.items()}
+        self.stop = {w.decode() for w in L._STOP}
+        # Words of content that some n-gram of the model holds.
+        self.content = {w for g in self.weights for w in g.split() if w not in self.stop}
+        self.templates = {f: [self.words(t)[0] for t, family in L.notices() if family == f] for f in L.TEMPLATES}
+
+    @staticmethod
+    def words(text):
+        found = [(m[0], *m.span()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text)]
+        return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w, _, _ in found], [(a, b) for _, a, b in found]
+
+    def family(self, words):
+        """(family or None, probability) by adding up the weights of every n-gram there is."""
+        found = {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1) if any(w not in self.stop for w in words[k : k + n])}
+        z = [b + sum(self.weights[g][f] for g in found if g in self.weights) for f, b in enumerate(self.fitted.bias.tolist())]
+        e = [math.exp((x - max(z)) / self.fitted.temperature) for x in z]
+        best = max(range(len(e)), key=e.__getitem__)
+        name, p = self.fitted.families[best], e[best] / sum(e)
+        return (name, p) if name != L.UNKNOWN and p >= self.fitted.least else (None, p)
+
+    @staticmethod
+    def like(words, template):
+        if words == template:
+            return 1.0
+        a, b = ({(x, y) for x, y in zip(w, w[1:])} or {(x, "") for x in w} for w in (words, template))
+        return len([p for p in a if p in b]) / min(len(a), len(b)) if min(len(a), len(b)) >= 2 else 0.0
+
+    def paragraphs(self, text):
+        """(start, text) of runs of lines that are not blank."""
+        at, start, held = 0, 0, []
+        for line in text.split("\n") + [""]:
+            if line.strip(" \t\r"):
+                start = start if held else at
+                held.append(line)
+            elif held:
+                yield start, "\n".join(held)
+                held = []
+            at += len(line) + 1
+
+    def scan(self, text):
+        out, number = [], 0
+        for low, part in self.paragraphs(text or ""):
+            words, spans = self.words(part)
+            if not words:
+                continue
+            groups = []  # places of words of content, no more than the gap apart
+            for i, w in enumerate(words):
+                if w in self.content:
+                    if groups and i - groups[-1][-1] <= L._GAP:
+                        groups[-1].append(i)
+                    else:
+                        groups.append([i])
+            best = []
+            for group in groups:
+                if len(group) < 2:
+                    continue
+                a, end = group[0], group[-1] + 1
+                starts = [a]
+                while starts[-1] + L.WINDOW_WORDS // 2 < end - L.WINDOW_WORDS // 2:
+                    starts.append(starts[-1] + L.WINDOW_WORDS // 2)
+                for a in starts:
+                    b = min(a + L.WINDOW_WORDS, end)
+                    for _ in range(3):
+                        if a and words[a - 1] in self.stop and "\n" not in part[spans[a - 1][1] : spans[a][0]]:
+                            a -= 1
+                        else:
+                            break
+                    name, p = self.family(words[a:b])
+                    if not name:
+                        continue
+                    likes = [self.like(words[a:b], t) for t in self.templates[name]]
+                    ties = [t for x, t in zip(likes, self.templates[name]) if x == max(likes)]
+                    template = ties[0]
+                    if max(likes) >= L.LEAST_SIMILARITY and words[a:b] != template:
+                        pairs = set(zip(template, template[1:]))
+                        shared = [i for i in range(a, b - 1) if (words[i], words[i + 1]) in pairs]
+                        a, b = shared[0], shared[-1] + 2
+                    found = (a, b, name, p, max(likes))
+                    if best and best[-1][2] == name and best[-1][1] > a:
+                        best[-1] = max(best[-1], found, key=lambda x: (x[4], round(x[3], 4), -x[0]))
+                    else:
+                        best.append(found)
+            for a, b, name, p, x in best:
+                start, stop = low + spans[a][0], low + spans[b - 1][1]
+                out.append((number, start, stop, name, p, x, x >= L.LEAST_SIMILARITY, text[start:stop]))
+            number += 1
+        return out
+
+
+def test_the_whole_query_against_a_plain_scan(spark, fitted):
+    plain, sf = Plain(fitted), "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = [(key, *x) for key, text in docs for x in plain.scan(text)]
+    got = [tuple(r) for r in L.op5_license_scan(spark, sf).collect()]
+    exact = lambda rows: sorted((*r[:5], r[7], r[8]) for r in rows)
+    assert exact(got) == exact(want) and len(got) > 5
+    for g, w in zip(sorted(got), sorted(want)):
+        assert g[5:7] == pytest.approx(w[5:7], abs=1e-3)
+
+
+def test_other_texts_against_a_plain_scan(fitted):
+    plain = Plain(fitted)
+    texts = [t for _, t in APART] + [t for t, _ in L.notices()] + list(L.UNRELATED)
+    texts += ["\n\n".join(texts[k : k + 9]) for k in range(0, len(texts), 9)] + [" ".join(texts[k : k + 7]) for k in range(0, len(texts), 7)]
+    texts += ["\n \t\n" + texts[0] + "\r\n\r\n" + texts[3], "", "\n", "the of a", "MIT", "x\n\n\n\ny MIT License"]
+    for text in texts:
+        got, want = L.scan_text(fitted, text), plain.scan(text)
+        assert [(*g[:4], *g[6:]) for g in got] == [(*w[:4], *w[6:]) for w in want], text
+        for g, w in zip(got, want):
+            assert g[4:6] == pytest.approx(w[4:6], abs=1e-3)
