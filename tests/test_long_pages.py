@@ -28,8 +28,9 @@ def want(text, config, embed):
     return [(i, at, False, t) for i, (at, t) in enumerate(semantic_chunks(text or "", embed, config))]
 
 
-@pytest.mark.parametrize("block", [1, 40, 300, 1 << 18])
-@pytest.mark.parametrize("buffer, least, threshold", [(1, 30, 85), (0, 0, 50), (2, 200, 0), (1, 10, 100), (3, 1, 33.3)])
+@pytest.mark.parametrize(
+    "block, buffer, least, threshold", [(1, 1, 30, 85), (40, 1, 30, 85), (1 << 18, 1, 30, 85), (40, 0, 0, 50), (1, 2, 200, 0), (300, 1, 10, 100), (1, 3, 1, 33.3), (40, 3, 1, 33.3)]
+)
 def test_blocks_of_any_size_give_the_same_chunks(spark, block, buffer, least, threshold):
     dice = random.Random(f"{buffer}{least}")
     config = ChunkConfig(strategy="semantic", buffer=buffer, min_size=least, threshold=threshold)
