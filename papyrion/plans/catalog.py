@@ -11,7 +11,7 @@ from papyrion.config import STRATEGIES, ChunkConfig
 from papyrion.functions import text as T
 from papyrion.operators import chat, long_pages, sizing, split, vector_index, vectors
 from papyrion.operators.order import in_order, numbered
-from papyrion.plans import oracles, pipeline
+from papyrion.plans import measure, oracles, pipeline
 from papyrion.session import stage, staging_path
 from papyrion.sources import cache, pages
 from papyrion.sources.tables import table
@@ -224,6 +224,14 @@ def run_report_emergency(spark, sf_dir):
     return pipeline.report(rows, made, FIXED, mode="compat", took_ms=1250, error=error)
 
 
+@query
+def run_measured(spark, sf_dir):
+    """Numbers of a run over all documents, counted as its chunks are written."""
+    _, seen = measure.run(_doc_pages(spark, sf_dir), FIXED)
+    row = (seen.n_chunks, seen.n_chars, seen.least, seen.most, seen.n_enhanced, seen.took_ms > 0)
+    return spark.createDataFrame([row], "n_chunks long, n_chars long, least long, most long, n_enhanced long, took_time boolean")
+
+
 @query
 def run_report_text(spark, sf_dir):
     return pipeline.report_text(run_report(spark, sf_dir))

@@ -183,6 +183,9 @@ ORACLES = {
     "chunk_pipeline": f"{_pipeline('source')} SELECT batch_id, ord, sub, text FROM folded",
     "chunk_stats": f"""{_pipeline('doc_id')} SELECT batch_id AS doc_id, count(*) AS n_chunks, min(length(text))::BIGINT AS least,
         max(length(text))::BIGINT AS most, sum(length(text))::BIGINT AS total FROM folded GROUP BY batch_id""",
+    "run_measured": f"""{_pipeline('doc_id')}, single AS (SELECT key FROM chunk GROUP BY key HAVING count(*) = 1)
+        SELECT count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, min(length(text))::BIGINT AS least, max(length(text))::BIGINT AS most,
+        count(*) FILTER (batch_id NOT IN (SELECT key FROM single)) AS n_enhanced, true AS took_time FROM folded""",
     "run_report": f"{_REPORT} SELECT * FROM report",
     "run_report_cached": f"""{_REPORT}, hit AS (SELECT a.doc_id FROM documents a WHERE {_FP.format('a.text')} IN (SELECT {_FP.format('text')} FROM documents WHERE lang = 'en'))
         SELECT batch_id, CASE WHEN h THEN 'cached' ELSE strategy END AS strategy, num_chunks, CASE WHEN h THEN 100 ELSE took_ms END::BIGINT AS took_ms, h AS cache_hit, content_hash, config_hash,

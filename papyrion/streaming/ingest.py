@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from papyrion.config import ChunkConfig
 from papyrion.operators.split import Embedder
 from papyrion.plans.pipeline import cached_chunks
+from papyrion.session import stage
 from papyrion.sources.cache import ChunkCache
 
 PAGES = "batch_id string, page_no long, text string"
@@ -24,7 +25,8 @@ def ingest(
     """Chunk each micro-batch into ``cache``. A micro-batch that runs again, or a file that comes twice, adds nothing."""
 
     def take(batch: DataFrame, number: int) -> None:
-        cached_chunks(batch, cache, config, embed)
+        # Written, so that the source is read once, however often its pages are looked at.
+        cached_chunks(stage(batch, "micro-batch"), cache, config, embed)
 
     writer = pages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
