@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrion.config import STRATEGIES, ChunkConfig
 from papyrion.functions import text as T
-from papyrion.operators import chat, long_pages, sizing, split, vector_index, vectors
+from papyrion.operators import chat, long_pages, lsa, sizing, split, vector_index, vectors
 from papyrion.operators.order import in_order, numbered
 from papyrion.plans import measure, oracles, pipeline
 from papyrion.session import stage, staging_path
@@ -357,6 +357,15 @@ def vector_topk_in_batch(spark, sf_dir):
     return near.select(F.col("label").cast("long").alias("label"), "query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query
+def nearest_documents(spark, sf_dir):
+    """The documents nearest to every hundredth one, by vectors on axes that are fitted on all documents."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
+    found = stage(vectors.embed_texts(docs, lsa.fit_embedder(docs)).drop("text"), "document-vectors")
+    near = vectors.top_k_batch(found, _asked(found))
+    return near.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
 def _retrieved(spark, sf_dir):
     """Neighbours among the vectors that have a document, and the documents."""
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")

@@ -45,10 +45,10 @@ _ENTRIES = "content_fp string, config_fp string, prefix string, commit string, n
 
 
 def config_key(config: ChunkConfig, mode: str = "strict", embed: object = None):
-    """``compat`` leaves the embedder out; ``strict`` names it, so that a model's chunks are not served to another."""
+    """``compat`` leaves the embedder out; ``strict`` names it (by its ``name``, or else its class), so that a model's chunks are not served to another."""
     if mode == "compat":
         return config_fingerprint(F.lit(config.strategy), F.lit(config.size), F.lit(config.overlap), F.lit(config.threshold))
-    named = replace(config, embedder=config.embedder or (type(embed).__qualname__ if embed is not None else None))
+    named = replace(config, embedder=config.embedder or (getattr(embed, "name", type(embed).__qualname__) if embed is not None else None))
     return F.md5(F.lit(repr(astuple(named))))
 
 
