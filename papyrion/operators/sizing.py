@@ -1,7 +1,7 @@
 """Context from neighbouring chunks, and bounds on the size of chunks.
 
 Both take chunks in global order (`order.numbered`), so a batch of any size is
-spread over the tasks. Chunks are dealt out once, by block (a run of them with some megabytes of text); the
+spread over the tasks. Chunks are dealt out once, by block (a run of them with half a megabyte of text); the
 chunks beside a block go along, so a task has all that a block needs and holds one block.
 
 Size bounds, from left to right in a batch: a chunk shorter than ``min_size`` is
