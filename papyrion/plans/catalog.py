@@ -13,7 +13,7 @@ from papyrion.operators import chat, long_pages, lsa, sizing, split, vector_inde
 from papyrion.operators.order import in_order, numbered
 from papyrion.plans import measure, oracles, pipeline
 from papyrion.session import stage, staging_path
-from papyrion.sources import cache, pages
+from papyrion.sources import cache, pages, table_functions
 from papyrion.sources.tables import table
 
 FIXED = ChunkConfig(strategy="fixed")
@@ -94,6 +94,14 @@ def fixed_chunks(spark, sf_dir):
     return made.select(F.col("batch_id").alias("doc_id"), F.col("piece").cast("long").alias("piece"), F.col("start_index").cast("long").alias("start_index"), "text")
 
 
+@query
+def fixed_chunks_sql(spark, sf_dir):
+    """The same chunks by a table function in SQL."""
+    table_functions.register(spark)
+    pages_ = _doc_pages(spark, sf_dir).withColumn("batch_id", F.col("batch_id").cast("string"))
+    return spark.sql("SELECT CAST(batch_id AS BIGINT) AS doc_id, CAST(piece AS BIGINT) AS piece, CAST(start_index AS BIGINT) AS start_index, text FROM fixed_chunks(TABLE(SELECT * FROM {pages}), 1000, 100)", pages=pages_)
+
+
 @query
 def semantic_chunks(spark, sf_dir):
     made = split.split_pages(_doc_pages(spark, sf_dir), SEMANTIC, split.HashEmbedder())

@@ -157,6 +157,7 @@ ORACLES = {
         WHERE content_fp = md5('')""",
     "chunk_sizes": "SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents",
     "fixed_chunks": f"WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, start_index, text FROM chunk",
+    "fixed_chunks_sql": f"WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, start_index, text FROM chunk",
     "semantic_chunks": _SEMANTIC,
     "semantic_chunks_by_sentence": _SEMANTIC,
     "semantic_fallback": f"""SELECT * FROM ({_SEMANTIC}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE text LIKE '%ß%' AND regexp_matches(text, '[.?!]\\s'))
