@@ -161,18 +161,47 @@ def settings(log: DataFrame) -> DataFrame:
     return seen.where("kind in ('save', 'load')").where(there).select("session_id", "seq", "conv_id", "kind")
 
 
+def standing(log: DataFrame) -> DataFrame:
+    """(session_id, n_messages, n_saved, conv_id): what is left of each session in the end, by aggregates alone.
+
+    What a session ends on is its last save, or a load behind it and behind all that ends a conversation. No save comes
+    behind such a load, so the last save of the loaded conversation, and the first delete behind that, say whether it was in
+    the history. Rows are combined before each shuffle; raw deletes and loads meet one row of their conversation, on the side
+    of a join that adaptive execution can split.
+    """
+    by = ["session_id", "conv_id"]
+    kind, seq = F.col("kind"), F.col("seq")
+    last = lambda of: F.max(F.when(of, seq))
+    about = log.groupBy("session_id").agg(
+        F.count_if(kind == "message").alias("n_messages"),
+        last(kind == "clear").alias("cleared"),
+        last(kind.isin("new", "ingest", "discard", "clear")).alias("ended"),
+        last(kind == "save").alias("saved"),
+    )
+    behind = lambda x, y: y.isNull() | (x > y)
+    put = log.where(_saves()).groupBy(*by).agg(F.max("seq").alias("put"))
+    kept = _join(put, about.drop("n_messages"), by[:1]).where(behind(F.col("put"), F.col("cleared")))
+    deleted = _join(log.where("kind = 'delete'").select(*by, "seq"), kept.select(*by, "put"), by).where("seq > put")
+    # Written, as the loads and the sum by session both read it.
+    known = stage(_join(kept, deleted.groupBy(*by).agg(F.min("seq").alias("gone")), by, "left"), "chat-history")
+    floor = F.greatest("ended", "saved").alias("floor")
+    loads = _join(log.where("kind = 'load'").select(*by, "seq"), known.select(*by, "gone", floor), by)
+    loads = loads.where(behind(seq, F.col("floor")) & (F.col("gone").isNull() | (seq < F.col("gone"))))
+    found = _join(known, loads.groupBy(*by).agg(F.max("seq").alias("loaded")), by, "left")
+    at = F.greatest(F.when((F.col("put") == F.col("saved")) & behind(F.col("saved"), F.col("ended")), F.col("put")), "loaded")
+    ends_on = found.groupBy("session_id").agg(F.count_if(F.col("gone").isNull()).alias("n_saved"), F.max_by(F.struct("conv_id", "gone"), at).alias("on"))
+    now = F.when(F.col("on.gone").isNull(), F.col("on.conv_id"))
+    return _join(about.select("session_id", "n_messages"), ends_on, by[:1], "left").select(
+        "session_id", "n_messages", F.coalesce("n_saved", F.lit(0)).alias("n_saved"), now.alias("conv_id"), (F.col("on").isNotNull() & F.col("on.gone").isNull()).alias("is_on")
+    )
+
+
 def current(log: DataFrame) -> DataFrame:
     """(session_id, conv_id): the current conversation of each session that has one.
 
     A save makes its conversation the current one, as does a load of one that is in the history.
     """
-    sets = settings(log).groupBy("session_id").agg(F.max("seq").alias("set_seq"), F.max_by("conv_id", "seq").alias("conv_id"))
-    # A delete of another conversation only shifts positions, which are not kept here.
-    deletes = log.where("kind = 'delete'").groupBy("session_id", "conv_id").agg(F.max("seq").alias("deleted_seq"))
-    ends = log.where("kind in ('new', 'ingest', 'discard', 'clear')").groupBy("session_id").agg(F.max("seq").alias("end_seq"))
-    joined = _join(_join(sets, deletes, ["session_id", "conv_id"], "left"), ends, ["session_id"], "left")
-    over = F.coalesce(F.greatest("deleted_seq", "end_seq"), F.lit(-1))
-    return joined.where(F.col("set_seq") > over).select("session_id", "conv_id")
+    return standing(log).where("is_on").select("session_id", "conv_id")
 
 
 def recent(saved: DataFrame, n: int = 5, now: DataFrame | None = None) -> DataFrame:
@@ -202,7 +231,4 @@ def errors(log: DataFrame) -> DataFrame:
 
 def state(log: DataFrame) -> DataFrame:
     """By session: messages, size of the history, current conversation (or null)."""
-    counts = log.groupBy("session_id").agg(F.count_if(F.col("kind") == "message").alias("n_messages"))
-    saved = history(log, by_loads=False).groupBy("session_id").agg(F.count("*").alias("n_saved"))
-    joined = _join(_join(counts, saved, ["session_id"], "left"), current(log), ["session_id"], "left")
-    return joined.select("session_id", "n_messages", F.coalesce("n_saved", F.lit(0)).alias("n_saved"), "conv_id")
+    return standing(log).drop("is_on")
