@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from papyrion.operators import chat, long_pages, lsa, sizing, split, vector_inde
 from papyrion.operators.order import in_order, numbered
 from papyrion.plans import measure, oracles, pipeline
 from papyrion.session import stage, staging_path
-from papyrion.sources import cache, pages, table_functions
+from papyrion.sources import cache, page_source, pages, table_functions
 from papyrion.sources.tables import table
 
 FIXED = ChunkConfig(strategy="fixed")
@@ -53,16 +54,36 @@ def scan_pages(spark, sf_dir):
     return _by_source(spark, sf_dir).select("batch_id", "page_no", F.length("text").cast("long").alias("n_chars"))
 
 
-@query
-def scan_uploads(spark, sf_dir):
-    """Files of pages, divided by form feeds, as they would be uploaded; one by one, they are parsed into pages."""
+def _uploads(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with files of pages, divided by form feeds, as they would be uploaded."""
     path = staging_path(spark, "uploads")
     texts = _docs(spark, sf_dir).where("text <> ''").select("source", "text")
     texts.write.partitionBy("source").option("lineSep", "\f").text(path)
+    return path
+
+
+def _uploaded(found: DataFrame) -> DataFrame:
     # A file ends with a form feed, behind which there is an empty page; a file that cannot be parsed shows by its error.
-    found = pages.scan_files(spark, path, pages.text_parser, "*.txt").where("text <> '' OR error IS NOT NULL")
     source = F.regexp_extract("batch_id", "source=([^/]*)/", 1)
-    return found.select(source.alias("source"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "error")
+    return found.where("text <> '' OR error IS NOT NULL").select(source.alias("source"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "error")
+
+
+@query
+def scan_uploads(spark, sf_dir):
+    """Uploaded files, one by one parsed into pages."""
+    return _uploaded(pages.scan_files(spark, _uploads(spark, sf_dir), pages.text_parser, "*.txt"))
+
+
+@query
+def scan_uploads_sql(spark, sf_dir):
+    """The same pages by a data source in SQL."""
+    page_source.register(spark)
+    # A view of its own name for each call: its rows are read only later.
+    view = f"uploads_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TEMPORARY VIEW {view} USING page_files OPTIONS (path '{_uploads(spark, sf_dir)}', glob '*.txt')")
+    found = spark.sql(f"SELECT * FROM {view}")
+    spark.catalog.dropTempView(view)
+    return _uploaded(found)
 
 
 @query

@@ -165,6 +165,7 @@ ORACLES = {
         WHERE doc_id IN (SELECT doc_id FROM documents WHERE text LIKE '%ß%' AND regexp_matches(text, '[.?!]\\s'))""",
     "emergency_chunks": f"WITH RECURSIVE {_DOC}, {_fixed('doc')} SELECT key AS doc_id, piece, text, 'RuntimeError: no chunks today' AS error FROM chunk",
     "scan_uploads": "SELECT source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, NULL::VARCHAR AS error FROM documents WHERE text <> ''",
+    "scan_uploads_sql": "SELECT source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, NULL::VARCHAR AS error FROM documents WHERE text <> ''",
     "hybrid_route": """SELECT doc_id, 'hybrid' AS strategy_requested, s AS strategy_executed, s AS strategy_reported, n AS n_pages
         FROM (SELECT doc_id, n, CASE WHEN n <= 5 THEN 'semantic' ELSE 'fixed' END AS s FROM (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents))""",
     **{
