@@ -47,6 +47,8 @@ from papyrion.session import stage, staging_path
 WINDOW = 10
 #: Words of a segment, about; one long document may exceed it.
 SEGMENT_TOKENS = 1 << 18
+#: Segments of one Parquet row group: a task that writes or reads the index has no more of them in memory, however long its file is.
+ROW_GROUP = 4
 #: Places a word may be off in a proximity match.
 SLOP = 2
 #: Benchmark text that one pass over the index takes along.
@@ -120,7 +122,9 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
     """The positional index of ``docs``, written to the shared folder (with keys as strings)."""
     chosen = docs.select(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string"))
     path = staging_path(docs.sparkSession, "positional-index")
-    chosen.mapInArrow(_index(segment), SEGMENTS).write.option("compression", "zstd").parquet(path)
+    # By default a row group is checked after 100 rows, and read 4096 rows at once, which are gigabytes of segments.
+    writer = chosen.mapInArrow(_index(segment), SEGMENTS).write.option("compression", "zstd")
+    writer.option("parquet.block.row.count.limit", ROW_GROUP).parquet(path)
     index = docs.sparkSession.read.schema(SEGMENTS).parquet(path)
     return index.withColumn("docs", F.col("docs").cast(T.ArrayType(docs.schema[key].dataType)))
 

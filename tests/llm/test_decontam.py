@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 from papyrion.llm import decontam
@@ -166,3 +167,12 @@ def test_memory_of_a_whole_block_of_the_benchmark():
     """8 MB of benchmark, and a segment in which every window has thousands of candidates."""
     run = subprocess.run([sys.executable, "-c", LARGE_BLOCK], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=300, check=True)
     assert int(run.stdout) < 1200
+
+
+def test_a_task_holds_few_segments_at_once(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 20) for i in range(60)], "doc_id long, text string").coalesce(1)
+    index = decontam.build_index(docs, segment=20)
+    assert index.count() > 10 * decontam.ROW_GROUP
+    for file in index.inputFiles():
+        about = pq.ParquetFile(file.removeprefix("file://").removeprefix("file:")).metadata
+        assert all(about.row_group(k).num_rows <= decontam.ROW_GROUP for k in range(about.num_row_groups))
