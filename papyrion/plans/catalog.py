@@ -54,11 +54,16 @@ def scan_pages(spark, sf_dir):
     return _by_source(spark, sf_dir).select("batch_id", "page_no", F.length("text").cast("long").alias("n_chars"))
 
 
+#: Pages of one uploaded file, at most.
+UPLOAD_PAGES = 1000
+
+
 def _uploads(spark: SparkSession, sf_dir: str) -> str:
     """A folder with files of pages, divided by form feeds, as they would be uploaded."""
     path = staging_path(spark, "uploads")
     texts = _docs(spark, sf_dir).where("text <> ''").select("source", "text")
-    texts.write.partitionBy("source").option("lineSep", "\f").text(path)
+    # A parser gets a file whole, so an upload has a bounded number of pages: a source with more has more files.
+    texts.write.partitionBy("source").option("maxRecordsPerFile", UPLOAD_PAGES).option("lineSep", "\f").text(path)
     return path
 
 

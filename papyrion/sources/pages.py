@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 Parser = Callable[[bytes], Iterable[str]]
 
+#: Pages of a file that leave its task together.
+PAGES_OUT = 256
+
 
 def scan_files(spark: SparkSession, path: str, parse: Parser, glob: str = "*.pdf") -> DataFrame:
     """The pages that ``parse`` finds in each file whose name fits ``glob``; the batch is the file's path.
@@ -18,17 +21,21 @@ def scan_files(spark: SparkSession, path: str, parse: Parser, glob: str = "*.pdf
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
+    def parsed(name: str, content: bytes) -> list[tuple]:
+        try:
+            return [(name, i, text, None) for i, text in enumerate(parse(content))]
+        except Exception as e:  # noqa: BLE001  whatever the parser raises is this file's result
+            return [(name, None, None, f"{type(e).__name__}: {e}")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
         for batch in batches:
-            rows: list[tuple] = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    rows += [(name, i, text, None) for i, text in enumerate(parse(content.as_py()))]
-                except Exception as e:  # noqa: BLE001  whatever the parser raises is this file's result
-                    rows.append((name, None, None, f"{type(e).__name__}: {e}"))
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch_id", "page_no", "text", "error"])
+            for name, content in zip(batch.column(0), batch.column(1)):
+                rows = parsed(name.as_py(), content.as_py())
+                # One file's pages are held, and leave in parts.
+                for low in range(0, len(rows), PAGES_OUT):
+                    columns = zip(*rows[low : low + PAGES_OUT])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch_id", "page_no", "text", "error"])
 
     return files.select("path", "content").mapInArrow(run, "batch_id string, page_no int, text string, error string")
 

@@ -276,3 +276,20 @@ def test_an_entry_without_chunks_is_a_miss(spark, tmp_path):
     config = ChunkConfig(strategy="fixed")
     assert {r.batch_id for r in pipeline.cached_chunks(rows, held, config).collect()} == {"a"}
     assert {r.batch_id for r in held.misses(cache.batch_keys(rows, config)).collect()} == {"b", "c"}
+
+
+def test_uploads_are_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    from papyrion.plans import catalog
+
+    monkeypatch.setattr(catalog, "UPLOAD_PAGES", 7, raising=False)
+    rows = [(i, f"text {i}", "a" if i % 3 else "b") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = pages.scan_files(spark, catalog._uploads(spark, str(tmp_path)), pages.text_parser, "*.txt").where("text <> ''")
+    assert sorted(r.text for r in found.collect()) == sorted(text for _, text, _ in rows)
+    assert max(r["count"] for r in found.groupBy("batch_id").count().collect()) <= 7
+
+
+def test_pages_of_a_long_file_leave_in_parts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\f".join(map(str, range(1000))))
+    found = pages.scan_files(spark, f"file://{tmp_path}", pages.text_parser, "*.txt")
+    assert [r.text for r in found.orderBy("page_no").collect()] == [str(i) for i in range(1000)]
