@@ -28,6 +28,13 @@ ROW_BYTES = 64
 MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in ("__size", "__size_before", "__before")])
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``rows`` at most at a time: Spark's batches have up to 64 MB, which are many times more as objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def in_order(df: DataFrame, *order: Column, ranges: int | None = None) -> DataFrame:
     """``df`` in global order: tasks hold ranges that follow each other, each sorted."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

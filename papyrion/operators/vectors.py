@@ -3,7 +3,7 @@
 One query vector is a literal in the plan: distances are built-in expressions,
 and only the k best rows of each task leave it. Many queries are compared in
 blocks: vectors and queries are packed into matrices where they are read, each
-pair of blocks is one product of matrices that gives back k rows per query, and
+pair of blocks is some products of matrices that give back k rows per query, and
 a ranked window keeps the k best of those, limited before the shuffle. Nothing
 comes to the driver.
 
@@ -26,9 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrion.config import RetrievalConfig
+from papyrion.operators.order import in_slices
 from papyrion.operators.split import Embedder
+from papyrion.session import stage
 
 QUERY_BLOCK = 512
+#: Queries of a block that are compared with a block of vectors at once.
+QUERY_ROWS = 64
+#: Texts that are embedded in one call.
+EMBED_ROWS = 512
+#: Blocks in one row group where they are written.
+BLOCK_GROUP = 4
 
 
 def token_bucket(token: Column, dims: int = 64) -> Column:
@@ -47,7 +55,7 @@ def embed_texts(rows: DataFrame, embed: Embedder, text: str = "text", out: str =
     """``rows`` with the vector of ``text``, made in Arrow batches; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, EMBED_ROWS):
             texts = [t.as_py() or "" for t in batch.column(0)]
             made = np.asarray(embed(texts), np.float64) if texts else np.empty((0, 0))
             lists = pa.array(list(made), pa.list_(pa.float64()))
@@ -109,6 +117,14 @@ def _packed(rows: DataFrame, key: str, vector: str, block: int, prefix: str) ->
 def nearest_in_blocks(k: int, metric: str):
     """The ``k`` nearest of each pair of blocks (v_ids, v_data, q_ids, q_data), and what else comes in front of these, as it is."""
 
+    def distances(v: np.ndarray, vv: np.ndarray, q: np.ndarray) -> np.ndarray:
+        dots, qq = q @ v.T, (q * q).sum(axis=1)
+        if metric == "l2":
+            d = qq[:, None] + vv[None, :] - 2 * dots
+        else:
+            d = 1 - dots / np.maximum(np.sqrt(qq[:, None] * vv[None, :]), 1e-300)
+        return np.maximum(d, 0).round(9)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             carried = batch.schema.names[:-4]
@@ -116,18 +132,14 @@ def nearest_in_blocks(k: int, metric: str):
                 ids, asked = np.frombuffer(vi.as_buffer(), np.int64), np.frombuffer(qi.as_buffer(), np.int64)
                 v = np.frombuffer(vd.as_buffer(), np.float64).reshape(len(ids), -1)
                 q = np.frombuffer(qd.as_buffer(), np.float64).reshape(len(asked), -1)
-                dots, vv, qq = q @ v.T, (v * v).sum(axis=1), (q * q).sum(axis=1)
-                if metric == "l2":
-                    d = qq[:, None] + vv[None, :] - 2 * dots
-                else:
-                    d = 1 - dots / np.maximum(np.sqrt(qq[:, None] * vv[None, :]), 1e-300)
-                d = np.maximum(d, 0).round(9)
-                rows = []
-                for i in range(len(asked)):
-                    least = np.partition(d[i], k - 1)[k - 1] if len(ids) > k else np.inf
-                    near = np.flatnonzero(d[i] <= least)
-                    near = near[np.lexsort((ids[near], d[i][near]))][:k]
-                    rows.append((np.full(len(near), asked[i]), ids[near], d[i][near]))
+                vv, rows = (v * v).sum(axis=1), []
+                for low in range(0, len(asked), QUERY_ROWS):
+                    d = distances(v, vv, q[low : low + QUERY_ROWS])
+                    for key, row_d in zip(asked[low : low + QUERY_ROWS], d):
+                        least = np.partition(row_d, k - 1)[k - 1] if len(ids) > k else np.inf
+                        near = np.flatnonzero(row_d <= least)
+                        near = near[np.lexsort((ids[near], row_d[near]))][:k]
+                        rows.append((np.full(len(near), key), ids[near], row_d[near]))
                 found = [pa.array(np.concatenate(c)) for c in zip(*rows)]
                 same = [batch.column(c).take(pa.array(np.full(len(found[0]), row))) for c in carried]
                 yield pa.RecordBatch.from_arrays([*same, *found], [*carried, "query_id", "vec_id", "distance"])
@@ -177,8 +189,8 @@ def top_k_in_batches(
     Blocks of vectors and of queries are joined by batch, so a query never meets another batch; a null batch is a batch.
     An id may ask in several batches, and is answered in each.
     """
-    v = _packed_by(vectors, batch, key, vector, config.block, "v")
-    q = _packed_by(queries, batch, key, vector, QUERY_BLOCK, "q").withColumnRenamed("batch", "__batch")
+    v = stage(_packed_by(vectors, batch, key, vector, config.block, "v"), "vector-blocks", group=BLOCK_GROUP)
+    q = stage(_packed_by(queries, batch, key, vector, QUERY_BLOCK, "q"), "query-blocks", group=BLOCK_GROUP).withColumnRenamed("batch", "__batch")
     met = v.join(q, F.col("batch").eqNullSafe(F.col("__batch"))).select("batch", "v_ids", "v_data", "q_ids", "q_data")
     near = met.mapInArrow(nearest_in_blocks(config.k, config.metric), T.StructType([met.schema["batch"], *T.StructType.fromDDL("query_id long, vec_id long, distance double").fields]))
     ranked = Window.partitionBy("batch", "query_id").orderBy("distance", "vec_id")
@@ -190,7 +202,12 @@ def top_k_batch(
     vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, distance) of the nearest rows of ``vectors`` to each row of ``queries``."""
-    blocks = _packed(vectors, key, vector, config.block, "v").crossJoin(_packed(queries, key, vector, QUERY_BLOCK, "q"))
+    # Written, else each pair of tasks would pack both sides again, in Python workers of its own.
+    packed = stage(_packed(vectors, key, vector, config.block, "v"), "vector-blocks", group=BLOCK_GROUP)
+    asked = stage(_packed(queries, key, vector, QUERY_BLOCK, "q"), "query-blocks", group=BLOCK_GROUP)
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out anew: blocks are few large rows, of which a split of a file would hold hundreds.
+    blocks = packed.repartition(n).crossJoin(asked)
     near = blocks.select("v_ids", "v_data", "q_ids", "q_data").mapInArrow(nearest_in_blocks(config.k, config.metric), "query_id long, vec_id long, distance double")
     ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= config.k).select("query_id", "rank", "vec_id", "distance")

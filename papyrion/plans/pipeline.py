@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from papyrion.config import ChunkConfig, RetrievalConfig
 from papyrion.functions.text import build_prompt, extract_answer, short_hash, time_label
 from papyrion.operators.long_pages import semantic_chunks_of
-from papyrion.operators.order import in_order, numbered
+from papyrion.operators.order import in_order, in_slices, numbered
 from papyrion.operators.sizing import overlap_and_bound
 from papyrion.operators.split import Embedder, route, split_pages
 from papyrion.operators.vectors import embed_texts, top_k_batch, top_k_in_batches
@@ -21,6 +21,9 @@ from papyrion.sources.cache import KEY, ChunkCache, batch_keys
 
 Generator = Callable[[list[str]], list[str]]
 
+#: Prompts that the generator gets at once.
+PROMPTS = 512
+
 
 def placed_chunks(pages: DataFrame, config: ChunkConfig, embed: Embedder | None = None) -> DataFrame:
     """Chunks as the splitter gives them, in global order; pages are dealt out once, before they are split.
@@ -182,8 +185,8 @@ def generate_texts(prompts: DataFrame, generate: Generator) -> DataFrame:
     """``prompts`` with ``reply``; the generator is called with a batch of prompts, and made once per worker if it is lazy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = generate(batch.column("prompt").to_pylist()) if batch.num_rows else []
+        for batch in in_slices(batches, PROMPTS):
+            made = generate(batch.column("prompt").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "reply"])
 
     return prompts.mapInArrow(run, T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())]))

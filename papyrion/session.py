@@ -85,15 +85,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None, group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The written table survives the loss of any executor, and a second use reads
-    it instead of computing it again.
+    it instead of computing it again. With ``group``, a row group has so many rows at most, for rows of megabytes: Spark
+    would hold 100 of them to write, and read 4096 at once.
     """
     spark = df.sparkSession
     path = path or staging_path(spark, name)
     writer = df.write.option("compression", "zstd")
+    if group:
+        writer = writer.option("parquet.block.row.count.limit", group)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

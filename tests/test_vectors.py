@@ -127,3 +127,23 @@ def test_an_empty_table_has_no_nearest(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for query in ("vector_topk", "vector_topk_batch", "vector_topk_ann", "vector_topk_indexed", "vector_topk_in_batch"):
         assert catalog.QUERIES[query](spark, str(tmp_path)).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_packed_once_and_compared_by_one_worker_a_task(spark):
+    rows = [(i, [float(i % 7), float(i % 5)], i % 2) for i in range(300)]
+    found = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    assert _plan(vectors.top_k_batch(found, found)).count("MapInArrow") == 1
+    assert _plan(vectors.top_k_in_batches(found, found, batch="label")).count("MapInArrow") == 1
+
+
+def test_the_embedder_gets_a_bounded_number_of_texts(spark):
+    def sizes(texts):
+        return np.full((len(texts), 1), float(len(texts)))
+
+    made = vectors.embed_texts(spark.range(3000).selectExpr("id", "'a' AS text").coalesce(1), sizes)
+    assert made.count() == 3000
+    assert max(r.embedding[0] for r in made.collect()) <= 512
