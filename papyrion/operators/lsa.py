@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.operators.order import in_slices
 from papyrion.session import stage
 
 TERMS = 1 << 14
@@ -34,13 +36,30 @@ DIMS = 64
 MORE = 16
 PASSES = 4
 _WORD = re.compile(r"\w+")
-#: Sparse rows that are multiplied at once.
+#: Texts that are cut into words before they leave a task.
 _ROWS = 512
 
 
+class _Hashed(dict):
+    """Word to bucket, found once for each word."""
+
+    def __init__(self, terms: int):
+        self.terms = terms
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = found = crc32(word.encode()) % self.terms
+        return found
+
+
+#: One table for each number of buckets in a worker.
+_hashed = lru_cache(_Hashed)
+
+
 def _buckets(text: str | None, terms: int) -> tuple[list[int], list[int]]:
     """The different buckets of a text's words, rising, and how often each comes."""
-    counts = sorted(Counter(crc32(w.encode()) % terms for w in _WORD.findall((text or "").lower())).items())
+    counts = sorted(Counter(map(_hashed(terms).__getitem__, _WORD.findall((text or "").lower()))).items())
     return [b for b, _ in counts], [n for _, n in counts]
 
 
@@ -71,28 +90,24 @@ class FittedEmbedder:
         return out
 
 
-def _turned(dims: int):
-    """Sparse rows (at, weights) to (bucket, A'(AQ) of the rows of the task)."""
+def _turned():
+    """Counts of words (at, counts) to (bucket, A'(AQ) of the rows of the task)."""
 
     def run(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-        q = sent.value
+        q, idf = sent.value
         total, there = np.zeros_like(q), np.zeros(len(q), bool)
-        for whole in batches:
-            for low in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(low, _ROWS)
-                sizes = np.asarray(batch.column(0).value_lengths())
-                at, w = (np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False)) for c in (0, 1))
-                if not len(at):
-                    continue
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                full = np.flatnonzero(sizes)
-                starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                product = np.zeros((len(sizes), dims))
-                product[full] = np.add.reduceat(q[at] * w[:, None], starts, axis=0)
-                order = np.argsort(at, kind="stable")
-                buckets, first = np.unique(at[order], return_index=True)
-                total[buckets] += np.add.reduceat(product[row[order]] * w[order, None], first, axis=0)
-                there[buckets] = True
+        for batch in batches:
+            sizes = np.asarray(batch.column(0).value_lengths())
+            at, counts = (np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False)) for c in (0, 1))
+            ends = np.cumsum(sizes)
+            weights = (1 + np.log(counts)) * idf[at]
+            # A row has a bucket once, so its part of the sums is added to different places.
+            for low, high in zip((ends - sizes).tolist(), ends.tolist()):
+                if low < high:
+                    own, w = at[low:high], weights[low:high]
+                    w = w / max(np.sqrt((w * w).sum()), 1e-300)
+                    total[own] += w[:, None] * (w @ q[own])
+            there[at] = True
         some = np.flatnonzero(there)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))], ["bucket", "s"])
 
@@ -103,34 +118,31 @@ def fit_embedder(texts: DataFrame, text: str = "text", dims: int = DIMS, terms:
     """An embedder fitted on all rows of ``texts``."""
     spark = texts.sparkSession
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, _ROWS):
+            made = [_buckets(value.as_py(), terms) for value in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64())) for c in zip(*made)], ["at", "counts"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(terms, np.int64), 0
         for batch in batches:
-            for value in batch.column(0):
-                seen[_buckets(value.as_py(), terms)[0]] += 1
+            seen += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=terms)
             n += batch.num_rows
         some = np.flatnonzero(seen)
         # Under -1, the number of texts.
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([n, *seen[some].tolist()], pa.int64())], ["bucket", "n"])
 
-    chosen = texts.select(F.col(f"`{text}`").cast("string").alias("text"))
-    found = dict(map(tuple, chosen.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()))
+    # Texts are cut into words once.
+    held = stage(texts.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(rows, "at array<long>, counts array<long>"), "counted-words")
+    found = dict(map(tuple, held.select("at").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()))
     n = found.pop(-1, 0)
     df = np.zeros(terms)
     df[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + df)) + 1
-    plain = FittedEmbedder(idf, np.zeros((terms, dims)), np.zeros(dims))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [plain.row(value.as_py()) for value in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([w for _, w in made], pa.list_(pa.float64()))], ["at", "weights"])
-
-    held = stage(chosen.mapInArrow(rows, "at array<long>, weights array<double>"), "weighted-words")
     many = min(terms, dims + MORE)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, many)))[0]
     for k in range(passes):
-        sent, run = spark.sparkContext.broadcast(q), _turned(many)
+        sent, run = spark.sparkContext.broadcast((q, idf)), _turned()
         parts = held.mapInArrow(lambda b, sent=sent: run(b, sent), "bucket long, s array<double>")
         y = np.zeros((terms, many))
         for bucket, *s in parts.groupBy("bucket").agg(*[F.sum(F.get("s", F.lit(i))) for i in range(many)]).collect():

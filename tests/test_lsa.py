@@ -73,3 +73,17 @@ def test_the_query_finds_each_document_itself_first(spark):
     first = {r.query_id: r for r in rows if r["rank"] == 1}
     assert set(first) == {d for d in docs if d % 100 == 0} and len(rows) == 5 * len(first)
     assert all(r.distance == 0 and docs[r.vec_id].lower().split() == docs[r.query_id].lower().split() for r in first.values())
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    held, stage = [], lsa.stage
+
+    def spy(df, name, **more):
+        held.append(df.columns)
+        return stage(df, name, **more)
+
+    monkeypatch.setattr(lsa, "stage", spy)
+    made = lsa.fit_embedder(spark.createDataFrame([(f"word{i % 7} other{i % 3}",) for i in range(40)], "text string"), dims=4, passes=2)
+    # The counts serve for the weights of words as well as for the passes.
+    assert held == [["at", "counts"]]
+    assert made.axes.shape == (lsa.TERMS, 4)
