@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.config import ChunkConfig
+from papyrion.operators.order import in_slices
 from papyrion.operators.split import Embedder, cosine_distances, sentences_of, split_pages
 from papyrion.session import stage
 
 #: Characters of the sentences of a block, about.
 BLOCK_CHARS = 1 << 18
+#: Blocks of sentences that a task has as objects at once.
+BLOCKS_AT_ONCE = 32
 #: Distances as whole numbers, and the bits by which the ranges of each round of counts are narrower.
 _UNITS, _ROUNDS = 1_000_000_000, (20, 10, 0)
 _PAGE = ["page"]
@@ -79,7 +82,7 @@ def _distances(buffer: int, embed: Embedder):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
-        for batch in batches:
+        for batch in in_slices(batches, BLOCKS_AT_ONCE):
             made = list(zip(*map(of, batch.to_pylist()))) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], ["page", "block", "failed", "distances"])
 
@@ -128,7 +131,7 @@ def _ends(lengths: np.ndarray, cuts: np.ndarray, least: int) -> tuple[np.ndarray
 
 def _functions(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(page, block, lengths, cuts) to what leaves a block for each length that enters it: a length, and if it is of a chunk that begins in the block."""
-    for batch in batches:
+    for batch in in_slices(batches, BLOCKS_AT_ONCE):
         out = []
         for row in batch.to_pylist():
             lengths, cuts = np.array(row["lengths"], np.int64), np.array(row["cuts"], np.int64)
@@ -166,7 +169,7 @@ def _parts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     """
     names = ["page", "block", "number", "home", "sentence", "chars", "text"]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-    for batch in batches:
+    for batch in in_slices(batches, BLOCKS_AT_ONCE):
         out = []
         for row in batch.to_pylist():
             own = row["sentences"][row["lead"] : row["lead"] + row["own"]]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,10 @@ def test_the_pipeline_gives_long_pages_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "LONG_PAGE", 700)
     monkeypatch.setattr(long_pages, "BLOCK_CHARS", 200)
     assert sorted(map(tuple, pipeline.chunk(pages, config, Picky()).collect()), key=repr) == plain
+
+
+def test_a_task_has_few_blocks_as_objects_at_once():
+    rows = [{"page": i, "block": 0, "lengths": [5, 6], "cuts": [0]} for i in range(1000)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    made = list(long_pages._functions(iter([batch]), 10))
+    assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) <= long_pages.BLOCKS_AT_ONCE
