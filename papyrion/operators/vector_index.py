@@ -312,6 +312,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 5, key: str = "vec_i
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of an index as blocks of one cell."""
     for batch in batches:
+        # In order of cells: a batch may hold the rows of a shelf in any order, and a block of one row meets all queries too.
+        batch = batch.take(pa.array(np.argsort(batch.column(1).to_numpy(), kind="stable")))
         cells = batch.column(1).to_numpy()
         borders = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)] if len(cells) else [0]
         ids, x = batch.column(2).to_numpy(), np.asarray(batch.column(3).flatten().to_numpy(zero_copy_only=False), np.float64)

@@ -1,6 +1,7 @@
 """The vector index and retrieval within batches, against every pair."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,13 @@ def test_the_embedder_gets_a_bounded_number_of_texts(spark):
     made = vectors.embed_texts(spark.range(3000).selectExpr("id", "'a' AS text").coalesce(1), sizes)
     assert made.count() == 3000
     assert max(r.embedding[0] for r in made.collect()) <= 512
+
+
+def test_rows_of_a_shelf_in_any_order_make_one_block_a_cell():
+    cells = [i % 3 for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 30, pa.int32()), pa.array(cells, pa.int32()), pa.array(range(30), pa.int64()), pa.array([[float(i)] for i in range(30)])], ["shelf", "cell", "vec_id", "vector"])
+    made = pa.Table.from_batches(vector_index._packed_rows(iter([batch]))).to_pylist()
+    assert [r["cell"] for r in made] == [0, 1, 2]
+    for r in made:
+        ids = np.frombuffer(r["v_ids"], np.int64)
+        assert ids.tolist() == [i for i in range(30) if i % 3 == r["cell"]] and np.frombuffer(r["v_data"]).tolist() == ids.tolist()
