@@ -116,6 +116,10 @@ class _Buckets(dict):
 _buckets = lru_cache(_Buckets)
 
 
+#: Tokens that are counted together, and those of one text more.
+COUNT_TOKENS = 1 << 13
+
+
 class HashEmbedder:
     """Counts of tokens by the first byte of their MD5, modulo ``dims``: a stand-in for a model, the same in SQL."""
 
@@ -124,9 +128,17 @@ class HashEmbedder:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out, bucket = np.zeros((len(texts), self.dims)), _buckets(self.dims).__getitem__
-        for row, text in zip(out, texts):
-            if tokens := text.split():
-                row[:] = np.bincount(np.fromiter(map(bucket, tokens), np.int64, len(tokens)), minlength=self.dims)
+        low = 0
+        while low < len(texts):
+            # Texts are counted together, as many as have `COUNT_TOKENS` tokens.
+            found, ends = [], []
+            while low + len(ends) < len(texts) and len(found) < COUNT_TOKENS:
+                found += map(bucket, texts[low + len(ends)].split())
+                ends.append(len(found))
+            rows = np.repeat(np.arange(len(ends)) * self.dims, np.diff(ends, prepend=0))
+            counts = np.bincount(rows + np.array(found, np.int64), minlength=len(ends) * self.dims)
+            out[low : low + len(ends)] = counts.reshape(len(ends), self.dims)
+            low += len(ends)
         return out
 
 
@@ -164,17 +176,25 @@ def _grouped(sentences: list[str], vectors: np.ndarray, config: ChunkConfig) ->
     return out
 
 
+def _embedded(windows: list[str], embed: Embedder) -> np.ndarray | None:
+    """A vector for each window; None if the embedder fails."""
+    try:
+        vectors = np.asarray(embed(windows), np.float64) if windows else np.empty((0, 0))
+        if len(vectors) != len(windows):
+            raise ValueError("the embedder gives another number of vectors than texts")
+    except Exception:  # noqa: BLE001  whatever a model raises
+        return None
+    return vectors
+
+
 def semantic_pages(texts: list[str], embed: Embedder, config: ChunkConfig) -> list[list[tuple[int, str]] | None]:
     """`semantic_chunks` of several pages with one call of the embedder; None for a page that it fails on."""
     cut = [_SENTENCE.split(t) for t in texts]
     around = [_windows(sentences, config.buffer) for sentences in cut]
-    flat = [w for windows in around for w in windows]
-    try:
-        vectors = np.asarray(embed(flat), np.float64) if flat else np.empty((0, 0))
-        if len(vectors) != len(flat):
-            raise ValueError("the embedder gives another number of vectors than texts")
-    except Exception:  # noqa: BLE001  whatever a model raises; which page it was shows when they are asked one by one
-        return [None] if len(texts) == 1 else [semantic_pages([t], embed, config)[0] for t in texts]
+    vectors = _embedded([w for windows in around for w in windows], embed)
+    if vectors is None:  # which page it was shows when they are asked one by one
+        alone = [_embedded(windows, embed) for windows in around] if len(texts) > 1 else [None]
+        return [None if own is None else _grouped(sentences, own, config) for sentences, own in zip(cut, alone)]
     ends = np.cumsum([len(w) for w in around])
     return [_grouped(sentences, vectors[end - len(w) : end], config) for sentences, w, end in zip(cut, around, ends.tolist())]
 

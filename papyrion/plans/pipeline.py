@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +36,19 @@ def placed_chunks(pages: DataFrame, config: ChunkConfig, embed: Embedder | None
     made = _split_in_order(routed, order, config, embed)
     if embed is None or config.strategy not in ("hybrid", "semantic"):
         return made.drop("failed")
-    failed = stage(made.where("failed").select(F.col("batch_id").alias("__batch"), F.lit(True).alias("__failed")).distinct(), "failed-batches")
-    if failed.isEmpty():
+    # A page that the embedder fails on has its fixed chunks already; to be cut again are batches that have other pages too.
+    both = made.groupBy(F.col("batch_id").alias("__batch")).agg(F.max("failed").alias("some"), F.min("failed").alias("all"))
+    mixed = stage(both.where("some AND NOT all").select("__batch"), "mixed-batches")
+    if mixed.isEmpty():
         return made.drop("failed")
-    marked = routed.join(failed, F.col("batch_id").eqNullSafe(F.col("__batch")), "left")
-    again = marked.withColumn("strategy_executed", F.when(F.col("__failed"), "fixed").otherwise(F.col("strategy_executed"))).drop("__batch", "__failed")
-    return _split_in_order(again, order, config, embed).drop("failed")
+    in_mixed = F.col("batch_id").eqNullSafe(F.col("__batch"))
+    whole = in_order(pages.select("batch_id", "page_no", "text").join(mixed, in_mixed, "left_semi"), *order)
+    columns = ["batch_id", "page_no", "piece", "start_index", "text"]
+    fixed = split_pages(whole, replace(config, strategy="fixed")).select(*columns, F.monotonically_increasing_id().alias("__seq"))
+    # The chunks of the other batches stay as they are, and are not embedded again.
+    others = made.join(mixed, in_mixed, "left_anti").select(*columns, F.col("place").alias("__seq"))
+    again = others.unionByName(stage(fixed, "fixed-chunks"))
+    return numbered(in_order(again, order[0], F.col("__seq")).drop("__seq"), name="chunks", counted=False)
 
 
 #: A page with more characters is split by meaning in many tasks.

@@ -51,6 +51,51 @@ def test_a_failing_embedder_gives_fixed_chunks_for_the_whole_batch(spark):
     assert semantic_pages([long, "A bad page. So bad.", ""], Picky(), config) == [semantic_chunks(long, HashEmbedder(), config), None, [(0, "")]]
 
 
+class Noting(Picky):
+    """Writes down what it has embedded."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = path
+
+    def __call__(self, texts):
+        made = super().__call__(texts)
+        with open(self.path, "a") as file:
+            file.write("".join(f"{t}\n" for t in texts))
+        return made
+
+
+def test_other_pages_are_not_embedded_again_if_the_embedder_fails(spark, tmp_path):
+    page = lambda name: f"{name} one. {name} two! {name} three? " * 8
+    config = ChunkConfig(strategy="semantic", size=60, overlap=10, min_size=20, max_size=400)
+    alone = [("a", 0, page("a")), ("b", 0, page("bad")), (None, 0, page("n")), ("d", 0, page("d")), ("d", 1, ""), ("e", 0, None)]
+    # The second also has batches with pages of both kinds, and two pages with one number.
+    for mixed in ([], [("c", 0, page("c")), ("c", 1, page("bad")), ("c", 1, page("x")), ("f", 0, page("f")), ("f", 7, page("bad"))]):
+        log = tmp_path / f"log{len(mixed)}"
+        df = spark.createDataFrame(alone + mixed, "batch_id string, page_no long, text string").repartition(3)
+        got = pipeline.placed_chunks(df, config, Noting(log)).orderBy("place").collect()
+        assert log.read_text().count("n two! n three? n one.") == 7
+        assert [r.place for r in got] == list(range(len(got)))
+        failed = {"b"} | {b for b, *_ in mixed}
+        made = lambda b, t: pipeline_fixed(t or "", config) if b in failed else semantic_chunks(t or "", HashEmbedder(), config)
+        want = [(b, n, i, *c) for b, n, t in sorted(alone + mixed, key=lambda r: (r[0] or "", r[1])) for i, c in enumerate(made(b, t))]
+        found = [(r.batch_id, r.page_no, r.piece, r.start_index, r.text) for r in got]
+        assert sorted(found, key=str) == sorted(want, key=str)
+        # Each page's chunks follow each other, and the pages too.
+        assert [r[:2] for r in found] == [r[:2] for r in want] and all(r[2] in (0, before[2] + 1) for before, r in zip(found, found[1:]))
+
+
+def test_the_stand_in_counts_tokens(monkeypatch):
+    from papyrion.operators import split
+
+    texts = ["", "a b a", " \n", "c " * 50, "a", "\u3000é\xa0é"]
+    want = [[sum(split._buckets(8)[t] == b for t in text.split()) for b in range(8)] for text in texts]
+    for tokens in (1, 3, 1 << 13):
+        monkeypatch.setattr(split, "COUNT_TOKENS", tokens)
+        assert HashEmbedder(8)(texts).tolist() == want
+    assert HashEmbedder(8)([]).shape == (0, 8)
+
+
 def pipeline_fixed(text, config):
     from papyrion.operators.split import fixed_chunks
 
