@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that Python's str.strip() takes for white space.
-SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 TITLE_CHARS = 30
 ANSWER_MARKER = "Answer:"
@@ -14,12 +14,14 @@ ANSWER_MARKER = "Answer:"
 
 def strip(text: Column) -> Column:
     """Without white space, of Unicode too, at either end."""
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    # By a pattern, each space inside the text would be tried as the first of its end.
+    return F.btrim(text, F.lit(SPACES))
 
 
 def content_fingerprint(text: Column) -> Column:
     """MD5 of the text in one form: any line ending is a line feed, lines are stripped, blank lines go. Null counts as empty."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+    feeds = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.split(feeds, "\n")
     return F.md5(F.array_join(F.filter(F.transform(lines, strip), lambda x: x != ""), "\n"))
 
 

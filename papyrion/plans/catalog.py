@@ -235,8 +235,9 @@ def empty_batches(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 10 > 0, F.col("text")))
     rows = pages.document_pages(docs)
     held = cache.ChunkCache(spark, staging_path(spark, "cache"))
-    pipeline.cached_chunks(rows, held, FIXED, mode="compat")
-    keys = cache.batch_keys(rows, FIXED, "compat")
+    # Written, since keys are read several times, and each time would take all texts.
+    keys = stage(cache.batch_keys(rows, FIXED, "compat"), "batch-keys")
+    pipeline.cached_chunks(rows, held, FIXED, mode="compat", keys=keys)
     return held.misses(keys).select(F.col("batch_id").alias("doc_id"), "content_fp")
 
 

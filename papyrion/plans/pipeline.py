@@ -91,12 +91,15 @@ def chunk_or_plain(
         return plain_chunks(pages, config), f"{type(e).__name__}: {e}".splitlines()[0]
 
 
-def cached_chunks(pages: DataFrame, cache: ChunkCache, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None, mode: str = "strict") -> DataFrame:
+def cached_chunks(
+    pages: DataFrame, cache: ChunkCache, config: ChunkConfig = ChunkConfig(), embed: Embedder | None = None, mode: str = "strict", keys: DataFrame | None = None
+) -> DataFrame:
     """`chunk`, but batches whose content and settings are in ``cache`` are read from it, and others put into it.
 
-    An entry that turns out to be damaged as it is read is made again.
+    An entry that turns out to be damaged as it is read is made again. ``keys``: the staged `batch_keys` of ``pages``, if there are any.
     """
-    keys = stage(batch_keys(pages, config, mode, embed), "batch-keys")
+    if keys is None:
+        keys = stage(batch_keys(pages, config, mode, embed), "batch-keys")
     columns = ["batch_id", "ord", "sub", "page_no", "start_index", "chunk_index", "total_chunks", "enhanced", "text"]
     for _ in range(2):
         new = stage(cache.misses(keys), "cache-misses")

@@ -182,10 +182,14 @@ class ChunkCache:
         dealt = entries.repartitionByRange(n, "prefix", "content_fp").sortWithinPartitions("prefix", "content_fp")
         dealt.write.option("parquet.bloom.filter.enabled#content_fp", "true").partitionBy("prefix").parquet(f"{self.path}/keys/of={name}")
 
-    def _digest(self, chunks: DataFrame) -> DataFrame:
+    def _digest(self, chunks: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+        """Number, digest and bytes of each entry of ``chunks``, or of those that are in ``entries``."""
         columns = sorted(c for c in chunks.columns if c not in (*KEY, "commit"))
         h = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
         hashed = chunks.select(*KEY, "commit", h.alias("h"), F.octet_length("text").alias("b"))
+        if entries is not None:
+            # Hashes go to the join, and no texts, as they would if Spark put a semi-join before the hashing.
+            hashed = hashed.join(entries.select("commit", *KEY).distinct(), ["commit", *KEY])
         return hashed.groupBy(*KEY, "commit").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF))).alias("s"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
 
     def append(self, chunks: DataFrame, now: float | None = None) -> None:
@@ -222,9 +226,8 @@ class ChunkCache:
 
     # Chunks
 
-    def _chunks(self, entries: DataFrame, schema: dict) -> DataFrame:
-        rows = self.spark.read.schema(T.StructType.fromJson(schema)).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{self.path}/chunks")
-        return rows.join(entries.select("commit", *KEY), ["commit", *KEY], "left_semi")
+    def _chunks(self, schema: dict) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(schema)).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{self.path}/chunks")
 
     def read(self, keys: DataFrame | None = None) -> DataFrame | None:
         """The chunks of ``keys``, or of all entries; None if there never was an entry. Damaged entries are left out and put aside."""
@@ -232,13 +235,13 @@ class ChunkCache:
         if not manifest["schema"]:
             return None
         entries = stage(self.entries(manifest) if keys is None else self.find(keys, manifest), "wanted-entries")
-        rows = self._chunks(entries, manifest["schema"])
-        seen = self._digest(rows)
+        rows = self._chunks(manifest["schema"])
+        seen = self._digest(rows, entries)
         good = stage(entries.join(seen.select("commit", *KEY, "n", "x", "s"), ["commit", *KEY, "n", "x", "s"], "left_semi"), "good-entries")
         bad = entries.join(good, ["commit", *KEY], "left_anti")
         if not bad.isEmpty():
             self._put_aside(bad)
-        return self._chunks(good, manifest["schema"]).drop("commit")
+        return rows.join(good.select("commit", *KEY), ["commit", *KEY], "left_semi").drop("commit")
 
     def _put_aside(self, entries: DataFrame) -> None:
         gone = stage(entries.select(*KEY, "commit"), "gone-entries")

@@ -197,3 +197,36 @@ def test_another_thread_stages_outside_of_a_block_of_work(spark):
     assert kept[0].count() == 5 and mine.count() == 3
     with pytest.raises(Exception, match="(?i)not.?exist|FAILED_READ"):
         inner.count()
+
+
+def test_texts_are_read_once_for_keys_and_not_shuffled_for_digests(spark, tmp_path):
+    from papyrion.plans import catalog
+
+    # Only staged keys and the cache's own are read for the result, not the documents again.
+    missed = catalog.empty_batches(spark, "/root/testdata/sf0.001")
+    assert missed.count() > 0 and not [name for name in missed.inputFiles() if "documents" in name]
+    c = held(spark, tmp_path)
+    c.append(frame(spark, "abc"))
+    chunks, wanted = c._chunks(c.manifest()["schema"]), c.entries().where("content_fp <> 'b'")
+    seen = c._digest(chunks, wanted)
+    assert {r.content_fp: r.n for r in seen.collect()} == {"a": 3, "c": 3}
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("xxhash64(")  # parents come first
+
+
+def test_fingerprints_of_odd_lines(spark):
+    import hashlib
+    import re
+    from random import Random
+
+    from papyrion.functions import text as T
+
+    assert set(T.SPACES) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+    draw = Random(5)
+    letters = [*T.SPACES, "\r\n", "\n", "\r", "\n\r", "a", "é", "\u200b", "\U0001f600", "\ud7ff", "\ufeff"]
+    texts = [None, "", "a" + " " * 100_000 + "b", *("".join(draw.choices(letters, k=draw.randint(1, 12))) for _ in range(500))]
+    want = [hashlib.md5("\n".join(x for line in re.split("\r\n?|\n", t or "") if (x := line.strip())).encode()).hexdigest() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").orderBy("i")
+    got = df.select("text", T.content_fingerprint(F.col("text")).alias("fp"), T.strip(F.col("text")).alias("stripped")).collect()
+    assert [r.fp for r in got] == want
+    assert all(r.stripped == (None if r.text is None else r.text.strip()) for r in got)
